@@ -193,11 +193,11 @@ def _enrich(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _listing(spark: SparkSession, sf: str) -> DataFrame:
-    return P.listing_links(X.raw(spark, sf, "pages"), PAGE_LINK)
+    return P.listing_links(X.spread(spark, sf, "pages"), PAGE_LINK)
 
 
 def _page_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return P.product_id_from_url(X.raw(spark, sf, "pages"), "url", PAGE_URL).select("page_id", "product_id")
+    return P.product_id_from_url(X.spread(spark, sf, "pages"), "url", PAGE_URL).select("page_id", "product_id")
 
 
 def _link_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,7 +239,7 @@ def _alternative(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _expand(spark: SparkSession, sf: str) -> DataFrame:
-    return P.expand_listing_urls(X.raw(spark, sf, "pages").select("page_id", "url"), max_pages=10)
+    return P.expand_listing_urls(X.spread(spark, sf, "pages").select("page_id", "url"), max_pages=10)
 
 
 def _search(spark: SparkSession, sf: str) -> DataFrame:

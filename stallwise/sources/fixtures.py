@@ -15,30 +15,40 @@ from stallwise.functions.text import season_tags
 
 AS_OF = datetime(2000, 1, 1)
 
-_OBSERVATION = (
-    "CAST(l_partkey AS STRING) AS product_id",
+# What depends on a part or a supplier alone is computed before the join, once
+# per part or supplier instead of once per observation.
+_PART = (
+    "p_partkey",
+    "p_size",
+    "CAST(p_partkey AS STRING) AS product_id",
     "p_name AS title",
-    "CAST(CAST(round(l_extendedprice / 10.0) AS BIGINT) * 0.01 AS DECIMAL(10,2)) AS price",
-    "CAST(round(abs(l_discount) * 100) AS INT) AS discount_percentage",
-    "CAST(abs(l_tax) * 100 AS DECIMAL(10,2)) AS shipping_cost",
-    "CASE WHEN abs(l_tax) < 0.005 THEN 1 ELSE 0 END AS free_shipping",
-    "CAST(l_suppkey AS STRING) AS seller_id",
-    "s_name AS seller_name",
-    "CAST(abs(s_acctbal) / 2000.0 AS DECIMAL(3,2)) AS seller_rating",
     "lower(p_type) AS category_id",
     "p_type AS category_name",
     "p_brand AS brand",
+)
+_SUPPLIER = (
+    "s_suppkey",
+    "CAST(s_suppkey AS STRING) AS seller_id",
+    "s_name AS seller_name",
+    "CAST(abs(s_acctbal) / 2000.0 AS DECIMAL(3,2)) AS seller_rating",
+)
+_OBSERVATION = (
+    "product_id", "title",
+    "CAST(CAST(floor(l_extendedprice / 10.0 + 0.5e0) AS DECIMAL(10,0)) * 0.01 AS DECIMAL(10,2)) AS price",
+    "CAST(floor(abs(l_discount) * 100 + 0.5e0) AS INT) AS discount_percentage",
+    "CAST(abs(l_tax) * 100 AS DECIMAL(10,2)) AS shipping_cost",
+    "CASE WHEN abs(l_tax) < 0.005 THEN 1 ELSE 0 END AS free_shipping",
+    "seller_id", "seller_name", "seller_rating", "category_id", "category_name", "brand",
     "CAST(p_size * l_linenumber AS INT) AS total_reviews",
     "CAST(l_quantity / 10.0 AS DECIMAL(3,2)) AS average_rating",
     "CAST(l_orderkey % 1000 AS INT) AS total_sales",
     "l_shipdate AS scraped_at",
-    "CAST(round(abs(l_discount) * 1000) AS DOUBLE) / 100.0 AS trend_score",
+    "floor(abs(l_discount) * 1000 + 0.5e0) / 100.0e0 AS trend_score",
     "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS obs_id",
 )
 _PRODUCT = (
     "product_id", "title", "price",
-    "CAST(price * CAST(100 + discount_percentage AS DECIMAL(3,0)) * CAST(0.01 AS DECIMAL(3,2))"
-    " AS DECIMAL(10,2)) AS original_price",
+    "CAST(price * CAST(100 + discount_percentage AS DECIMAL(3,0)) * 0.01 AS DECIMAL(10,2)) AS original_price",
     "discount_percentage", "'USD' AS currency", "shipping_cost", "free_shipping", "seller_id",
     "seller_name", "seller_rating", "category_id", "category_name", "brand", "total_reviews",
     "average_rating", "total_sales", "scraped_at", "trend_score", "obs_id",
@@ -68,14 +78,45 @@ _REVIEW = (
 )
 
 
+_RAW = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table with its declared schema, so no file is opened to plan a query."""
+    return spark.read.schema(_RAW[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+_ROW_KEYS = {"lineitem": ("l_orderkey", "l_linenumber"), "documents": ("doc_id",), "pages": ("page_id",)}
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fact table on all cores.
+
+    The small test files hold a single row group, which one task has to read
+    alone; its rows are dealt out by their key. A table with at least one
+    split per core is left as it is read.
+    """
+    df = raw(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *_ROW_KEYS[name])
 
 
 def products(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Product observations; ``lineitem`` may be a stream of the same rows."""
-    lines = raw(spark, sf_dir, "lineitem") if lineitem is None else lineitem
-    part, supplier = raw(spark, sf_dir, "part"), raw(spark, sf_dir, "supplier")
+    lines = spread(spark, sf_dir, "lineitem") if lineitem is None else lineitem
+    part = raw(spark, sf_dir, "part").selectExpr(*_PART)
+    supplier = raw(spark, sf_dir, "supplier").selectExpr(*_SUPPLIER)
     joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
         supplier, F.col("l_suppkey") == F.col("s_suppkey")
     )
@@ -95,7 +136,7 @@ def price_history(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None =
 
 
 def reviews(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
-    docs = (raw(spark, sf_dir, "documents") if documents is None else documents).alias("d")
+    docs = (spread(spark, sf_dir, "documents") if documents is None else documents).alias("d")
     labels = raw(spark, sf_dir, "labels").alias("l")
     return docs.join(labels, F.expr("d.doc_id = l.doc_id"), "left").selectExpr(*_REVIEW)
 
@@ -106,5 +147,4 @@ def master_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given files as a stream source."""
-    schema = raw(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(_RAW[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
