@@ -31,8 +31,11 @@ class Summary:
         return rows.groupBy(*keys).agg(*(F.expr(rows_).alias(n) for n, (rows_, _) in self.parts.items()))
 
     def combine(self, parts: DataFrame) -> DataFrame:
-        """Partial sums of the same key added up; still partial sums."""
-        return parts.groupBy(*self.keys).agg(*(F.expr(f"{add}({n})").alias(n) for n, (_, add) in self.parts.items()))
+        """Partial sums of the same key added up: still partial sums, of the same types."""
+        added = (
+            F.expr(f"{add}({n})").cast(parts.schema[n].dataType).alias(n) for n, (_, add) in self.parts.items()
+        )
+        return parts.groupBy(*self.keys).agg(*added)
 
     def finished(self, parts: DataFrame) -> DataFrame:
         return parts.select(*self.keys, *(F.expr(e).alias(name) for name, e in self.finish.items()))

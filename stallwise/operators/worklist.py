@@ -154,14 +154,20 @@ def calculate_priorities(
     as_of: datetime | None = None,
     min_count: int = 100,
     days: int = 7,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """New priorities of pending products, in three ordered steps.
 
     Hot category: +2, at most 10. Three or more errors: -1, at least 1.
     Discovered within a day: at least 8.
+
+    A job that has already measured the hot categories passes them as ``hot``,
+    broadcast if they are few; otherwise adaptive execution decides.
     """
-    hot = hot_categories(products, as_of, days, min_count).select(F.col("category_id").alias("_hot"))
-    rows = master.join(hot, F.col("category_id") == F.col("_hot"), "left")
+    if hot is None:
+        hot = hot_categories(products, as_of, days, min_count)
+    marks = hot.select(F.col("category_id").alias("_hot"))
+    rows = master.join(marks, F.col("category_id") == F.col("_hot"), "left")
     old = F.col("scrape_priority")
     boosted = F.when(F.col("_hot").isNotNull(), F.least(old + 2, F.lit(10))).otherwise(old)
     lowered = F.when(F.col("error_count") >= 3, F.greatest(boosted - 1, F.lit(1))).otherwise(boosted)

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stallwise.operators.browse import trending_products, unscored_reviews
 from stallwise.operators.enrich import enrich_products, score_reviews
@@ -15,6 +16,7 @@ from stallwise.operators.trends import trend_rows
 from stallwise.operators.worklist import (
     apply_updates,
     calculate_priorities,
+    hot_categories,
     maintenance_counts,
     mark_inactive,
     merge_discovered,
@@ -35,6 +37,9 @@ from stallwise.sources.tables import (
     write_trends,
 )
 
+BROADCAST_ROWS = 100_000
+"""Most category ids a job sends to every executor; beyond it they are shuffled."""
+
 REVIEW_CHANGES = ("sentiment_score", "sentiment_label", "key_phrases", "language")
 
 
@@ -116,8 +121,11 @@ def run_maintenance(spark: SparkSession, paths: Paths, as_of: datetime) -> dict[
         expire_months(spark, table, paths.table(table), RETENTION_DAYS[table.name], as_of)
     root = paths.table(S.MASTER_PRODUCTS)
     before = read_snapshot(spark, S.MASTER_PRODUCTS, root)
-    after = calculate_priorities(skip_failed(mark_inactive(before, as_of)), products, as_of)
+    hot = hot_categories(products, as_of).persist()
+    marks = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    after = calculate_priorities(skip_failed(mark_inactive(before, as_of)), products, as_of, hot=marks)
     path = write_snapshot(after, root, _next_version(spark, root))
+    hot.unpersist()
     written = spark.read.schema(S.MASTER_PRODUCTS.schema).parquet(path)
     return {"health": health, "counts": maintenance_counts(before, written, as_of)}
 

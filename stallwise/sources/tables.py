@@ -120,7 +120,7 @@ def write_trends(df: DataFrame, path: str, as_of: datetime | None = None) -> int
 def apply_retention(df: DataFrame, column: str, days: int, as_of: datetime | None = None) -> DataFrame:
     """Rows that are not older than ``days``; rows without a time are kept."""
     ts = F.col(column)
-    return df.where(F.coalesce(ts >= ago(as_of, days=days), F.lit(True)))
+    return df.where((ts >= ago(as_of, days=days)) | ts.isNull())
 
 
 RETENTION_DAYS = {SCRAPING_LOGS.name: 30, PRICE_HISTORY.name: 90}

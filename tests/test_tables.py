@@ -1,0 +1,150 @@
+import glob
+import json
+from datetime import datetime, timedelta
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from stallwise.operators.enrich import price_points
+from stallwise.sources import catalogue as K
+from stallwise.sources import schemas as S
+from stallwise.sources import tables as T
+from tests.conftest import NOW
+
+
+def test_schemas(spark):
+    widths = {n: len(t.schema) for n, t in S.TABLES.items()}
+    assert widths == {
+        "products": 33, "reviews": 17, "categories": 11, "sellers": 17, "price_history": 7, "trends": 11,
+        "scraping_logs": 10, "master_products": 10, "fetched_pages": 7,
+    }
+    assert S.PRODUCTS.schema["price"].dataType.simpleString() == "decimal(10,2)"
+    assert all(f.nullable for t in S.TABLES.values() for f in t.schema)
+
+
+PRODUCT = "product_id string, title string, price double, free_shipping boolean, category_id string, scraped_at string"
+
+
+def product(i, when, category="c"):
+    return (str(i), f"t{i}", 1.5, True, category, when)
+
+
+def test_append_fills_defaults_and_counts(spark, rows, tmp_path):
+    path = str(tmp_path / "products")
+    df = rows(PRODUCT, product(1, "1999-12-31 10:00:00"), product(2, "2000-01-01 00:00:00"))
+    assert T.write_products(df, path, NOW) == 2
+    assert T.write_products(rows(PRODUCT, product(3, "2000-01-05 00:00:00")), path, NOW) == 1
+    back = T.read_table(spark, S.PRODUCTS, path)
+    assert back.schema == S.PRODUCTS.schema and back.count() == 3
+    row = back.where("product_id = '1'").first()
+    assert (row.price, row.free_shipping, row.currency, row.seller_followers) == (Decimal("1.50"), 1, "USD", 0)
+    assert (row.specifications, row.seasonal_tags, row.trend_score, row.is_available) == ({}, [], 0.0, 1)
+    assert (row.scraped_at, row.created_at, row.updated_at) == (datetime(1999, 12, 31, 10), NOW, NOW)
+    assert row.seller_id is None
+    assert sorted(d.rsplit("=", 1)[1] for d in glob.glob(path + "/scrape_month=*")) == ["199912", "200001"]
+
+
+def test_unknown_columns_are_refused(rows, tmp_path):
+    with pytest.raises(ValueError, match="colour"):
+        T.write_reviews(rows("review_id string, colour string", ("1", "red")), str(tmp_path / "r"))
+
+
+def test_reviews_round_trip(spark, rows, tmp_path):
+    path = str(tmp_path / "reviews")
+    df = rows("review_id string, rating int, review_date string", ("1", 5, "2000-01-02 03:04:05"))
+    assert T.write_reviews(df, path, NOW) == 1
+    row = T.read_table(spark, S.REVIEWS, path).first()
+    assert (row.review_date, row.helpful_votes, row.scraped_at, row.sentiment_score) == (
+        datetime(2000, 1, 2, 3, 4, 5), 0, NOW, None)
+
+
+def test_price_points_append(spark, rows, tmp_path):
+    path = str(tmp_path / "prices")
+    df = rows("product_id string, price decimal(10,2), original_price decimal(10,2)", ("1", Decimal("8.00"), Decimal("12.00")))
+    assert T.write_price_points(price_points(df, NOW), path, NOW) == 1
+    row = T.read_table(spark, S.PRICE_HISTORY, path).first()
+    assert (row.discount_percentage, row.currency, row.recorded_at) == (33, "USD", NOW)
+
+
+def test_reader_cuts_months(spark, rows, tmp_path):
+    path = str(tmp_path / "products")
+    T.write_products(rows(PRODUCT, *(product(m, f"1999-{m:02d}-15 00:00:00") for m in range(1, 13))), path, NOW)
+    df = T.read_table(spark, S.PRODUCTS, path, since=datetime(1999, 11, 15), until=datetime(1999, 12, 1))
+    assert [r.product_id for r in df.collect()] == ["11"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(scrape_month" in plan
+    assert len(df.inputFiles()) == len(df.select("product_id").inputFiles()) >= 1
+    pruned = df.select(F.input_file_name().alias("f")).distinct().collect()
+    assert all("scrape_month=199911" in r.f for r in pruned)
+
+
+def test_sorted_inside_files(spark, rows, tmp_path):
+    path = str(tmp_path / "products")
+    T.write_products(rows(PRODUCT, *(product(i, "1999-12-15 00:00:00", f"c{i % 3}") for i in range(30))), path, NOW)
+    for file in glob.glob(path + "/*/*.parquet"):
+        got = [r.category_id for r in spark.read.parquet(file).collect()]
+        assert got == sorted(got)
+
+
+def log_rows(rows, *times):
+    return rows("log_id string, task_id string, scraped_at timestamp_ntz", *((str(i), "t", t) for i, t in enumerate(times)))
+
+
+def test_retention_of_a_stored_table(spark, rows, tmp_path):
+    path = str(tmp_path / "logs")
+    times = [datetime(1999, 9, 1), datetime(1999, 12, 1), datetime(1999, 12, 2), datetime(1999, 12, 31), datetime(1999, 11, 30)]
+    T.append(log_rows(rows, *times), S.SCRAPING_LOGS, path, NOW)
+    expected = {r.log_id for r in T.apply_retention(log_rows(rows, *times), "scraped_at", 30, NOW).collect()}
+    assert expected == {"2", "3"}
+    for _ in range(2):  # a second run changes nothing
+        T.expire_months(spark, S.SCRAPING_LOGS, path, 30, NOW)
+        assert {r.log_id for r in T.read_table(spark, S.SCRAPING_LOGS, path).collect()} == expected
+    assert [d.rsplit("/", 1)[1] for d in glob.glob(path + "/*=*")] == ["scrape_month=199912"]
+
+
+def test_retention_resumes_after_a_lost_rewrite(spark, rows, tmp_path):
+    path = str(tmp_path / "logs")
+    T.append(log_rows(rows, datetime(1999, 12, 1), datetime(1999, 12, 20)), S.SCRAPING_LOGS, path, NOW)
+    T.rename_folder(spark, f"{path}/scrape_month=199912", f"{path}/_rewrite_199912")
+    (tmp_path / "logs" / "_rewrite_199912" / "_SUCCESS").touch()
+    T.expire_months(spark, S.SCRAPING_LOGS, path, 30, NOW)
+    assert T.read_table(spark, S.SCRAPING_LOGS, path).count() == 2
+
+
+def test_snapshots_show_finished_versions_only(spark, tmp_path):
+    root = str(tmp_path / "master")
+    assert T.latest_version(spark, root) is None
+    T.write_snapshot(spark.createDataFrame([], S.MASTER_PRODUCTS.schema), root, 0)
+    T.write_snapshot(spark.createDataFrame([("p",)], "product_id string"), root, 1)
+    (tmp_path / "master" / "version=000000000002").mkdir()
+    assert T.latest_version(spark, root) == 1
+    assert T.read_snapshot(spark, S.MASTER_PRODUCTS, root).first().product_id == "p"
+
+
+def test_report_is_json(spark, tmp_path):
+    path = T.write_report({"numbers": spark.range(2)}, str(tmp_path), NOW + timedelta(seconds=5))
+    assert path.endswith("report_20000101_000005")
+    lines = [json.loads(x) for f in glob.glob(path + "/numbers/*.json") for x in open(f)]
+    assert sorted(x["id"] for x in lines) == [0, 1]
+
+
+def test_catalogue(spark):
+    c = K.catalogue(spark)
+    assert c.count() == 19 and K.top_level(c).count() == 8
+    assert {r.category_name for r in K.children_of(c, "66").collect()} == {"Makeup", "Skincare"}
+    assert K.category_by_id(c, "34").first().category_name == "Toys & Hobbies"
+    assert K.category_by_id(c, "none").count() == 0
+    urls = [r.url for r in K.category_urls(c).collect()]
+    assert len(urls) == 19 and urls[0] == f"{K.SITE}/category/100003070/electronics.html"
+    pairs = {(r.parent_name, r.category_name) for r in K.subcategories(c).collect()}
+    assert len(pairs) == 11 and ("Sports & Outdoors", "Camping & Hiking") in pairs
+
+
+def test_seed(spark, tmp_path):
+    seed = K.category_seed(spark, NOW)
+    assert T.append(seed, S.CATEGORIES, str(tmp_path / "categories"), NOW) == 5
+    back = T.read_table(spark, S.CATEGORIES, str(tmp_path / "categories"))
+    row = back.where("category_id = 'home'").first()
+    assert (row.seasonal_relevance, row.level, row.path, row.avg_price) == (
+        {"spring": 0.7, "fall": 0.6}, 1, "Home & Garden", Decimal("0.00"))
