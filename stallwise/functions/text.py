@@ -44,22 +44,31 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(~text.rlike(r"(?U)\S"), F.lit(True))
 
 
-def language(text: Column) -> Column:
+def language(text: Column, lowered: Column) -> Column:
     """Language from the script; classes are tested in a fixed order."""
     han = F.length(text) - F.length(F.regexp_replace(text, f"[{HAN}]", ""))
-    low = F.lower(text)
     return (
         F.when(han > F.length(text) * F.lit(HAN_SHARE), F.lit("zh"))
-        .when(low.rlike(f"[{CYRILLIC}]"), F.lit("ru"))
-        .when(low.rlike(f"[{SPANISH}]"), F.lit("es"))
-        .when(low.rlike(f"[{FRENCH}]"), F.lit("fr"))
+        .when(lowered.rlike(f"[{CYRILLIC}]"), F.lit("ru"))
+        .when(lowered.rlike(f"[{SPANISH}]"), F.lit("es"))
+        .when(lowered.rlike(f"[{FRENCH}]"), F.lit("fr"))
         .otherwise(F.lit("en"))
     )
 
 
+def _chosen(tests: Sequence[tuple[Column, str]]) -> Column:
+    """Names whose test holds, in order.
+
+    Built without a lambda function, so the tests stay in generated code and
+    share what they have in common.
+    """
+    marks = (F.when(test, F.lit(name)).otherwise(F.lit("")) for test, name in tests)
+    return F.array_remove(F.array(*marks), "")
+
+
 def present(lowered: Column, words: Sequence[str]) -> Column:
     """Those of ``words`` that occur anywhere in the text, in the given order."""
-    return F.array_compact(F.array(*(F.when(lowered.contains(w), F.lit(w)) for w in words)))
+    return _chosen([(lowered.contains(word), word) for word in words])
 
 
 def key_phrases(lowered: Column, words: Sequence[str] = REVIEW_KEYWORDS, most: int = 5) -> Column:
@@ -68,13 +77,13 @@ def key_phrases(lowered: Column, words: Sequence[str] = REVIEW_KEYWORDS, most: i
 
 def season_tags(lowered: Column, seasons: Mapping[str, Sequence[str]] = SEASON_KEYWORDS) -> Column:
     """Seasons with at least one keyword in the text, in catalogue order."""
-    marks = []
+    tests = []
     for season, words in seasons.items():
-        hit = F.lit(False)
-        for word in words:
+        hit = lowered.contains(words[0])
+        for word in words[1:]:
             hit = hit | lowered.contains(word)
-        marks.append(F.when(hit, F.lit(season)))
-    return F.array_compact(F.array(*marks))
+        tests.append((hit, season))
+    return _chosen(tests)
 
 
 def keyword_counts(lowered: Column, words: Sequence[str]) -> Column:

@@ -8,13 +8,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallwise.operators.browse import trending_products, unscored_reviews
-from stallwise.operators.enrich import enrich_products, score_reviews
+from stallwise.operators.browse import trending_products
+from stallwise.operators.enrich import enrich_products, score_missing
 from stallwise.operators.market import health_check, market_rollup
 from stallwise.operators.pages import discovered_products, fetched, product_fields
 from stallwise.operators.trends import trend_rows
 from stallwise.operators.worklist import (
-    apply_updates,
     calculate_priorities,
     hot_categories,
     maintenance_counts,
@@ -40,8 +39,6 @@ from stallwise.sources.tables import (
 BROADCAST_ROWS = 100_000
 """Most category ids a job sends to every executor; beyond it they are shuffled."""
 
-REVIEW_CHANGES = ("sentiment_score", "sentiment_label", "key_phrases", "language")
-
 
 @dataclass(frozen=True)
 class Paths:
@@ -80,10 +77,7 @@ def run_daily(
         enriched, paths.enriched_products, _next_version(spark, paths.enriched_products)
     )
     reviews = read_table(spark, S.REVIEWS, paths.table(S.REVIEWS))
-    changes = score_reviews(unscored_reviews(reviews, limit=None), load_scorer)
-    scored = apply_updates(
-        reviews, changes.select("review_id", *REVIEW_CHANGES), "review_id", REVIEW_CHANGES
-    )
+    scored = score_missing(reviews, load_scorer)
     review_path = write_snapshot(scored, paths.scored_reviews, _next_version(spark, paths.scored_reviews))
     return product_path, review_path
 

@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stallwise.operators.enrich import categorize, detect_language, enrich_products, key_phrases, score_reviews, season_tags
+from stallwise.operators.enrich import (
+    categorize, detect_language, enrich_products, key_phrases, score_missing, score_reviews, season_tags,
+)
 
 
 def languages(rows, *texts):
@@ -49,7 +51,7 @@ def test_scorer_sees_short_text_and_no_blanks(rows):
 
     df = rows("i int, review_text string", (0, "good"), (1, "x" * 600 + "good"), (2, None), (3, "  "), (4, "odd"))
     got = {r.i: (r.sentiment_label, r.sentiment_score, round(r.sentiment_confidence, 3))
-           for r in score_reviews(df, load).collect()}
+           for r in score_reviews(df, load, max_chars=512).collect()}
     assert got == {
         0: ("positive", 0.5, 0.004), 1: ("negative", -0.5, 0.512), 2: ("neutral", 0.0, 0.0),
         3: ("neutral", 0.0, 0.0), 4: ("neutral", 0.0, 0.003),
@@ -98,3 +100,25 @@ def test_enrich_newest_only(rows):
                 for d, t in enumerate(["toy", "ring", "phone"], start=1)))
     got = enrich_products(df, newest=2).orderBy(F.desc("scraped_at")).collect()
     assert [r.category_id for r in got] == ["electronics", "jewelry"]
+
+
+def test_whole_text_reaches_the_scorer(rows):
+    load = lambda: lambda texts: [("positive", float(len(t))) for t in texts]
+    assert score_reviews(rows("review_text string", ("x" * 5000,)), load).first().sentiment_confidence == 5000.0
+
+
+def test_only_missing_scores_are_filled(rows):
+    def load():
+        def scorer(texts):
+            assert texts == ["unseen fast"]
+            return [("negative", 1.0)]
+
+        return scorer
+
+    ddl = ("review_id string, review_text string, sentiment_score double, sentiment_label string, "
+           "key_phrases array<string>, language string")
+    df = rows(ddl, ("1", "seen good", 0.5, "positive", ["x"], "de"), ("2", "unseen fast", None, None, None, None),
+              ("3", None, None, None, None, None))
+    for loader, score, label in ((load, -0.5, "negative"), (None, 0.0, "neutral")):
+        got = {r.review_id: tuple(r)[2:] for r in score_missing(df, loader).collect()}
+        assert got == {"1": (0.5, "positive", ["x"], "de"), "2": (score, label, ["fast"], "en"), "3": (0.0, "neutral", [], "en")}
