@@ -37,7 +37,6 @@ def within(column: str, as_of: datetime | None, **span: int) -> Column:
     return (ts >= ago(as_of, **span)) & (ts <= moment(as_of))
 
 
-def month_number(column: str) -> Column:
+def month_of(ts: Column) -> Column:
     """``yyyymm`` as an integer: the partition value of a stored table."""
-    ts = F.col(column)
     return (F.year(ts) * 100 + F.month(ts)).cast("int")

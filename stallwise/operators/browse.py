@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stallwise.functions.ordering import top_rows
 from stallwise.functions.scores import sales_weighted_rating
-from stallwise.functions.time import within
+from stallwise.operators.recent import recent
 
 
 def browse_products(
@@ -73,14 +73,14 @@ def rating_per_dollar(products: DataFrame, limit: int = 20) -> DataFrame:
 def trending_by_score(
     products: DataFrame, as_of: datetime | None = None, days: int = 7, min_score: float = 0.5, limit: int = 20
 ) -> DataFrame:
-    rows = products.where(within("scraped_at", as_of, days=days) & (F.col("trend_score") > F.lit(float(min_score))))
+    rows = recent(products, as_of, days=days).where(F.col("trend_score") > F.lit(float(min_score)))
     return top_rows(rows, [F.desc("trend_score"), F.desc("total_sales")], limit, RECENT)
 
 
 def trending_recent(
     products: DataFrame, as_of: datetime | None = None, days: int = 7, limit: int = 20
 ) -> DataFrame:
-    rows = products.where(within("scraped_at", as_of, days=days))
+    rows = recent(products, as_of, days=days)
     return top_rows(rows, [F.desc("trend_score"), F.desc("total_sales")], limit, RECENT)
 
 
@@ -88,10 +88,8 @@ def trending_products(
     products: DataFrame, as_of: datetime | None = None, days: int = 7, limit: int = 20
 ) -> DataFrame:
     """Well-rated recent products by sales times rating, with their rank."""
-    rows = products.where(
-        within("scraped_at", as_of, days=days)
-        & (F.col("average_rating") >= F.lit("4.0").cast("decimal(3,2)"))
-        & (F.col("total_reviews") >= 5)
+    rows = recent(products, as_of, days=days).where(
+        (F.col("average_rating") >= F.lit("4.0").cast("decimal(3,2)")) & (F.col("total_reviews") >= 5)
     ).select(*TRENDING, sales_weighted_rating().alias("_weight"))
     keys = [F.desc("_weight"), F.desc("total_reviews"), F.desc("trend_score")]
     best = top_rows(rows, keys, limit)
@@ -103,9 +101,7 @@ def trending_products(
 def big_discounts(
     products: DataFrame, as_of: datetime | None = None, days: int = 30, min_discount: int = 20, limit: int = 20
 ) -> DataFrame:
-    rows = products.where(
-        within("scraped_at", as_of, days=days) & (F.col("discount_percentage") > min_discount)
-    )
+    rows = recent(products, as_of, days=days).where(F.col("discount_percentage") > min_discount)
     columns = ("product_id", "title", "price", "original_price", "discount_percentage", "scraped_at")
     return top_rows(rows, [F.desc("discount_percentage")], limit, columns)
 
@@ -113,7 +109,7 @@ def big_discounts(
 def new_arrivals(
     products: DataFrame, as_of: datetime | None = None, days: int = 3, max_reviews: int = 10, limit: int = 20
 ) -> DataFrame:
-    rows = products.where(within("scraped_at", as_of, days=days) & (F.col("total_reviews") < max_reviews))
+    rows = recent(products, as_of, days=days).where(F.col("total_reviews") < max_reviews)
     columns = ("product_id", "title", "price", "average_rating", "seller_name", "scraped_at")
     return top_rows(rows, [F.desc("scraped_at")], limit, columns)
 

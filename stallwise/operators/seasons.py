@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stallwise.functions.measures import mean, ratio, row_count
 from stallwise.functions.ordering import ordered, top_rows
 from stallwise.functions.quantiles import exact_quantiles
-from stallwise.functions.time import within
+from stallwise.operators.recent import recent
 
 
 def by_season(products: DataFrame) -> DataFrame:
@@ -47,8 +47,11 @@ def season_prices(products: DataFrame) -> DataFrame:
     return out.orderBy(*ordered(out, [F.desc("median_price")]))
 
 
-def _season_sums(products: DataFrame, as_of: datetime | None, months: int | None) -> DataFrame:
-    rows = products if months is None else products.where(within("scraped_at", as_of, months=months))
+def season_sums(
+    products: DataFrame, as_of: datetime | None = None, months: int | None = None
+) -> DataFrame:
+    """Exact sums per season, month and category; ``months`` looks back that far."""
+    rows = products if months is None else recent(products, as_of, months=months)
     return by_season(rows).groupBy("season", F.month("scraped_at").alias("month"), "category_name").agg(
         row_count().alias("product_count"),
         F.sum("total_sales").alias("total_sales"),
@@ -57,24 +60,14 @@ def _season_sums(products: DataFrame, as_of: datetime | None, months: int | None
     )
 
 
-def seasonal_trends(
-    products: DataFrame, as_of: datetime | None = None, months: int | None = None
-) -> DataFrame:
-    """Count, sales and average price per season, month and category."""
-    return _season_sums(products, as_of, months).select(
+def trends_of(sums: DataFrame) -> DataFrame:
+    return sums.select(
         "season", "month", "category_name", "product_count", "total_sales",
         ratio(F.col("price_sum"), F.col("price_n")).alias("avg_price"),
     )
 
 
-def seasonal_months(
-    products: DataFrame, as_of: datetime | None = None, months: int | None = None
-) -> DataFrame:
-    """The same per season and month, over all categories."""
-    return _months(_season_sums(products, as_of, months))
-
-
-def _months(sums: DataFrame) -> DataFrame:
+def months_of(sums: DataFrame) -> DataFrame:
     return sums.groupBy("season", "month").agg(
         F.sum("product_count").alias("product_count"),
         F.sum("total_sales").alias("total_sales"),
@@ -82,6 +75,20 @@ def _months(sums: DataFrame) -> DataFrame:
     )
 
 
+def seasonal_trends(
+    products: DataFrame, as_of: datetime | None = None, months: int | None = None
+) -> DataFrame:
+    """Count, sales and average price per season, month and category."""
+    return trends_of(season_sums(products, as_of, months))
+
+
+def seasonal_months(
+    products: DataFrame, as_of: datetime | None = None, months: int | None = None
+) -> DataFrame:
+    """The same per season and month, over all categories."""
+    return months_of(season_sums(products, as_of, months))
+
+
 def season_peaks(
     products: DataFrame,
     as_of: datetime | None = None,
@@ -93,10 +100,10 @@ def season_peaks(
     Both rankings run on sums: at most twelve months per season, and of the
     categories only the best few per task move to the final ranking.
     """
-    sums = _season_sums(products, as_of, months)
+    sums = season_sums(products, as_of, months)
     best = W.partitionBy("season").orderBy(F.desc("total_sales"), F.asc("month"))
     peak = (
-        _months(sums)
+        months_of(sums)
         .withColumn("_place", F.row_number().over(best))
         .where(F.col("_place") == 1)
         .drop("_place")

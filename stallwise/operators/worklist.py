@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stallwise.functions.measures import row_count
 from stallwise.functions.ordering import top_rows
 from stallwise.functions.time import ago, moment, within
+from stallwise.operators.recent import recent
 
 PENDING, SCRAPED, FAILED, SKIPPED = "pending", "scraped", "failed", "skipped"
 COLUMNS = (
@@ -129,7 +130,8 @@ def hot_categories(
 ) -> DataFrame:
     """Categories with more than ``min_count`` recent observations."""
     return (
-        products.where(within("scraped_at", as_of, days=days) & F.col("category_id").isNotNull())
+        recent(products, as_of, days=days)
+        .where(F.col("category_id").isNotNull())
         .groupBy("category_id")
         .agg(row_count().alias("observations"))
         .where(F.col("observations") > min_count)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallwise.operators.browse import trending_products
-from stallwise.operators.enrich import enrich_products, score_missing
-from stallwise.operators.market import health_check, market_rollup
+from stallwise.operators.enrich import Scorer, enrich_products, score_missing
+from stallwise.operators.market import health_check
 from stallwise.operators.pages import discovered_products, fetched, product_fields
 from stallwise.operators.trends import trend_rows
 from stallwise.operators.worklist import (
@@ -21,7 +22,7 @@ from stallwise.operators.worklist import (
     merge_discovered,
     skip_failed,
 )
-from stallwise.plans.reports import Report, business_report, insights
+from stallwise.plans.reports import Report, business_report, insights, shared_tables
 from stallwise.sources import schemas as S
 from stallwise.sources.catalogue import SITE
 from stallwise.sources.tables import (
@@ -30,6 +31,8 @@ from stallwise.sources.tables import (
     latest_version,
     read_snapshot,
     read_table,
+    replace_months,
+    stored_months,
     write_products,
     write_report,
     write_snapshot,
@@ -67,40 +70,54 @@ def _next_version(spark: SparkSession, root: str) -> int:
     return 0 if last is None else last + 1
 
 
+def _open_months(
+    spark: SparkSession, table: S.Table, source: str, target: str, since: datetime | None
+) -> set[int]:
+    """Months to process: those from ``since`` on, and any the target lacks."""
+    stored = stored_months(spark, table, source)
+    if since is None:
+        return stored
+    first = since.year * 100 + since.month
+    return {m for m in stored if m >= first} | (stored - stored_months(spark, table, target))
+
+
 def run_daily(
-    spark: SparkSession, paths: Paths, load_scorer=None, tags: str | None = "tags"
-) -> tuple[str, str]:
-    """Enrich all products, then score the unscored reviews; both become new versions."""
-    products = read_table(spark, S.PRODUCTS, paths.table(S.PRODUCTS))
-    enriched = enrich_products(products, tags=tags).select(*products.columns)
-    product_path = write_snapshot(
-        enriched, paths.enriched_products, _next_version(spark, paths.enriched_products)
-    )
-    reviews = read_table(spark, S.REVIEWS, paths.table(S.REVIEWS))
-    scored = score_missing(reviews, load_scorer)
-    review_path = write_snapshot(scored, paths.scored_reviews, _next_version(spark, paths.scored_reviews))
-    return product_path, review_path
+    spark: SparkSession,
+    paths: Paths,
+    since: datetime | None = None,
+    load_scorer: Callable[[], Scorer] | None = None,
+) -> tuple[set[int], set[int]]:
+    """Enrich the products, then score the unscored reviews, month by month folder.
+
+    With ``since`` only the months that may have new rows are done again; the
+    first run does them all. Gives the months of products and of reviews.
+    """
+    source, target = paths.table(S.PRODUCTS), paths.enriched_products
+    product_months = _open_months(spark, S.PRODUCTS, source, target, since)
+    products = read_table(spark, S.PRODUCTS, source, months=product_months)
+    replace_months(enrich_products(products, tags="tags"), S.PRODUCTS, target)
+
+    source, target = paths.table(S.REVIEWS), paths.scored_reviews
+    review_months = _open_months(spark, S.REVIEWS, source, target, since)
+    reviews = read_table(spark, S.REVIEWS, source, months=review_months)
+    replace_months(score_missing(reviews, load_scorer), S.REVIEWS, target)
+    return product_months, review_months
 
 
 def current_products(spark: SparkSession, paths: Paths) -> DataFrame:
     """Enriched products where a daily run has left some, else the raw observations."""
-    if latest_version(spark, paths.enriched_products) is None:
-        return read_table(spark, S.PRODUCTS, paths.table(S.PRODUCTS))
-    return read_snapshot(spark, S.PRODUCTS, paths.enriched_products)
-
-
-def report_of(products: DataFrame, as_of: datetime) -> tuple[Report, DataFrame]:
-    """The report and the persisted rollup its sections share."""
-    rollup = market_rollup(products).persist()
-    return business_report(products, as_of, rollup), rollup
+    path = paths.enriched_products
+    if not stored_months(spark, S.PRODUCTS, path):
+        path = paths.table(S.PRODUCTS)
+    return read_table(spark, S.PRODUCTS, path, keep_month=True)
 
 
 def run_weekly(spark: SparkSession, paths: Paths, as_of: datetime) -> tuple[str, int]:
     """Write the business report, then the trend rows of the trending products."""
     products = current_products(spark, paths)
-    report, rollup = report_of(products, as_of)
-    written = write_report(report, paths.reports, as_of)
-    rollup.unpersist()
+    shared = shared_tables(products, as_of).persist()
+    written = write_report(business_report(products, as_of, shared), paths.reports, as_of)
+    shared.unpersist()
     trending = trending_products(products, as_of, days=7, limit=50)
     return written, write_trends(trend_rows(trending, as_of), paths.table(S.TRENDS), as_of)
 
@@ -138,12 +155,15 @@ def run_discovery(
 
 
 def run_full(
-    spark: SparkSession, paths: Paths, pages: DataFrame, as_of: datetime, load_scorer=None
+    spark: SparkSession,
+    paths: Paths,
+    pages: DataFrame,
+    as_of: datetime,
 ) -> tuple[int, Report]:
-    """Fetched product pages to rows, enrichment, insights."""
-    rows = product_fields(fetched(pages), as_of)
-    written = write_products(rows, paths.table(S.PRODUCTS), as_of)
-    products = read_table(spark, S.PRODUCTS, paths.table(S.PRODUCTS))
-    enriched = enrich_products(products, tags="tags").select(*products.columns)
-    write_snapshot(enriched, paths.enriched_products, _next_version(spark, paths.enriched_products))
+    """Fetched product pages to rows, enrichment of their months, insights."""
+    written = write_products(product_fields(fetched(pages), as_of), paths.table(S.PRODUCTS), as_of)
+    source, target = paths.table(S.PRODUCTS), paths.enriched_products
+    months = _open_months(spark, S.PRODUCTS, source, target, as_of)
+    products = read_table(spark, S.PRODUCTS, source, months=months)
+    replace_months(enrich_products(products, tags="tags"), S.PRODUCTS, target)
     return written, insights(business_report(current_products(spark, paths), as_of))

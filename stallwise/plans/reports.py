@@ -1,17 +1,20 @@
 """Market overview, business report and the insights drawn from it.
 
-A report is a dict of DataFrames, one per section, nothing computed yet. The
-sections share the market rollup, so the observations are scanned once for
-the overview part; pass a persisted rollup to reuse it across sections.
+A report is a dict of DataFrames, one per section, nothing computed yet.
+Several sections follow from the same small intermediate tables (``Shared``):
+a job persists those once, so the observations are not scanned per section.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallwise.functions.ordering import top_rows
+from stallwise.functions.scores import sales_weighted_rating
 from stallwise.functions.time import moment
 from stallwise.operators.browse import trending_products
 from stallwise.operators.market import (
@@ -22,23 +25,57 @@ from stallwise.operators.market import (
     stats_of,
 )
 from stallwise.operators.opportunities import high_margin
-from stallwise.operators.seasons import seasonal_months, seasonal_trends
+from stallwise.operators.seasons import months_of, season_sums, trends_of
 from stallwise.operators.trends import price_trend_overall, price_trends
 
 Report = dict[str, DataFrame]
 
 
-def market_overview(products: DataFrame, as_of: datetime | None = None, rollup: DataFrame | None = None) -> Report:
-    rollup = market_rollup(products) if rollup is None else rollup
+@dataclass(frozen=True)
+class Shared:
+    """Small tables that more than one section is made of."""
+
+    rollup: DataFrame
+    prices: DataFrame
+    offers: DataFrame
+    seasons: DataFrame
+
+    def persist(self) -> Shared:
+        return Shared(*(getattr(self, f.name).persist() for f in fields(self)))
+
+    def unpersist(self) -> None:
+        for f in fields(self):
+            getattr(self, f.name).unpersist()
+
+
+def shared_tables(products: DataFrame, as_of: datetime | None = None) -> Shared:
+    return Shared(
+        rollup=market_rollup(products),
+        prices=price_distribution(products),
+        offers=high_margin(products),
+        seasons=season_sums(products, as_of),
+    )
+
+
+def market_overview(
+    products: DataFrame, as_of: datetime | None = None, shared: Shared | None = None
+) -> Report:
+    shared = shared or shared_tables(products, as_of)
     return {
-        "overview": stats_of(rollup),
-        "top_categories": categories_of(rollup),
-        "top_sellers": sellers_of(rollup),
-        "price_distribution": price_distribution(products),
+        "overview": stats_of(shared.rollup),
+        "top_categories": categories_of(shared.rollup),
+        "top_sellers": sellers_of(shared.rollup),
+        "price_distribution": shared.prices,
         "trending_products": trending_products(products, as_of),
     }
 
 
+def best_offers(offers: DataFrame, limit: int) -> DataFrame:
+    """First offers of a high-margin list, in its own order."""
+    keys = [F.desc("margin_potential_score"), F.desc(sales_weighted_rating())]
+    return top_rows(offers, keys, limit)
+
+
 def executive_summary(stats: DataFrame) -> DataFrame:
     return stats.select(
         F.col("total_products").alias("total_products_analyzed"),
@@ -57,14 +94,14 @@ def recommendations(
     The first two are left out when there is no category or no opportunity.
     """
     # The wording of the advice.
-    category = top_categories.limit(1).select(
+    category = top_rows(top_categories, [F.desc("product_count")], 1).select(
         F.lit(1).alias("position"),
         F.format_string(
             "Focus on %s category - highest product count (%d) with average price $%.2f",
             "category_name", "product_count", F.coalesce("avg_price", F.lit(0.0)),
         ).alias("recommendation"),
     )
-    offer = opportunities.limit(1).select(
+    offer = best_offers(opportunities, 1).select(
         F.lit(2).alias("position"),
         F.format_string(
             "Consider dropshipping %s... - high margin potential (score: %s) with %.1f★ rating",
@@ -100,13 +137,12 @@ def recommendations(
 
 
 def business_report(
-    products: DataFrame, as_of: datetime | None = None, rollup: DataFrame | None = None
+    products: DataFrame, as_of: datetime | None = None, shared: Shared | None = None
 ) -> Report:
     """All sections of the weekly report; ``products`` carries ``seasonal_tags``."""
     spark = products.sparkSession
-    rollup = market_rollup(products) if rollup is None else rollup
-    overview = market_overview(products, as_of, rollup)
-    offers = high_margin(products)
+    shared = shared or shared_tables(products, as_of)
+    overview = market_overview(products, as_of, shared)
     metadata = spark.range(1).select(
         moment(as_of).alias("generated_at"),
         F.lit("comprehensive_business_intelligence").alias("report_type"),
@@ -115,13 +151,13 @@ def business_report(
         "report_metadata": metadata,
         "executive_summary": executive_summary(overview["overview"]),
         **overview,
-        "seasonal_trends": seasonal_trends(products, as_of),
-        "seasonal_months": seasonal_months(products, as_of),
-        "high_margin_products": offers.limit(20),
+        "seasonal_trends": trends_of(shared.seasons),
+        "seasonal_months": months_of(shared.seasons),
+        "high_margin_products": best_offers(shared.offers, 20),
         "price_trends": price_trends(products, as_of),
         "price_trend_overall": price_trend_overall(products, as_of),
         "recommendations": recommendations(
-            spark, overview["top_categories"], offers, overview["price_distribution"]
+            spark, overview["top_categories"], shared.offers, shared.prices
         ),
     }
 
@@ -130,7 +166,7 @@ def insights(report: Report) -> Report:
     """The short form of a report."""
     return {
         "market_overview": report["executive_summary"],
-        "top_opportunities": report["high_margin_products"].limit(10),
+        "top_opportunities": best_offers(report["high_margin_products"], 10),
         "trending_products": report["trending_products"].orderBy("trend_rank").limit(10),
         "recommendations": report["recommendations"].orderBy("position").limit(5),
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stallwise.functions.measures import row_count
-from stallwise.functions.time import ago, moment, month_number
+from stallwise.functions.time import ago, moment, month_of
 from stallwise.sources.schemas import NOW, PRICE_HISTORY, PRODUCTS, REVIEWS, SCRAPING_LOGS, TRENDS, Table
 
 TIME_TEXT = "yyyy-MM-dd HH:mm:ss"
@@ -21,23 +22,29 @@ def read_table(
     path: str,
     since: datetime | None = None,
     until: datetime | None = None,
+    months: Collection[int] | None = None,
+    keep_month: bool = False,
 ) -> DataFrame:
-    """A stored table; ``since`` / ``until`` also cut the month folders.
+    """A stored table; ``since``, ``until`` and ``months`` also cut the month folders.
 
     A filter on the timestamp alone would open every folder, because Spark
-    cannot derive the month from it; the month condition is added here.
+    cannot derive the month from it. ``keep_month`` leaves the month column in
+    the result, from which the look-back operators cut folders themselves.
     """
     schema = T.StructType(table.schema.fields)
     if table.month_of:
         schema = schema.add(table.month_column, T.IntegerType())
     df = spark.read.schema(schema).parquet(path)
-    if table.month_of and since is not None:
-        df = df.where(F.col(table.month_column) >= since.year * 100 + since.month)
-        df = df.where(F.col(table.month_of) >= moment(since))
-    if table.month_of and until is not None:
-        df = df.where(F.col(table.month_column) <= until.year * 100 + until.month)
-        df = df.where(F.col(table.month_of) <= moment(until))
-    return df.select(*table.schema.names)
+    if not table.month_of:
+        return df
+    month, ts = F.col(table.month_column), F.col(table.month_of)
+    if since is not None:
+        df = df.where((month >= since.year * 100 + since.month) & (ts >= moment(since)))
+    if until is not None:
+        df = df.where((month <= until.year * 100 + until.month) & (ts <= moment(until)))
+    if months is not None:
+        df = df.where(month.isin(sorted(months)))
+    return df if keep_month else df.drop(table.month_column)
 
 
 def conform(df: DataFrame, table: Table, as_of: datetime | None = None) -> DataFrame:
@@ -77,30 +84,47 @@ def _column(field: T.StructField, given: dict, table: Table, as_of: datetime | N
     return F.coalesce(value, fallback.cast(field.dataType))
 
 
-def append(df: DataFrame, table: Table, path: str, as_of: datetime | None = None) -> int:
-    """Append rows and return how many were written, counted during the write.
+def _layout(rows: DataFrame, table: Table):
+    """Writer for rows of the table: rebalanced by month, sorted inside the files.
 
     ``rebalance`` groups a month's rows into few files; adaptive execution
     splits a month that is too large for one task and merges small ones.
     """
-    seen = Observation()
-    rows = conform(df, table, as_of).observe(seen, row_count().alias("rows"))
-    keys = [k for k in table.sort_by]
+    keys = list(table.sort_by)
     if table.month_of:
-        rows = rows.withColumn(table.month_column, month_number(table.month_of))
+        rows = rows.withColumn(table.month_column, month_of(F.col(table.month_of)))
         rows = rows.hint("rebalance", F.col(table.month_column))
         keys = [table.month_column, *keys]
     if keys:
         rows = rows.sortWithinPartitions(*keys)
-    writer = rows.write.mode("append")
+    writer = rows.write
     if table.month_of:
         writer = writer.partitionBy(table.month_column)
     for column in table.bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.parquet(path)
+    return writer
+
+
+def append(df: DataFrame, table: Table, path: str, as_of: datetime | None = None) -> int:
+    """Append rows and return how many were written, counted during the write."""
+    seen = Observation()
+    rows = conform(df, table, as_of).observe(seen, row_count().alias("rows"))
+    _layout(rows, table).mode("append").parquet(path)
     return int(seen.get["rows"])
 
 
+def replace_months(df: DataFrame, table: Table, path: str) -> None:
+    """Replace the months that occur in ``df``; all other months stay."""
+    writer = _layout(conform(df, table), table).mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def stored_months(spark: SparkSession, table: Table, path: str) -> set[int]:
+    prefix = f"{table.month_column}="
+    names = (n[len(prefix):] for n in list_folder(spark, path) if n.startswith(prefix))
+    return {int(n) for n in names if n.isdigit()}
+
+
 def write_products(df: DataFrame, path: str, as_of: datetime | None = None) -> int:
     return append(df, PRODUCTS, path, as_of)
 
@@ -135,8 +159,7 @@ def expire_months(spark: SparkSession, table: Table, path: str, days: int, as_of
     cut = as_of - timedelta(days=days)
     boundary = cut.year * 100 + cut.month
     prefix = f"{table.month_column}="
-    names = [s for s in list_folder(spark, path) if s.startswith(prefix)]
-    months = {int(s[len(prefix):]) for s in names if s[len(prefix):].isdigit()}
+    months = stored_months(spark, table, path)
     for month in sorted(m for m in months if m < boundary):
         delete_folder(spark, f"{path}/{prefix}{month}")
     folder = f"{path}/{prefix}{boundary}"

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import inputs as I
+from stallwise.operators.browse import trending_recent
 from stallwise.plans import jobs as J
 from stallwise.plans import reports as C
 from stallwise.sources import fixtures as X
@@ -33,19 +34,39 @@ def paths(spark, tmp_path_factory):
 
 
 def test_daily(spark, paths):
-    J.run_daily(spark, paths)
-    products = T.read_snapshot(spark, S.PRODUCTS, paths.enriched_products)
+    months, _ = J.run_daily(spark, paths)
+    products = T.read_table(spark, S.PRODUCTS, paths.enriched_products)
+    assert months == T.stored_months(spark, S.PRODUCTS, paths.enriched_products)
     assert products.count() == 6000
     assert {r.category_id for r in products.select("category_id").distinct().collect()} <= {
         "other", "jewelry", "electronics", "clothing", "home", "beauty", "sports", "automotive", "toys"}
     before = T.read_table(spark, S.REVIEWS, paths.table(S.REVIEWS))
-    after = T.read_snapshot(spark, S.REVIEWS, paths.scored_reviews)
+    after = T.read_table(spark, S.REVIEWS, paths.scored_reviews)
     assert before.where("sentiment_score IS NULL").count() > 0
     assert after.count() == before.count() and after.where("sentiment_score IS NULL").count() == 0
     kept = before.where("sentiment_score IS NOT NULL").select("review_id", "sentiment_score", "sentiment_label")
     assert kept.exceptAll(after.select(kept.columns)).count() == 0
 
 
+def test_daily_repeats_recent_months_only(spark, paths):
+    months, _ = J.run_daily(spark, paths)
+    T.delete_folder(spark, f"{paths.enriched_products}/scrape_month={min(months)}")
+    again, _ = J.run_daily(spark, paths, since=NOW)
+    assert again == {m for m in months if m >= 200001} | {min(months)}
+    assert T.read_table(spark, S.PRODUCTS, paths.enriched_products).count() == 6000
+
+
+def test_look_back_opens_recent_months_only(spark, paths):
+    products = T.read_table(spark, S.PRODUCTS, paths.table(S.PRODUCTS), keep_month=True)
+    for as_of in (NOW, None):
+        df = trending_recent(products, as_of)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert "scrape_month" in filters and ">=" in filters and "<=" in filters
+    free = T.read_table(spark, S.PRODUCTS, paths.table(S.PRODUCTS))
+    assert trending_recent(products, NOW).collect() == trending_recent(free, NOW).collect()
+
+
 def test_weekly(spark, paths):
     J.run_daily(spark, paths)
     path, trends = J.run_weekly(spark, paths, NOW)
@@ -62,13 +83,14 @@ def test_weekly(spark, paths):
 
 def test_report_and_insights(spark, paths):
     products = T.read_table(spark, S.PRODUCTS, paths.table(S.PRODUCTS))
-    report, rollup = J.report_of(products, NOW)
+    shared = C.shared_tables(products, NOW).persist()
+    report = C.business_report(products, NOW, shared)
     short = C.insights(report)
     assert {n: df.count() for n, df in short.items() if n != "trending_products"} == {
         "market_overview": 1, "top_opportunities": 10, "recommendations": 5}
     overview = C.market_overview(products, NOW)
     assert overview["top_categories"].collect() == report["top_categories"].collect()
-    rollup.unpersist()
+    shared.unpersist()
     first = report["recommendations"].orderBy("position").first().recommendation
     assert first.startswith("Focus on ")
 
