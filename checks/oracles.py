@@ -307,10 +307,10 @@ m AS (SELECT season, CAST(month(scraped_at) AS INT) AS month, count(*) AS produc
   {big('sum(total_sales)')} AS total_sales, {mean('price')} AS avg_price FROM tagged GROUP BY 1, 2),
 peak AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY season ORDER BY total_sales DESC, month) = 1),
 c AS (SELECT t.season, p.month, category_name, count(*) AS category_products,
-  {big('sum(t.total_sales)')} AS category_sales FROM tagged t JOIN peak p
+  {big('sum(t.total_sales)')} AS category_sales, {mean('t.price')} AS category_avg_price FROM tagged t JOIN peak p
   ON t.season = p.season AND month(t.scraped_at) = p.month GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY category_sales DESC, category_name) AS category_rank FROM c)
-SELECT r.season, r.month, r.category_name, category_products, category_sales, product_count, total_sales, avg_price,
+SELECT r.season, r.month, r.category_name, category_products, category_sales, category_avg_price, product_count, total_sales, avg_price,
   category_rank FROM r JOIN peak ON r.season = peak.season WHERE category_rank <= 3"""),
     "price_movers": q(windowed(720) + f"""SELECT {TREND_COLUMNS} FROM r ORDER BY abs(change) DESC,
   {ties('product_id')} LIMIT 10"""),

@@ -98,7 +98,8 @@ def season_peaks(
     """Month with the most sales of each season and its best categories.
 
     Both rankings run on sums: at most twelve months per season, and of the
-    categories only the best few per task move to the final ranking.
+    categories only the best few per task move to the final ranking. Both use
+    the same columns of the sums, so the observations are scanned once.
     """
     sums = season_sums(products, as_of, months)
     best = W.partitionBy("season").orderBy(F.desc("total_sales"), F.asc("month"))
@@ -111,12 +112,14 @@ def season_peaks(
         .withColumnRenamed("month", "_month")
     )
     ranking = W.partitionBy("season").orderBy(F.desc("category_sales"), F.asc_nulls_first("category_name"))
-    inside = (F.col("season") == F.col("_season")) & (F.col("month") == F.col("_month"))
+    # Null-safe, so that no not-null filter sets one branch apart from the other.
+    inside = F.col("season").eqNullSafe(F.col("_season")) & F.col("month").eqNullSafe(F.col("_month"))
     return (
         sums.select(
             "season", "month", "category_name",
             F.col("product_count").alias("category_products"),
             F.col("total_sales").alias("category_sales"),
+            ratio(F.col("price_sum"), F.col("price_n")).alias("category_avg_price"),
         )
         .join(peak, inside)
         .drop("_season", "_month")

@@ -39,6 +39,12 @@ def test_rows_are_combined_before_the_shuffle(spark, name):
     assert "partial_" in plan and "SortAggregate" not in plan
 
 
+def test_season_peaks_scan_once(spark):
+    df = QUERIES["season_peaks"](spark, SMALL)
+    df.collect()
+    assert "ReusedExchange [season" in plan_of(df)
+
+
 def test_quantiles_count_once(spark):
     df = QUERIES["price_distribution"](spark, SMALL)
     df.collect()
