@@ -135,9 +135,9 @@ def run_maintenance(spark: SparkSession, paths: Paths, as_of: datetime) -> dict[
     hot = hot_categories(products, as_of).persist()
     marks = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     after = calculate_priorities(skip_failed(mark_inactive(before, as_of)), products, as_of, hot=marks)
-    path = write_snapshot(after, root, _next_version(spark, root))
+    path = write_snapshot(after, S.MASTER_PRODUCTS, root, _next_version(spark, root))
     hot.unpersist()
-    written = spark.read.schema(S.MASTER_PRODUCTS.schema).parquet(path)
+    written = read_table(spark, S.MASTER_PRODUCTS, path)
     return {"health": health, "counts": maintenance_counts(before, written, as_of)}
 
 
@@ -151,7 +151,7 @@ def run_discovery(
     else:
         master = read_snapshot(spark, S.MASTER_PRODUCTS, root)
     merged = merge_discovered(master, discovered_products(pages, base), as_of)
-    return write_snapshot(merged, root, _next_version(spark, root))
+    return write_snapshot(merged, S.MASTER_PRODUCTS, root, _next_version(spark, root))
 
 
 def run_full(

@@ -198,10 +198,14 @@ def rename_folder(spark: SparkSession, source: str, target: str) -> None:
     fs.rename(origin, spark._jvm.org.apache.hadoop.fs.Path(target))
 
 
-def write_snapshot(df: DataFrame, root: str, version: int) -> str:
-    """Write a new version next to the old ones; readers switch when it is complete."""
+def write_snapshot(df: DataFrame, table: Table, root: str, version: int, as_of: datetime | None = None) -> str:
+    """Write a new version next to the old ones; readers switch when it is complete.
+
+    A version left half-written by a lost run is replaced as a whole.
+    """
     path = f"{root}/version={version:012d}"
-    df.write.mode("overwrite").parquet(path)
+    writer = _layout(conform(df, table, as_of), table).mode("overwrite")
+    writer.option("partitionOverwriteMode", "static").parquet(path)
     return path
 
 
@@ -219,7 +223,7 @@ def read_snapshot(spark: SparkSession, table: Table, root: str) -> DataFrame:
     version = latest_version(spark, root)
     if version is None:
         raise ValueError(f"no complete version under {root}")
-    return spark.read.schema(table.schema).parquet(f"{root}/version={version:012d}")
+    return read_table(spark, table, f"{root}/version={version:012d}")
 
 
 def write_report(sections: dict[str, DataFrame], root: str, as_of: datetime) -> str:

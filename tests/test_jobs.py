@@ -29,7 +29,7 @@ def paths(spark, tmp_path_factory):
         spark.createDataFrame([("1", "t", NOW)], "log_id string, task_id string, scraped_at timestamp_ntz"),
         S.SCRAPING_LOGS, p.table(S.SCRAPING_LOGS), NOW,
     )
-    T.write_snapshot(X.master_products(spark, SMALL), p.table(S.MASTER_PRODUCTS), 0)
+    T.write_snapshot(X.master_products(spark, SMALL), S.MASTER_PRODUCTS, p.table(S.MASTER_PRODUCTS), 0)
     return p
 
 

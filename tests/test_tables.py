@@ -115,11 +115,16 @@ def test_retention_resumes_after_a_lost_rewrite(spark, rows, tmp_path):
 def test_snapshots_show_finished_versions_only(spark, tmp_path):
     root = str(tmp_path / "master")
     assert T.latest_version(spark, root) is None
-    T.write_snapshot(spark.createDataFrame([], S.MASTER_PRODUCTS.schema), root, 0)
-    T.write_snapshot(spark.createDataFrame([("p",)], "product_id string"), root, 1)
+    empty = spark.createDataFrame([], S.MASTER_PRODUCTS.schema)
+    T.write_snapshot(empty, S.MASTER_PRODUCTS, root, 0, NOW)
+    assert T.read_snapshot(spark, S.MASTER_PRODUCTS, root).count() == 0
+    for day in (40, 0):  # the second write of a version leaves nothing of the first
+        found = spark.createDataFrame([("p", NOW - timedelta(days=day))], "product_id string, discovered_at timestamp_ntz")
+        T.write_snapshot(found, S.MASTER_PRODUCTS, root, 1, NOW)
     (tmp_path / "master" / "version=000000000002").mkdir()
     assert T.latest_version(spark, root) == 1
-    assert T.read_snapshot(spark, S.MASTER_PRODUCTS, root).first().product_id == "p"
+    row = T.read_snapshot(spark, S.MASTER_PRODUCTS, root).collect()
+    assert [(r.product_id, r.scrape_status, r.scrape_priority) for r in row] == [("p", "pending", 5)]
 
 
 def test_report_is_json(spark, tmp_path):
