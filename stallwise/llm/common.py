@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stallwise.session import scratch_dir
 
@@ -82,3 +82,28 @@ def column_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in taken:
         wish = f"_{wish}"
     return wish
+
+
+#: Rows numbered together.
+RANKED = 2000
+
+
+def numbered(df: DataFrame, group: list[str], sizes: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """``df`` with the rows of each group numbered from 0, in an order that ``order`` alone decides.
+
+    ``sizes`` has the columns of ``group``, without nulls, and each group's
+    number of rows ``n``. Rows go by their hash into ranges of about ``RANKED``
+    rows, so that no task sees a whole large group; a range starts where the
+    ranges before it end.
+    """
+    ranges = sizes.select(*group, F.ceil(F.col("n") / RANKED).alias("_ranges"))
+    key = F.xxhash64(*(F.col(c).cast("string") for c in order))
+    dealt = df.join(ranges, group).withColumn("_hash", key)
+    dealt = dealt.withColumn("_range", F.pmod("_hash", "_ranges")).drop("_ranges")
+    starts = dealt.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*group, "_range").orderBy("_hash", *order)
+    rows = dealt.repartition(*group, "_range").withColumn("_row", F.row_number().over(within))
+    rows = rows.join(starts, [*group, "_range"]).withColumn(name, F.col("_before") + F.col("_row") - 1)
+    return rows.drop("_before", "_row", "_range", "_hash")

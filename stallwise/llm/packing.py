@@ -16,9 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallwise.llm.common import saved
+from stallwise.llm.common import numbered, saved
 
 CAPACITY = 1024
 #: Appended to every document.
@@ -28,8 +28,6 @@ VOCABULARY = "byte_bpe_50k"
 BRANCHES = 3
 NODES = 300
 LONGEST_FILLING = 4
-#: Rows ranked together in a length.
-RANKED = 2000
 
 Filling = tuple[int, ...]
 Packed = list[tuple[int, Filling]]
@@ -231,24 +229,6 @@ def places(packed: Packed) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "each", "sequence", "offset"], dtype="int64").sort_values(["length", "rank"])
 
 
-def ranked(found: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``found`` with its rows of each length numbered from 0 in ``rank``.
-
-    A length with many rows is numbered in hash ranges of about ``RANKED`` rows
-    each, which then start where the ranges before them end.
-    """
-    key = F.xxhash64(F.col("doc_id").cast("string"), "piece", "ids_crc32")
-    ranges = sizes.select("length", F.ceil(F.col("n") / RANKED).alias("_ranges"))
-    dealt = found.join(F.broadcast(ranges), "length").withColumn("_hash", key)
-    dealt = dealt.withColumn("_range", F.pmod("_hash", "_ranges")).drop("_ranges")
-    starts = dealt.groupBy("length", "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("length", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_range").orderBy("_hash", "doc_id", "piece", "ids_crc32", "start")
-    numbered = dealt.withColumn("_row", F.row_number().over(within)).join(starts, ["length", "_range"])
-    return numbered.withColumn("rank", F.col("_before") + F.col("_row") - 1).drop("_before", "_row", "_range", "_hash")
-
-
 def placed(spark: SparkSession, table: pd.DataFrame):
     """A struct of ``sequence_id`` and ``offset`` from a piece's length and rank."""
     held = spark.sparkContext.broadcast({c: table[c].to_numpy() for c in table})
@@ -279,5 +259,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str =
     sizes = saved(found.groupBy("length").agg(F.count("*").alias("n")), "lengths")
     counts = {row["length"]: row["n"] for row in sizes.collect()}
     where = placed(docs.sparkSession, places(pack(counts, capacity)))
-    numbered = ranked(found, sizes).withColumn("_at", where)
-    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset")
+    rows = numbered(found, ["length"], sizes, ["doc_id", "piece", "ids_crc32", "start"]).withColumn("_at", where)
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset")
