@@ -85,7 +85,7 @@ def column_name(df: DataFrame, wish: str) -> str:
 
 
 #: Rows numbered together.
-RANKED = 2000
+RANKED = 256
 
 
 def numbered(df: DataFrame, group: list[str], sizes: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
