@@ -20,9 +20,9 @@ from stallwise.llm.labelled_pages import pages as labelled_pages
 
 #: Labelled pages that the model is fitted on, rounds of fitting, step and pull to zero.
 PAGES = 700
-ROUNDS = 120
+ROUNDS = 150
 STEP = 0.3
-PULL = 1e-3
+PULL = 1e-4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their text is never shown as such.
