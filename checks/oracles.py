@@ -468,14 +468,14 @@ FROM (SELECT page_id, regexp_extract(url, '/(?:en|fr|de|es)/(\d+)(?:\.html)?', 1
   CAST(CASE total_sales % 4 WHEN 0 THEN total_sales WHEN 1 THEN trunc(CAST(total_sales AS DOUBLE) / 10.0e0 * 1000.0e0)
     WHEN 2 THEN 1000 + total_sales ELSE 0 END AS BIGINT) AS count_value,
   CASE WHEN total_sales % 3 = 0 THEN NULL ELSE CAST(average_rating AS DOUBLE) END AS rating_value FROM products"""),
-    "product_fields": q(f"""SELECT product_id, title, price, 'USD' AS currency, seller_id,
+    "product_fields": q(f"""SELECT product_id, title, CASE WHEN CAST(product_id AS BIGINT) % 5 = 3 THEN 0 ELSE price END AS price, 'USD' AS currency, seller_id,
   seller_name || ' & Co' AS seller_name, category_id, category_name,
   'https://shop.example/item/' || product_id || '.html' AS product_url,
   '/img/' || product_id || '-1.jpg,/img/' || product_id || '-2.jpg' AS image_urls,
-  total_reviews, average_rating, 1 AS is_available, {AS_OF} AS scraped_at FROM products"""),
+  total_reviews, CASE WHEN CAST(product_id AS BIGINT) % 5 = 3 THEN 0 ELSE average_rating END AS average_rating, 1 AS is_available, {AS_OF} AS scraped_at FROM products"""),
     "page_meta": """SELECT p_partkey AS page_id, p_name || ' "new"' AS og_title,
   '/og/' || CAST(p_partkey AS VARCHAR) || '.jpg' AS og_image, CAST(p_partkey AS VARCHAR) AS product_id,
-  'id,title,k' || p_brand AS state_keys FROM part""",
+  'id,title,k' || p_brand || CASE WHEN p_partkey % 5 = 0 THEN ',' || (SELECT string_agg('x' || i, ',' ORDER BY i) FROM range(25) AS r(i)) ELSE '' END AS state_keys FROM part""",
     "page_fields_alt": """SELECT p_partkey AS page_id, p_name AS title,
   CASE WHEN p_partkey % 2 = 0 THEN 'US $' || CAST(p_size AS VARCHAR) ELSE 'US $' || CAST(p_size AS VARCHAR) || '.50' END AS price_text,
   'US $99' AS original_price_text, p_brand AS seller_name,

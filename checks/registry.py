@@ -155,11 +155,11 @@ def _language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _phrases(spark: SparkSession, sf: str) -> DataFrame:
-    return E.key_phrases(X.reviews(spark, sf)).select("review_id", _joined("key_phrases"))
+    return E.key_phrases(X.reviews(spark, sf), most=5).select("review_id", _joined("key_phrases"))
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return E.score_reviews(X.reviews(spark, sf)).select(
+    return E.score_reviews(X.reviews(spark, sf), most_phrases=5).select(
         "review_id", "sentiment_score", "sentiment_label", "sentiment_confidence",
         _joined("key_phrases"), "language",
     )

@@ -71,8 +71,9 @@ def present(lowered: Column, words: Sequence[str]) -> Column:
     return _chosen([(lowered.contains(word), word) for word in words])
 
 
-def key_phrases(lowered: Column, words: Sequence[str] = REVIEW_KEYWORDS, most: int = 5) -> Column:
-    return F.slice(present(lowered, words), 1, most)
+def key_phrases(lowered: Column, words: Sequence[str] = REVIEW_KEYWORDS, most: int | None = None) -> Column:
+    found = present(lowered, words)
+    return found if most is None else F.slice(found, 1, most)
 
 
 def season_tags(lowered: Column, seasons: Mapping[str, Sequence[str]] = SEASON_KEYWORDS) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,15 +32,15 @@ def browse_products(
     if seller_id is not None:
         rows = rows.where(F.col("seller_id") == seller_id)
     if min_price is not None:
-        rows = rows.where(F.col("price") >= money(min_price))
+        rows = rows.where(F.col("price") >= exact(min_price))
     if max_price is not None:
-        rows = rows.where(F.col("price") <= money(max_price))
+        rows = rows.where(F.col("price") <= exact(max_price))
     return top_rows(rows, [F.col("scraped_at").desc()], limit, columns, offset)
 
 
-def money(amount: float) -> Column:
-    """A price limit as a decimal, so that the filter reaches the reader."""
-    return F.lit(str(amount)).cast("decimal(10,2)")
+def exact(amount: float) -> Column:
+    """A limit as a decimal of its own scale: compared exactly, never rounded to the column's scale."""
+    return F.lit(Decimal(str(amount)))
 
 
 RATED = ("product_id", "title", "price", "average_rating", "total_reviews", "seller_name")
@@ -55,7 +56,7 @@ TRENDING = (
 
 def top_rated(products: DataFrame, min_rating: float = 4.5, min_reviews: int = 50, limit: int = 20) -> DataFrame:
     rows = products.where(
-        (F.col("average_rating") >= F.lit(str(min_rating)).cast("decimal(3,2)"))
+        (F.col("average_rating") >= exact(min_rating))
         & (F.col("total_reviews") >= min_reviews)
     )
     return top_rows(rows, [F.desc("average_rating"), F.desc("total_reviews")], limit, RATED)

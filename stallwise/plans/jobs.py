@@ -15,11 +15,15 @@ from stallwise.operators.market import health_check
 from stallwise.operators.pages import discovered_products, fetched, product_fields
 from stallwise.operators.trends import trend_rows
 from stallwise.operators.worklist import (
+    FAILED,
+    SCRAPED,
+    apply_fetch_results,
     calculate_priorities,
     hot_categories,
     maintenance_counts,
     mark_inactive,
     merge_discovered,
+    select_work,
     skip_failed,
 )
 from stallwise.plans.reports import Report, business_report, insights, shared_tables
@@ -27,22 +31,19 @@ from stallwise.sources import schemas as S
 from stallwise.sources.catalogue import SITE
 from stallwise.sources.tables import (
     RETENTION_DAYS,
+    changed_months,
     expire_months,
     latest_version,
+    mark_done,
     read_snapshot,
     read_table,
     replace_months,
-    stored_months,
     write_products,
     write_report,
     write_snapshot,
     write_trends,
 )
 
-BROADCAST_ROWS = 100_000
-"""Most category ids a job sends to every executor; beyond it they are shuffled."""
-
-
 @dataclass(frozen=True)
 class Paths:
     """Where the stored tables, work-list versions and reports live."""
@@ -70,46 +71,47 @@ def _next_version(spark: SparkSession, root: str) -> int:
     return 0 if last is None else last + 1
 
 
-def _open_months(
-    spark: SparkSession, table: S.Table, source: str, target: str, since: datetime | None
+def _bring_up_to_date(
+    spark: SparkSession, table: S.Table, source: str, target: str, made: Callable[[DataFrame], DataFrame]
 ) -> set[int]:
-    """Months to process: those from ``since`` on, and any the target lacks."""
-    stored = stored_months(spark, table, source)
-    if since is None:
-        return stored
-    first = since.year * 100 + since.month
-    return {m for m in stored if m >= first} | (stored - stored_months(spark, table, target))
+    """Make the months of ``target`` again whose source has changed since, and no others.
+
+    The states are taken before the rows are read, so rows that are appended
+    meanwhile are found again by the next run. Late rows count like any other.
+    """
+    states = changed_months(spark, table, source, target)
+    if states:
+        rows = read_table(spark, table, source, months=set(states))
+        replace_months(made(rows), table, target)
+        mark_done(spark, target, states)
+    return set(states)
+
+
+def enrich_stored(spark: SparkSession, paths: Paths) -> set[int]:
+    """Bring the enriched products up to date; gives the months that were made again."""
+    return _bring_up_to_date(
+        spark, S.PRODUCTS, paths.table(S.PRODUCTS), paths.enriched_products, lambda rows: enrich_products(rows, tags="tags")
+    )
 
 
 def run_daily(
-    spark: SparkSession,
-    paths: Paths,
-    since: datetime | None = None,
-    load_scorer: Callable[[], Scorer] | None = None,
+    spark: SparkSession, paths: Paths, load_scorer: Callable[[], Scorer] | None = None
 ) -> tuple[set[int], set[int]]:
-    """Enrich the products, then score the unscored reviews, month by month folder.
+    """Enrich the products, then score the unscored reviews, in the months with new rows.
 
-    With ``since`` only the months that may have new rows are done again; the
-    first run does them all. Gives the months of products and of reviews.
+    Gives the months of products and of reviews.
     """
-    source, target = paths.table(S.PRODUCTS), paths.enriched_products
-    product_months = _open_months(spark, S.PRODUCTS, source, target, since)
-    products = read_table(spark, S.PRODUCTS, source, months=product_months)
-    replace_months(enrich_products(products, tags="tags"), S.PRODUCTS, target)
-
-    source, target = paths.table(S.REVIEWS), paths.scored_reviews
-    review_months = _open_months(spark, S.REVIEWS, source, target, since)
-    reviews = read_table(spark, S.REVIEWS, source, months=review_months)
-    replace_months(score_missing(reviews, load_scorer), S.REVIEWS, target)
-    return product_months, review_months
+    products = enrich_stored(spark, paths)
+    reviews = _bring_up_to_date(
+        spark, S.REVIEWS, paths.table(S.REVIEWS), paths.scored_reviews, lambda rows: score_missing(rows, load_scorer)
+    )
+    return products, reviews
 
 
 def current_products(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Enriched products where a daily run has left some, else the raw observations."""
-    path = paths.enriched_products
-    if not stored_months(spark, S.PRODUCTS, path):
-        path = paths.table(S.PRODUCTS)
-    return read_table(spark, S.PRODUCTS, path, keep_month=True)
+    """All products enriched, rows appended since the last daily run included."""
+    enrich_stored(spark, paths)
+    return read_table(spark, S.PRODUCTS, paths.enriched_products, keep_month=True)
 
 
 def run_weekly(spark: SparkSession, paths: Paths, as_of: datetime) -> tuple[str, int]:
@@ -133,8 +135,7 @@ def run_maintenance(spark: SparkSession, paths: Paths, as_of: datetime) -> dict[
     root = paths.table(S.MASTER_PRODUCTS)
     before = read_snapshot(spark, S.MASTER_PRODUCTS, root)
     hot = hot_categories(products, as_of).persist()
-    marks = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
-    after = calculate_priorities(skip_failed(mark_inactive(before, as_of)), products, as_of, hot=marks)
+    after = calculate_priorities(skip_failed(mark_inactive(before, as_of)), products, as_of, hot=hot)
     path = write_snapshot(after, S.MASTER_PRODUCTS, root, _next_version(spark, root))
     hot.unpersist()
     written = read_table(spark, S.MASTER_PRODUCTS, path)
@@ -154,16 +155,53 @@ def run_discovery(
     return write_snapshot(merged, S.MASTER_PRODUCTS, root, _next_version(spark, root))
 
 
+def run_updates(
+    spark: SparkSession,
+    paths: Paths,
+    pages: DataFrame,
+    as_of: datetime,
+    limit: int = 200,
+    priority_min: int = 1,
+) -> tuple[int, int]:
+    """Take over fetched product pages: rows of the products that arrived, results of all that were tried.
+
+    The work is selected as a fetcher would select it and matched with the
+    pages by URL; of several pages of a URL any usable one counts. Work without
+    a page stays pending. Gives the rows written and the products tried.
+    """
+    root = paths.table(S.MASTER_PRODUCTS)
+    master = read_snapshot(spark, S.MASTER_PRODUCTS, root)
+    work = select_work(master, limit, priority_min).select("product_id", "product_url")
+    tried = pages.join(work, pages["url"] == work["product_url"], "left_semi").persist()
+    rows = product_fields(fetched(tried), as_of).dropDuplicates(["product_url"])
+    arrived = rows.join(work.select(F.col("product_id").alias("_id"), F.col("product_url").alias("_url")), F.col("product_url") == F.col("_url"))
+    arrived = arrived.withColumn("product_id", F.col("_id")).drop("_id", "_url").persist()
+    written = write_products(arrived, paths.table(S.PRODUCTS), as_of)
+    seen = tried.select("url").distinct().join(work, F.col("url") == F.col("product_url"))
+    good = arrived.select(F.col("product_id").alias("_id"))
+    status = F.when(F.col("_id").isNotNull(), F.lit(SCRAPED)).otherwise(F.lit(FAILED))
+    results = seen.join(good, F.col("product_id") == F.col("_id"), "left").select(
+        "product_id", status.alias("status"), F.lit(as_of).cast("timestamp_ntz").alias("fetched_at")
+    )
+    counted = results.count()
+    write_snapshot(apply_fetch_results(master, results), S.MASTER_PRODUCTS, root, _next_version(spark, root))
+    arrived.unpersist()
+    tried.unpersist()
+    return written, counted
+
+
 def run_full(
     spark: SparkSession,
     paths: Paths,
     pages: DataFrame,
     as_of: datetime,
 ) -> tuple[int, Report]:
-    """Fetched product pages to rows, enrichment of their months, insights."""
-    written = write_products(product_fields(fetched(pages), as_of), paths.table(S.PRODUCTS), as_of)
-    source, target = paths.table(S.PRODUCTS), paths.enriched_products
-    months = _open_months(spark, S.PRODUCTS, source, target, as_of)
-    products = read_table(spark, S.PRODUCTS, source, months=months)
-    replace_months(enrich_products(products, tags="tags"), S.PRODUCTS, target)
+    """Fetched product pages to rows and work-list results, enrichment, insights.
+
+    Without a work list all arrived pages become rows.
+    """
+    if latest_version(spark, paths.table(S.MASTER_PRODUCTS)) is None:
+        written = write_products(product_fields(fetched(pages), as_of), paths.table(S.PRODUCTS), as_of)
+    else:
+        written, _ = run_updates(spark, paths, pages, as_of)
     return written, insights(business_report(current_products(spark, paths), as_of))

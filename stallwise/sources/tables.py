@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Collection
 from datetime import datetime, timedelta
 
@@ -110,7 +111,9 @@ def append(df: DataFrame, table: Table, path: str, as_of: datetime | None = None
     seen = Observation()
     rows = conform(df, table, as_of).observe(seen, row_count().alias("rows"))
     _layout(rows, table).mode("append").parquet(path)
-    return int(seen.get["rows"])
+    # Rows that the optimizer knows to be none are never counted: the observation is then an empty row.
+    counted = seen._jo.getRow()
+    return int(counted.getLong(0)) if counted.size() else 0
 
 
 def replace_months(df: DataFrame, table: Table, path: str) -> None:
@@ -159,20 +162,91 @@ def expire_months(spark: SparkSession, table: Table, path: str, days: int, as_of
     cut = as_of - timedelta(days=days)
     boundary = cut.year * 100 + cut.month
     prefix = f"{table.month_column}="
+    # A run that was lost while taking a finished rewrite: the rewrite comes first.
+    for name in list_folder(spark, path):
+        folder = f"{path}/{prefix}{name.removeprefix('_rewrite_')}"
+        if name.startswith("_rewrite_"):
+            staged = list_folder(spark, f"{path}/{name}")
+            if TAKEN in staged or ("_SUCCESS" in staged and not list_folder(spark, folder)):
+                _take_rewrite(spark, f"{path}/{name}", folder)
     months = stored_months(spark, table, path)
     for month in sorted(m for m in months if m < boundary):
         delete_folder(spark, f"{path}/{prefix}{month}")
-    folder = f"{path}/{prefix}{boundary}"
-    staged = f"{path}/_rewrite_{boundary}"
-    if boundary not in months:
-        # A run that was lost after the delete left its finished rewrite behind.
-        if "_SUCCESS" in list_folder(spark, staged):
-            rename_folder(spark, staged, folder)
-        return
-    kept = apply_retention(spark.read.schema(table.schema).parquet(folder), table.month_of, days, as_of)
-    kept.sortWithinPartitions(*table.sort_by).write.mode("overwrite").parquet(staged)
-    delete_folder(spark, folder)
-    rename_folder(spark, staged, folder)
+    if boundary in months:
+        folder = f"{path}/{prefix}{boundary}"
+        staged = f"{path}/_rewrite_{boundary}"
+        kept = apply_retention(spark.read.schema(table.schema).parquet(folder), table.month_of, days, as_of)
+        kept.sortWithinPartitions(*table.sort_by).write.mode("overwrite").parquet(staged)
+        _take_rewrite(spark, staged, folder)
+
+
+TAKEN = "_TAKES_"
+"""Marks a rewrite that replaces files: a file of this name lists them."""
+
+
+def _take_rewrite(spark: SparkSession, staged: str, folder: str) -> None:
+    """Put the files of a rewrite in the place of those it was made from.
+
+    The replaced names are kept in the rewrite until all is done, so a lost run
+    is finished by the next one, and files appended meanwhile stay.
+    """
+    if TAKEN not in list_folder(spark, staged):
+        write_text(spark, f"{staged}/{TAKEN}", "\n".join(n for n in list_folder(spark, folder) if n.startswith("part-")))
+    target, fs = _filesystem(spark, folder)
+    fs.mkdirs(target)
+    for name in list_folder(spark, staged):
+        if name.startswith("part-"):
+            rename_folder(spark, f"{staged}/{name}", f"{folder}/{name}")
+    for name in read_text(spark, f"{staged}/{TAKEN}").split("\n"):
+        if name:
+            delete_folder(spark, f"{folder}/{name}")
+    delete_folder(spark, staged)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file; an error if it exists."""
+    target, fs = _filesystem(spark, path)
+    out = fs.create(target, False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    target, fs = _filesystem(spark, path)
+    source = fs.open(target)
+    text = bytes(source.readAllBytes()).decode()
+    source.close()
+    return text
+
+
+DONE = "_done"
+"""Folder of a derived table that names the state of the source each month was made from."""
+
+
+def month_states(spark: SparkSession, table: Table, path: str) -> dict[int, str]:
+    """A digest of each stored month's file names: another one as soon as rows are appended."""
+    found = {}
+    for month in stored_months(spark, table, path):
+        names = sorted(n for n in list_folder(spark, f"{path}/{table.month_column}={month}") if n.startswith("part-"))
+        found[month] = hashlib.md5("\n".join(names).encode()).hexdigest()
+    return found
+
+
+def changed_months(spark: SparkSession, table: Table, source: str, target: str) -> dict[int, str]:
+    """Months of the source, with their state, that ``target`` was not made from."""
+    done = set(list_folder(spark, f"{target}/{DONE}"))
+    made = stored_months(spark, table, target)
+    return {m: s for m, s in month_states(spark, table, source).items() if f"{m}-{s}" not in done or m not in made}
+
+
+def mark_done(spark: SparkSession, target: str, states: dict[int, str]) -> None:
+    """Note the states that months of ``target`` have been made from."""
+    before = list_folder(spark, f"{target}/{DONE}")
+    for month, state in states.items():
+        for name in before:
+            if name.startswith(f"{month}-"):
+                delete_folder(spark, f"{target}/{DONE}/{name}")
+        write_text(spark, f"{target}/{DONE}/{month}-{state}", "")
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -195,17 +269,30 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 def rename_folder(spark: SparkSession, source: str, target: str) -> None:
     origin, fs = _filesystem(spark, source)
-    fs.rename(origin, spark._jvm.org.apache.hadoop.fs.Path(target))
+    if not fs.rename(origin, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+VERSIONS_KEPT = 3
 
 
-def write_snapshot(df: DataFrame, table: Table, root: str, version: int, as_of: datetime | None = None) -> str:
+def write_snapshot(
+    df: DataFrame, table: Table, root: str, version: int, as_of: datetime | None = None, keep: int = VERSIONS_KEPT
+) -> str:
     """Write a new version next to the old ones; readers switch when it is complete.
 
-    A version left half-written by a lost run is replaced as a whole.
+    A version left half-written by a lost run is replaced as a whole; one that
+    another job has completed is an error, never overwritten. Versions before
+    the newest ``keep`` are removed.
     """
     path = f"{root}/version={version:012d}"
+    if "_SUCCESS" in list_folder(spark := df.sparkSession, path):
+        raise FileExistsError(f"{path} has been written by another job")
     writer = _layout(conform(df, table, as_of), table).mode("overwrite")
     writer.option("partitionOverwriteMode", "static").parquet(path)
+    for name in list_folder(spark, root):
+        if name.startswith("version=") and int(name.split("=", 1)[1]) <= version - keep:
+            delete_folder(spark, f"{root}/{name}")
     return path
 
 

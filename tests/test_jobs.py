@@ -2,12 +2,14 @@
 
 import glob
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks import inputs as I
 from stallwise.operators.browse import trending_recent
+from stallwise.operators.worklist import select_work
 from stallwise.plans import jobs as J
 from stallwise.plans import reports as C
 from stallwise.sources import fixtures as X
@@ -48,14 +50,52 @@ def test_daily(spark, paths):
     assert kept.exceptAll(after.select(kept.columns)).count() == 0
 
 
-def test_daily_repeats_recent_months_only(spark, paths):
-    months, _ = J.run_daily(spark, paths)
+def test_daily_does_changed_months_only(spark, paths):
+    J.run_daily(spark, paths)
+    assert J.run_daily(spark, paths) == (set(), set())
+    months = T.stored_months(spark, S.PRODUCTS, paths.enriched_products)
     T.delete_folder(spark, f"{paths.enriched_products}/scrape_month={min(months)}")
-    again, _ = J.run_daily(spark, paths, since=NOW)
-    assert again == {m for m in months if m >= 200001} | {min(months)}
+    assert J.run_daily(spark, paths) == ({min(months)}, set())
     assert T.read_table(spark, S.PRODUCTS, paths.enriched_products).count() == 6000
 
 
+def test_late_and_new_rows_are_in_every_job(spark, tmp_path):
+    """A late row in an old month and one of a new month: both are enriched, weekly reads them without a daily run."""
+    p = J.Paths(str(tmp_path))
+    row = "product_id string, title string, price decimal(10,2), tags array<string>, scraped_at timestamp_ntz"
+    add = lambda i, t: T.write_products(spark.createDataFrame([(i, "hot ring", 5, [], t)], row.replace("decimal(10,2)", "int")), p.table(S.PRODUCTS), NOW)
+    add("old", datetime(1999, 3, 5))
+    add("late month", datetime(1999, 9, 5))
+    assert J.run_daily(spark, p)[0] == {199903, 199909}
+    add("late", datetime(1999, 3, 1))
+    add("new", datetime(2000, 1, 1))
+    J.run_weekly(spark, p, NOW)
+    got = {r.product_id: r.category_id for r in T.read_table(spark, S.PRODUCTS, p.enriched_products).collect()}
+    assert got == dict.fromkeys(("old", "late month", "late", "new"), "jewelry")
+    assert J.run_daily(spark, p) == (set(), set())
+
+
+def test_updates(spark, tmp_path):
+    """Arrived pages become rows and scraped work, broken ones count as errors, the rest stays pending."""
+    p = J.Paths(str(tmp_path))
+    master = X.master_products(spark, SMALL).where("is_active = 1")
+    T.write_snapshot(master, S.MASTER_PRODUCTS, p.table(S.MASTER_PRODUCTS), 0)
+    work = [r.product_id for r in select_work(master, 3).collect()]
+    url = lambda i: f"https://shop.example/item/{i}.html"
+    page = '<h1 class="product-title-text">T</h1><span class="notranslate">$5</span>'
+    pages = spark.createDataFrame([(url(work[0]), page, 200), (url(work[1]), None, 503), ("https://else/item/9.html", page, 200)], "url string, html string, status_code int")
+    assert J.run_updates(spark, p, pages, NOW, limit=3) == (1, 2)
+    rows = T.read_table(spark, S.PRODUCTS, p.table(S.PRODUCTS)).collect()
+    assert [(r.product_id, r.title) for r in rows] == [(work[0], "T")]
+    before = {r.product_id: r for r in master.collect()}
+    after = {r.product_id: r for r in T.read_snapshot(spark, S.MASTER_PRODUCTS, p.table(S.MASTER_PRODUCTS)).collect()}
+    assert after[work[0]].scrape_status == "scraped" and after[work[0]].last_scraped_at == NOW
+    assert after[work[1]].scrape_status == "failed" and after[work[1]].error_count == before[work[1]].error_count + 1
+    assert {i: r for i, r in after.items() if i not in work[:2]} == {i: r for i, r in before.items() if i not in work[:2]}
+    assert T.latest_version(spark, p.table(S.MASTER_PRODUCTS)) == 1
+    assert work[2] in [r.product_id for r in select_work(spark.createDataFrame(list(after.values()), master.schema), 1).collect()]
+
+
 def test_look_back_opens_recent_months_only(spark, paths):
     products = T.read_table(spark, S.PRODUCTS, paths.table(S.PRODUCTS), keep_month=True)
     for as_of in (NOW, None):

@@ -105,22 +105,41 @@ def test_retention_of_a_stored_table(spark, rows, tmp_path):
 
 def test_retention_resumes_after_a_lost_rewrite(spark, rows, tmp_path):
     path = str(tmp_path / "logs")
-    T.append(log_rows(rows, datetime(1999, 12, 1), datetime(1999, 12, 20)), S.SCRAPING_LOGS, path, NOW)
+    T.append(log_rows(rows, datetime(1999, 12, 10), datetime(1999, 12, 20)), S.SCRAPING_LOGS, path, NOW)
     T.rename_folder(spark, f"{path}/scrape_month=199912", f"{path}/_rewrite_199912")
     (tmp_path / "logs" / "_rewrite_199912" / "_SUCCESS").touch()
     T.expire_months(spark, S.SCRAPING_LOGS, path, 30, NOW)
     assert T.read_table(spark, S.SCRAPING_LOGS, path).count() == 2
 
 
+def test_retention_finishes_a_rewrite_that_was_being_taken(spark, rows, tmp_path):
+    """The lost run had moved one file and not yet removed the old ones; a file appended since stays."""
+    path = str(tmp_path / "logs")
+    T.append(log_rows(rows, datetime(1999, 12, 1), datetime(1999, 12, 20)), S.SCRAPING_LOGS, path, NOW)
+    folder, staged = tmp_path / "logs" / "scrape_month=199912", tmp_path / "logs" / "_rewrite_199912"
+    old = [f.name for f in folder.glob("part-*")]
+    T.append(log_rows(rows, datetime(1999, 12, 25)), S.SCRAPING_LOGS, str(tmp_path / "more"), NOW)
+    for f in (tmp_path / "more" / "scrape_month=199912").glob("part-*"):
+        f.rename(folder / f.name)
+    T.append(log_rows(rows, datetime(1999, 12, 20)), S.SCRAPING_LOGS, str(tmp_path / "new"), NOW)
+    (tmp_path / "new" / "scrape_month=199912").rename(staged)
+    (staged / "_SUCCESS").touch()
+    (staged / T.TAKEN).write_text("\n".join(old))
+    T.expire_months(spark, S.SCRAPING_LOGS, path, 30, NOW)
+    assert T.read_table(spark, S.SCRAPING_LOGS, path).count() == 2 and not staged.exists()
+
+
 def test_snapshots_show_finished_versions_only(spark, tmp_path):
     root = str(tmp_path / "master")
     assert T.latest_version(spark, root) is None
     empty = spark.createDataFrame([], S.MASTER_PRODUCTS.schema)
     T.write_snapshot(empty, S.MASTER_PRODUCTS, root, 0, NOW)
     assert T.read_snapshot(spark, S.MASTER_PRODUCTS, root).count() == 0
-    for day in (40, 0):  # the second write of a version leaves nothing of the first
-        found = spark.createDataFrame([("p", NOW - timedelta(days=day))], "product_id string, discovered_at timestamp_ntz")
-        T.write_snapshot(found, S.MASTER_PRODUCTS, root, 1, NOW)
+    found = spark.createDataFrame([("p", NOW)], "product_id string, discovered_at timestamp_ntz")
+    (tmp_path / "master" / "version=000000000001").mkdir()  # half-written: replaced
+    T.write_snapshot(found, S.MASTER_PRODUCTS, root, 1, NOW)
+    with pytest.raises(FileExistsError):  # complete: another job's
+        T.write_snapshot(empty, S.MASTER_PRODUCTS, root, 1, NOW)
     (tmp_path / "master" / "version=000000000002").mkdir()
     assert T.latest_version(spark, root) == 1
     row = T.read_snapshot(spark, S.MASTER_PRODUCTS, root).collect()
