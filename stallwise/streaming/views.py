@@ -23,41 +23,54 @@ def maintain(
     checkpoint: str,
     available_now: bool = True,
     every: str = "1 minute",
+    compact_every: int = 60,
 ) -> StreamingQuery:
     """Start keeping ``summary`` of a stream under ``path``.
 
     A micro-batch that is repeated after a failure overwrites its own folder,
-    so every input row counts exactly once.
+    so every input row counts exactly once. After ``compact_every`` batches
+    the stored parts are added up, and what the compaction before covered is
+    removed, so a read lists and adds up a bounded number of folders. The view
+    starts as an empty one, so it can be read at any time.
     """
+    spark = rows.sparkSession
+    if not _compactions(spark, path):
+        summary.partial(spark.createDataFrame([], rows.schema)).write.mode("overwrite").parquet(f"{path}/upto=-1")
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
         summary.partial(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            before = max(_compactions(own, path))
+            compact(own, summary, path)
+            drop_covered(own, path, before)
 
     writer = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
     return writer.start()
 
 
-def _stored(spark: SparkSession, path: str) -> tuple[int, list[int]]:
-    """Last compacted batch (-1: none) and the complete batches after it."""
+def _complete(spark: SparkSession, path: str, kind: str) -> list[int]:
+    return [
+        int(name.split("=", 1)[1])
+        for name in list_folder(spark, path)
+        if name.startswith(f"{kind}=") and "_SUCCESS" in list_folder(spark, f"{path}/{name}")
+    ]
+
 
-    def complete(kind: str) -> list[int]:
-        return [
-            int(name.split("=", 1)[1])
-            for name in list_folder(spark, path)
-            if name.startswith(f"{kind}=") and "_SUCCESS" in list_folder(spark, f"{path}/{name}")
-        ]
+def _compactions(spark: SparkSession, path: str) -> list[int]:
+    return _complete(spark, path, "upto")
 
-    upto = max(complete("upto"), default=-1)
-    return upto, sorted(i for i in complete("batch") if i > upto)
+
+def _stored(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """Last compacted batch (-1: none yet) and the complete batches after it."""
+    upto = max(_compactions(spark, path), default=-1)
+    return upto, sorted(i for i in _complete(spark, path, "batch") if i > upto)
 
 
 def _parts(spark: SparkSession, path: str) -> DataFrame:
     upto, batches = _stored(spark, path)
-    folders = [f"{path}/batch={i}" for i in batches]
-    if upto >= 0:
-        folders.append(f"{path}/upto={upto}")
-    return spark.read.parquet(*folders)
+    return spark.read.parquet(f"{path}/upto={upto}", *(f"{path}/batch={i}" for i in batches))
 
 
 def read_view(spark: SparkSession, summary: Summary, path: str) -> DataFrame:
@@ -76,9 +89,10 @@ def compact(spark: SparkSession, summary: Summary, path: str) -> None:
         summary.combine(_parts(spark, path)).write.mode("overwrite").parquet(f"{path}/upto={batches[-1]}")
 
 
-def drop_covered(spark: SparkSession, path: str) -> None:
-    """Delete batches and older compactions the newest compaction covers."""
-    upto, _ = _stored(spark, path)
+def drop_covered(spark: SparkSession, path: str, upto: int | None = None) -> None:
+    """Delete batches and older compactions that the newest compaction, or the one ``upto``, covers."""
+    if upto is None:
+        upto, _ = _stored(spark, path)
     for name in list_folder(spark, path):
         kind, _, number = name.partition("=")
         if (kind == "batch" and int(number) <= upto) or (kind == "upto" and int(number) < upto):

@@ -91,3 +91,19 @@ def test_sentiment_counts_without_labels(rows, label, expected):
     row = V.sentiment_summary(df).first()
     assert (row.positive_reviews, row.negative_reviews, row.neutral_reviews) == expected
     assert (row.review_count, row.avg_sentiment) == (1, None)
+
+
+def test_view_before_the_first_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    view = str(tmp_path / "view")
+    S.maintain(source_stream(spark, str(tmp_path / "in")), V.DAILY_PRICES, view, str(tmp_path / "progress")).awaitTermination()
+    empty = S.read_view(spark, V.DAILY_PRICES, view)
+    assert empty.count() == 0 and empty.columns == ["product_id", "date", "avg_price", "min_price", "max_price", "price_points"]
+
+
+def test_view_stays_short(spark, tmp_path):
+    source, everything = batches(spark, tmp_path, 9)
+    view = str(tmp_path / "view")
+    S.maintain(source_stream(spark, source), V.DAILY_PRICES, view, str(tmp_path / "progress"), compact_every=2).awaitTermination()
+    assert table(S.read_view(spark, V.DAILY_PRICES, view)) == table(V.daily_price_changes(everything))
+    assert sorted(n for n in S.list_folder(spark, view) if "=" in n) == ["batch=6", "batch=7", "batch=8", "upto=5", "upto=7"]
