@@ -251,6 +251,9 @@ ORDER BY {WEIGHT} DESC, total_reviews DESC, trend_score DESC,
 LIMIT 50"""),
     "apply_retention": q(f"""SELECT product_id, price, original_price, discount_percentage, currency,
   scraped_at AS recorded_at, scraped_at FROM products
+WHERE scraped_at >= {AS_OF} - INTERVAL '90' DAY"""),
+    "stored_retention": q(f"""SELECT product_id, price, original_price, discount_percentage, currency,
+  scraped_at AS recorded_at, scraped_at FROM products
 WHERE scraped_at >= {AS_OF} - INTERVAL '90' DAY"""),
     "browse_products": q(top(
         "product_id, title, price, original_price, discount_percentage, currency, shipping_cost, free_shipping, "
@@ -437,6 +440,21 @@ counted AS (SELECT *, {counts_of('txt')} FROM texts), won AS ({winner_of()})
 SELECT product_id, obs_id, seller_id, price, coalesce(winner, 'other') AS category_id,
   coalesce(winner, 'Other') AS category_name, array_to_string({seasons_of('txt')}, ',') AS seasonal_tags,
   least(best / 10.0e0, 1.0e0) AS trend_score FROM won"""),
+    "stored_enrichment": q(f"""WITH texts AS (SELECT *, lower(title) AS txt FROM products),
+counted AS (SELECT *, {counts_of('txt')} FROM texts), won AS ({winner_of()})
+SELECT product_id, seller_id, price, scraped_at, coalesce(winner, 'other') AS category_id,
+  coalesce(winner, 'Other') AS category_name, array_to_string({seasons_of('txt')}, ',') AS seasonal_tags,
+  least(best / 10.0e0, 1.0e0) AS trend_score FROM won"""),
+    "stored_updates": q(f"""WITH work AS (SELECT product_id FROM master_products
+  WHERE scrape_status = 'pending' AND scrape_priority >= 1 AND is_active = 1
+  ORDER BY scrape_priority DESC, discovered_at, {ties('product_id, product_url, category_id, category_name, scrape_priority, error_count')} LIMIT 300)
+SELECT m.product_id, product_url, category_id, category_name, discovered_at,
+  CASE WHEN w.product_id IS NOT NULL AND CAST(m.product_id AS BIGINT) % 3 <> 0 THEN {AS_OF} ELSE last_scraped_at END AS last_scraped_at,
+  CASE WHEN w.product_id IS NULL THEN scrape_status WHEN CAST(m.product_id AS BIGINT) % 3 = 0 THEN 'failed' ELSE 'scraped' END AS scrape_status,
+  scrape_priority,
+  CAST(error_count + CASE WHEN w.product_id IS NOT NULL AND CAST(m.product_id AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS INT) AS error_count,
+  is_active
+FROM master_products m LEFT JOIN work w ON m.product_id = w.product_id""", "master_products"),
     "product_trends": q("""WITH o AS (SELECT *, count(*) OVER (PARTITION BY product_id) AS n,
     row_number() OVER (PARTITION BY product_id ORDER BY scraped_at, price, total_sales) AS rf,
     row_number() OVER (PARTITION BY product_id ORDER BY scraped_at DESC, price DESC, total_sales DESC) AS rl,
@@ -531,6 +549,11 @@ SELECT category_id, category_name, 2 * (SELECT count(*) FROM f WHERE f.category_
     "executive_summary": q(f"""SELECT count(*) AS total_products_analyzed, count(DISTINCT category_id) AS total_categories,
   count(DISTINCT seller_id) AS total_sellers,
   CAST(sum(price) FILTER (WHERE price > 0) AS DOUBLE) / count(*) FILTER (WHERE price > 0) AS avg_market_price,
+  CAST(sum(average_rating) FILTER (WHERE average_rating > 0) AS DOUBLE)
+    / count(*) FILTER (WHERE average_rating > 0) AS avg_market_rating FROM products"""),
+    "stored_report": q(f"""SELECT count(*) AS total_products_analyzed, count(DISTINCT category_id) AS total_categories,
+  count(DISTINCT seller_id) AS total_sellers,
+  CAST(sum(price) FILTER (WHERE price > 0) AS DOUBLE) / count(*) FILTER (WHERE price > 0) AS avg_market_price,
   CAST(sum(average_rating) FILTER (WHERE average_rating > 0) AS DOUBLE)
     / count(*) FILTER (WHERE average_rating > 0) AS avg_market_rating FROM products"""),
     "recommendations": q(f"""WITH c AS ({top('category_id, category_name, product_count, avg_price',

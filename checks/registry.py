@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import inputs as I
+from checks import stored
 from stallwise.operators import browse as B
 from stallwise.operators import enrich as E
 from stallwise.operators import market as M
@@ -338,6 +339,10 @@ QUERIES: dict[str, Query] = {
     "categorize_reviews": _review_categories,
     "season_tags": _season_tags,
     "enrich_products": _enrich,
+    "stored_enrichment": stored.enrichment,
+    "stored_retention": stored.retention,
+    "stored_report": stored.report,
+    "stored_updates": stored.updates,
     "product_trends": _product_trends,
     # pages
     "listing_links": _listing,
