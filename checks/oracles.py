@@ -2,16 +2,55 @@
 
 from __future__ import annotations
 
-from stallwise.functions.text import (
-    CATEGORY_KEYWORDS,
-    CYRILLIC,
-    FRENCH,
-    HAN,
-    REVIEW_KEYWORDS,
-    SEASON_KEYWORDS,
-    SPANISH,
+# Fixed values, written once more so that a wrong one in the library shows.
+REVIEW_KEYWORDS = (
+    "quality", "shipping", "fast", "slow", "good", "bad", "excellent", "terrible", "recommend", "worth",
+    "price", "cheap", "expensive", "durable", "fragile", "easy", "difficult", "customer service",
 )
-from stallwise.sources.catalogue import CATALOGUE, category_url
+CATEGORY_KEYWORDS = {
+    "electronics": ("phone", "computer", "electronic", "tech", "digital", "wireless", "bluetooth"),
+    "clothing": ("shirt", "dress", "pants", "shoes", "jacket", "fashion", "wear"),
+    "home": ("furniture", "decoration", "kitchen", "bedroom", "living", "home"),
+    "beauty": ("makeup", "skincare", "beauty", "cosmetic", "perfume", "hair"),
+    "sports": ("fitness", "sport", "exercise", "gym", "outdoor", "athletic"),
+    "automotive": ("car", "auto", "vehicle", "motor", "engine", "automotive"),
+    "toys": ("toy", "game", "children", "kids", "play", "educational"),
+    "jewelry": ("ring", "necklace", "bracelet", "jewelry", "gold", "silver"),
+}
+SEASON_KEYWORDS = {
+    "halloween": ("halloween", "spooky", "costume", "pumpkin", "ghost", "witch"),
+    "christmas": ("christmas", "holiday", "gift", "santa", "tree", "ornament"),
+    "summer": ("summer", "beach", "swim", "vacation", "hot", "sunny"),
+    "winter": ("winter", "cold", "snow", "warm", "coat", "heater"),
+    "spring": ("spring", "flower", "garden", "fresh", "renewal"),
+    "fall": ("fall", "autumn", "harvest", "leaves", "cozy"),
+}
+HAN = "\u4e00-\u9fff"
+CYRILLIC = "а-яё"
+SPANISH = "áéíóúñ"
+FRENCH = "àâäéèêëïîôöùûüÿç"
+CATALOGUE = (  # id, name, page, parent
+    ("100003070", "Electronics", "electronics", ""),
+    ("5090301", "Mobile & Accessories", "mobile-accessories", "100003070"),
+    ("5090302", "Laptop & Accessories", "laptop-accessories", "100003070"),
+    ("7", "Computer & Office", "computer-office", "100003070"),
+    ("100003109", "Apparel & Accessories", "clothing", ""),
+    ("100003116", "Women's Clothing", "womens-clothing", "100003109"),
+    ("100003117", "Men's Clothing", "mens-clothing", "100003109"),
+    ("15", "Home & Garden", "home-garden", ""),
+    ("205950002", "Kitchen & Dining", "kitchen-dining", "15"),
+    ("205950003", "Home Decor", "home-decor", "15"),
+    ("66", "Beauty & Health", "beauty-health", ""),
+    ("1501", "Makeup", "makeup", "66"),
+    ("1502", "Skincare", "skincare", "66"),
+    ("36", "Sports & Outdoors", "sports-outdoors", ""),
+    ("50008163", "Fitness & Body Building", "fitness-body-building", "36"),
+    ("205950006", "Camping & Hiking", "camping-hiking", "36"),
+    ("34", "Toys & Hobbies", "toys-hobbies", ""),
+    ("26", "Automotive", "automotive", ""),
+    ("1503", "Jewelry & Accessories", "jewelry-accessories", ""),
+)
+# End of the fixed values.
 
 AS_OF = "TIMESTAMP '2000-01-01 00:00:00'"
 
@@ -215,8 +254,8 @@ PHRASES = (
 CATALOGUE_CASE = {
     what: "CASE "
     + " ".join(
-        f"WHEN contains(url, '{category_url(cid, page)}') THEN '{(cid if what == 'id' else name).replace(chr(39), chr(39) * 2)}'"
-        for cid, name, page, _, _ in CATALOGUE
+        f"WHEN contains(url, 'https://shop.example/category/{cid}/{page}.html') THEN '{(cid if what == 'id' else name).replace(chr(39), chr(39) * 2)}'"
+        for cid, name, page, _ in CATALOGUE
     )
     + " ELSE '' END"
     for what in ("id", "name")
@@ -535,7 +574,7 @@ FROM master_products m LEFT JOIN last ON m.product_id = last.product_id LEFT JOI
     "boost_category": q("""SELECT * REPLACE (CASE WHEN category_id = 'promo' AND scrape_status = 'pending' AND is_active = 1
   THEN least(scrape_priority + 2, 10) ELSE scrape_priority END AS scrape_priority) FROM master_products""", "master_products"),
     "discovery_counts": """WITH top(category_id, category_name) AS (VALUES """
-    + ", ".join(f"('{c}', '{n}')" for c, n, _, parent, _ in CATALOGUE if parent == "")
+    + ", ".join(f"('{c}', '{n}')" for c, n, _, parent in CATALOGUE if parent == "")
     + f"""), f AS (SELECT {CATALOGUE_CASE['id']} AS category_id FROM (SELECT {LISTING_URL} AS url FROM part))
 SELECT category_id, category_name, 2 * (SELECT count(*) FROM f WHERE f.category_id = top.category_id) AS discovered FROM top""",
     "top_products_by_sales": q(SALES_VIEW),
