@@ -99,17 +99,8 @@ _ROW_KEYS = {"lineitem": ("l_orderkey", "l_linenumber"), "documents": ("doc_id",
 
 
 def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fact table on all cores.
-
-    The small test files hold a single row group, which one task has to read
-    alone; its rows are dealt out by their key. A table with at least one
-    split per core is left as it is read.
-    """
-    df = raw(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *_ROW_KEYS[name])
+    """A fact table on all cores: dealt out by key, as the test files hold one row group each."""
+    return raw(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism, *_ROW_KEYS[name])
 
 
 def products(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
