@@ -155,6 +155,22 @@ def run_discovery(
     return write_snapshot(merged, S.MASTER_PRODUCTS, root, _next_version(spark, root))
 
 
+def _write_results(
+    spark: SparkSession, paths: Paths, master: DataFrame, work: DataFrame, tried: DataFrame, as_of: datetime
+) -> int:
+    """Next version of the work list: results of the ``work`` whose URL was tried. Gives their number."""
+    good = fetched(tried).select(F.col("url").alias("_good")).distinct()
+    seen = tried.select("url").distinct().join(work, F.col("url") == F.col("product_url"))
+    status = F.when(F.col("_good").isNotNull(), F.lit(SCRAPED)).otherwise(F.lit(FAILED))
+    results = seen.join(good, F.col("url") == F.col("_good"), "left").select(
+        "product_id", status.alias("status"), F.lit(as_of).cast("timestamp_ntz").alias("fetched_at")
+    )
+    counted = results.count()
+    root = paths.table(S.MASTER_PRODUCTS)
+    write_snapshot(apply_fetch_results(master, results), S.MASTER_PRODUCTS, root, _next_version(spark, root))
+    return counted
+
+
 def run_updates(
     spark: SparkSession,
     paths: Paths,
@@ -169,22 +185,14 @@ def run_updates(
     pages by URL; of several pages of a URL any usable one counts. Work without
     a page stays pending. Gives the rows written and the products tried.
     """
-    root = paths.table(S.MASTER_PRODUCTS)
-    master = read_snapshot(spark, S.MASTER_PRODUCTS, root)
+    master = read_snapshot(spark, S.MASTER_PRODUCTS, paths.table(S.MASTER_PRODUCTS))
     work = select_work(master, limit, priority_min).select("product_id", "product_url")
     tried = pages.join(work, pages["url"] == work["product_url"], "left_semi").persist()
     rows = product_fields(fetched(tried), as_of).dropDuplicates(["product_url"])
     arrived = rows.join(work.select(F.col("product_id").alias("_id"), F.col("product_url").alias("_url")), F.col("product_url") == F.col("_url"))
     arrived = arrived.withColumn("product_id", F.col("_id")).drop("_id", "_url").persist()
     written = write_products(arrived, paths.table(S.PRODUCTS), as_of)
-    seen = tried.select("url").distinct().join(work, F.col("url") == F.col("product_url"))
-    good = arrived.select(F.col("product_id").alias("_id"))
-    status = F.when(F.col("_id").isNotNull(), F.lit(SCRAPED)).otherwise(F.lit(FAILED))
-    results = seen.join(good, F.col("product_id") == F.col("_id"), "left").select(
-        "product_id", status.alias("status"), F.lit(as_of).cast("timestamp_ntz").alias("fetched_at")
-    )
-    counted = results.count()
-    write_snapshot(apply_fetch_results(master, results), S.MASTER_PRODUCTS, root, _next_version(spark, root))
+    counted = _write_results(spark, paths, master, work, tried, as_of)
     arrived.unpersist()
     tried.unpersist()
     return written, counted
@@ -198,10 +206,23 @@ def run_full(
 ) -> tuple[int, Report]:
     """Fetched product pages to rows and work-list results, enrichment, insights.
 
-    Without a work list all arrived pages become rows.
+    Every arrived page becomes a row, whether a work list exists or not. Pages
+    are matched by URL with the whole list, whatever a product's status: it
+    gives the rows their product ids (a product each where several have one
+    URL) and takes over the results.
     """
-    if latest_version(spark, paths.table(S.MASTER_PRODUCTS)) is None:
-        written = write_products(product_fields(fetched(pages), as_of), paths.table(S.PRODUCTS), as_of)
+    rows = product_fields(fetched(pages), as_of)
+    root = paths.table(S.MASTER_PRODUCTS)
+    if latest_version(spark, root) is None:
+        written = write_products(rows, paths.table(S.PRODUCTS), as_of)
     else:
-        written, _ = run_updates(spark, paths, pages, as_of)
+        pages = pages.persist()
+        master = read_snapshot(spark, S.MASTER_PRODUCTS, root)
+        work = master.select("product_id", "product_url")
+        listed = work.select(F.col("product_id").alias("_id"), F.col("product_url").alias("_url"))
+        rows = rows.join(listed, F.col("product_url") == F.col("_url"), "left")
+        rows = rows.withColumn("product_id", F.coalesce("_id", "product_id")).drop("_id", "_url")
+        written = write_products(rows, paths.table(S.PRODUCTS), as_of)
+        _write_results(spark, paths, master, work, pages, as_of)
+        pages.unpersist()
     return written, insights(business_report(current_products(spark, paths), as_of))

@@ -176,3 +176,23 @@ def test_full(spark, tmp_path):
     assert written == 6000
     assert short["market_overview"].first().total_products_analyzed == 6000
     assert short["recommendations"].count() == 5
+
+
+def test_full_with_a_work_list(spark, tmp_path):
+    """Every arrived page is a row, however many, listed or not; results go to products of any status."""
+    p = J.Paths(str(tmp_path))
+    kind = "product_id string, product_url string, scrape_status string, scrape_priority int, error_count int, is_active int"
+    url = lambda i: f"{SITE}/item/{i}.html"
+    listed = [(str(i), url(i), "pending", 5, 0, 1) for i in range(250)]
+    listed += [("250", url(250), "scraped", 5, 0, 1), ("251", url(251), "failed", 5, 2, 1), ("252", url(252), "scraped", 5, 1, 1), ("other", f"{SITE}/x", "pending", 5, 0, 1), ("rest", url(999), "pending", 5, 0, 1)]
+    T.write_snapshot(spark.createDataFrame(listed, kind), S.MASTER_PRODUCTS, p.table(S.MASTER_PRODUCTS), 0)
+    page = '<h1 class="product-title-text">T</h1><span class="notranslate">$5</span>'
+    arrived = [*map(url, range(252)), url(0), f"{SITE}/x", url(500)]
+    pages = spark.createDataFrame([(u, page, 200) for u in arrived] + [(url(252), None, 503), (url(501), None, 503)], "url string, html string, status_code int")
+    written, _ = J.run_full(spark, p, pages, NOW)
+    ids = sorted(r.product_id for r in T.read_table(spark, S.PRODUCTS, p.table(S.PRODUCTS)).collect())
+    assert written == 255 and ids == sorted([*map(str, range(252)), "0", "other", "500"])
+    after = {r.product_id: r for r in T.read_snapshot(spark, S.MASTER_PRODUCTS, p.table(S.MASTER_PRODUCTS)).collect()}
+    assert all(after[i].scrape_status == "scraped" and after[i].last_scraped_at == NOW for i in [*map(str, range(252)), "other"])
+    assert (after["252"].scrape_status, after["252"].error_count) == ("failed", 2) and after["rest"].scrape_status == "pending"
+    assert len(after) == len(listed)
