@@ -15,7 +15,7 @@ from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stallwise.llm.common import saved
 
@@ -24,8 +24,10 @@ LEGAL = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",
 LAST = "assistant"
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant"}
 RELABEL, UNKNOWN, MERGE, INSERT = 4, 1, 3, 5
-#: Turn numbers in one block.
+#: Turns in one block.
 BLOCK = 512
+#: Characters of a text that ranges of turns are told apart by.
+PREFIX = 1000
 OPEN, CLOSE, JOIN = "<|im_start|>{}\n", "<|im_end|>\n", "\n"
 
 KEEP, RELABELLED, MERGED, BOTH = "keep", "relabel", "merge", "merge and relabel"
@@ -127,12 +129,24 @@ def _frames(rows: Iterator[tuple], columns: list[str], most: int = 2000) -> Iter
         yield pd.DataFrame(part, columns=columns)
 
 
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order, numbered within their key from its first row in this task."""
+    last, place = None, 0
+    for batch in batches:
+        places = []
+        for key in batch["key"]:
+            last, place = key, place + 1 if key == last else 0
+            places.append(place)
+        yield batch.assign(place=np.array(places, np.int64))
+
+
 def _costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows() -> Iterator[tuple]:
         for group in _groups(batches, ["key", "block", "role"], 2):
-            yield *group[0][:2], block_costs([known_role(r) for _, _, r in group]).ravel().tolist()
+            roles = [known_role(r) for _, _, r in group]
+            yield *group[0][:2], block_costs(roles).ravel().tolist(), " ".join(r or "" for r in roles)
 
-    return _frames(rows(), ["key", "block", "cost"])
+    return _frames(rows(), ["key", "block", "cost", "roles"])
 
 
 def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,44 +160,75 @@ def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["key", "block", "entry", "leave", "first", "last", "conv_id", "turn", "role", "text"]
+    """Turns of blocks, one at a time; a row of the block's known roles and states comes before its turns."""
+    columns = ["place", "entry", "leave", "first", "last", "conv_id", "turn", "role", "text"]
 
     def rows() -> Iterator[tuple]:
-        for group in _groups(batches, columns, 2):
-            _, _, entry, leave, first, last, *_ = group[0]
-            changes = repair([known_role(row[8]) for row in group], entry, leave)
-            for at, ((*_, conv_id, turn, role, text), change) in enumerate(zip(group, changes, strict=True)):
-                text = text if isinstance(text, str) else ""
-                piece = rendered(text, change, first and at == 0, last and at == len(group) - 1)
+        for batch in batches:
+            for place, *block, conv_id, turn, role, text in zip(*(batch[c].tolist() for c in columns), strict=True):
+                if place < 0:
+                    entry, leave, first, last = block
+                    changes = repair([r or None for r in role.split(" ")], int(entry), int(leave))
+                    at = 0
+                    continue
+                change, text = changes[at], text if isinstance(text, str) else ""
+                piece = rendered(text, change, first and at == 0, last and at == len(changes) - 1)
+                at += 1
                 yield conv_id, turn, role, change[0], change[1], " ".join(change[2]), piece
 
     return _frames(rows(), ["conv_id", "turn", "role", "new_role", "action", "inserted", "rendered"])
 
 
+def in_blocks(turns: DataFrame) -> DataFrame:
+    """``key, block, place, conv_id, turn, role, text``: turns by their place in the conversation, ``BLOCK`` to a block.
+
+    All turns are dealt out in order by ranges, so that a conversation of any
+    share of the rows is spread, and numbered in each range; a conversation
+    that goes on in a range starts where the ranges before it end. Equal rows
+    are told apart by a running number. Texts that differ only after ``PREFIX``
+    characters stay in one range, so that the sampled bounds are small.
+    """
+    text = F.col("text").cast("string")
+    rows = turns.select(
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("key"),
+        F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"),
+        F.col("role").cast("string").alias("role"), text.alias("text"), F.col("turn").alias("at"),
+        F.coalesce(F.length(text) > PREFIX, F.lit(False)).alias("long"), F.monotonically_increasing_id().alias("salt"),
+    )
+    start = ["key", F.col("at").asc_nulls_last(), "role"]
+    dealt = rows.repartitionByRange(*start, F.substring("text", 1, PREFIX), "long", F.when(~F.col("long"), F.col("salt")))
+    dealt = dealt.sortWithinPartitions(*start, "text").select("key", F.spark_partition_id().alias("range"), "conv_id", "turn", "role", "text")
+    schema = "key string, range int, conv_id string, turn string, role string, text string, place long"
+    dealt = saved(dealt.mapInPandas(_places, schema), "chat-turns")
+    before = F.sum("_n").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = dealt.groupBy("key", "range").agg(F.count("*").alias("_n"))
+    # At most one conversation goes on in a range.
+    starts = counts.select("key", "range", before.alias("_before")).filter(F.col("_before").isNotNull())
+    placed = dealt.join(F.broadcast(starts), ["key", "range"], "left")
+    placed = placed.withColumn("place", F.col("place") + F.coalesce("_before", F.lit(0)))
+    return placed.select("key", F.floor(F.col("place") / BLOCK).cast("long").alias("block"), "place", "conv_id", "turn", "role", "text")
+
+
 def repair_conversations(turns: DataFrame) -> DataFrame:
     """One row per turn: ``conv_id, turn, role, new_role, action, inserted, rendered``.
 
     The ``rendered`` parts of a conversation, by turn, are its repaired text.
     Turns are in order of number (null last), role and text; turns of null
     ``conv_id`` form one conversation. A null or unknown role takes whichever
-    role is cheapest; a null text is empty.
+    role is cheapest; a null text is empty. Turns are read one at a time; the
+    blocks of a conversation, a small matrix each, are combined in one task.
     """
     id_kind, turn_kind = (turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
-    rows = turns.select(
-        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("key"),
-        F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit((1 << 62))).alias("block"),
-        F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"),
-        F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.col("turn").alias("at"),
-    )
-    order = [F.col("at").asc_nulls_last(), "role", "text"]
+    rows = in_blocks(turns)
 
-    def in_order(df: DataFrame, *keys: str) -> DataFrame:
-        return df.repartition(*keys).sortWithinPartitions(*keys, *(order if "text" in df.columns else []))
+    def in_order(df: DataFrame) -> DataFrame:
+        return df.repartition("key", "block").sortWithinPartitions("key", "block", "place")
 
-    costs = in_order(rows.select("key", "block", "role", "text", "at"), "key", "block").select("key", "block", "role")
-    blocks = saved(costs.mapInPandas(_costs, "key string, block long, cost array<double>"), "chat-costs")
-    dealt = blocks.repartition("key").sortWithinPartitions("key", "block")
+    costs = in_order(rows.select("key", "block", "place", "role")).select("key", "block", "role")
+    blocks = saved(costs.mapInPandas(_costs, "key string, block long, cost array<double>, roles string"), "chat-costs")
+    dealt = blocks.select("key", "block", "cost").repartition("key").sortWithinPartitions("key", "block")
     states = saved(dealt.mapInPandas(_states, "key string, block long, entry int, leave int, first boolean, last boolean"), "chat-states")
-    met = in_order(rows.join(states, ["key", "block"]), "key", "block").drop("at")
+    heads = states.join(blocks.select("key", "block", F.col("roles").alias("role")), ["key", "block"]).withColumn("place", F.lit(-1).cast("long"))
+    met = in_order(rows.unionByName(heads, allowMissingColumns=True))
     schema = "conv_id string, turn string, role string, new_role string, action string, inserted string, rendered string"
     return met.mapInPandas(_pieces, schema).withColumns({"conv_id": F.col("conv_id").cast(id_kind), "turn": F.col("turn").cast(turn_kind)})

@@ -105,3 +105,30 @@ def test_awkward_rows(spark):
     for conv in (None, 1, 2, 3):
         parts = sorted((r for r in found if r["conv_id"] == conv), key=lambda r: (r["turn"] is None, r["turn"], r["action"] != "keep"))
         legal([role for role, _ in parse("".join(r["rendered"] for r in parts))])
+
+
+def test_no_block_holds_more_than_its_turns(spark, monkeypatch):
+    """Turns without an id, of equal numbers, of null numbers and of equal rows are cut into blocks by place."""
+    monkeypatch.setattr(chat, "BLOCK", 16)
+    kept, roles, texts = {}, ["user", "assistant", "tool", None], ["x", "y" * 2000 + "a", "y" * 2000 + "b"]
+    monkeypatch.setattr(chat, "saved", lambda df, purpose, old=chat.saved: kept.setdefault(purpose, old(df, purpose)))
+    rows = [(None, i % 8, roles[i % 3], f"{i:03}") for i in range(400)] + [(1, None, roles[i % 4], texts[i % 3]) for i in range(300)]
+    rows += [(2, 5, "user", "same")] * 200 + [(3, t, "user", "z") for t in range(3)]
+    found = chat.repair_conversations(spark.createDataFrame(rows, TURNS)).collect()
+    blocks = {r["key"]: r["count"] for r in kept["chat-costs"].groupBy("key").count().collect()}
+    assert blocks == {"": 25, "=1": 19, "=2": 13, "=3": 1} and len(found) == len(rows)
+    for conv in (None, 1, 2, 3):
+        order = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3]))
+        parts = [r for r in found if r["conv_id"] == conv]
+        assert sorted(map(str, (tuple(r)[:3] for r in parts))) == sorted(str(r[:3]) for r in order)
+        known = [chat.known_role(r[2]) for r in order]
+        actions = [chat.MERGE * (r["action"] in (chat.MERGED, chat.BOTH)) + chat.INSERT * len(r["inserted"].split()) for r in parts]
+        relabels = [0 if (k := chat.known_role(r["role"])) == r["new_role"] else chat.UNKNOWN if k is None else chat.RELABEL for r in parts]
+        ends = sum(r["rendered"].count(chat.CLOSE) for r in parts) - sum(r["rendered"].count(chat.OPEN.format(o)) for r in parts for o in chat.STATES[1:])
+        left = chat.INSERT * len(chat.ending(chat.repair(known)[-1][0]))
+        assert ends == 0 and sum(actions) + sum(relabels) + left == cost_of(known, chat.repair(known))
+    # The places are the documented order.
+    for conv in ("", "=1", "=2", "=3"):
+        placed = chat.in_blocks(spark.createDataFrame(rows, TURNS)).filter(F.col("key") == conv).orderBy("place").collect()
+        want = sorted((r for r in rows if ("" if r[0] is None else f"={r[0]}") == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3]))
+        assert [(r["place"], r["role"], r["text"]) for r in placed] == [(at, r[2], r[3]) for at, r in enumerate(want)]
