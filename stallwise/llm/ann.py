@@ -32,6 +32,10 @@ MEASURED = 64
 RECALL = 0.97
 #: Vectors that one task compares at once.
 SHARD = 20_000
+#: Queries that one task compares them with, by their hash.
+ASKED = 20_000
+#: Routed queries handed over at once.
+ROUTED = 2_000
 
 
 @dataclass(frozen=True)
@@ -205,21 +209,29 @@ def search(
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         books, (blocks, _, _, columns) = Codebooks(*walked.value), layout.value
-        flat = books.counts.reshape(-1)
+        flat, names = books.counts.reshape(-1), ["shard", "part", "query_id", "q", "cells"]
+        rows = []
         for batch in batches:
-            rows = []
-            for own, query in zip(batch["vec_id"], _matrix(batch["v"]), strict=True):
+            for own, part, query in zip(batch["vec_id"], batch["part"], _matrix(batch["v"]), strict=True):
                 met, cells = 0, []
                 for c in books.walk(query):
                     cells.append(c)
                     met += flat[c]
                     if met >= max(enough, nearest + 1):
                         break
-                spread = [(c, b) for c in cells for b in range(blocks[c // columns])]
-                pairs = np.array(spread)
-                shards = shard_of(pairs[:, 0], pairs[:, 1])
-                rows += [(int(s), own, query.tolist(), pairs[shards == s, 0].tolist()) for s in np.unique(shards)]
-            yield pd.DataFrame(rows, columns=["shard", "query_id", "q", "cells"])
+                cells = np.array(cells)
+                times = blocks[cells // columns]
+                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                cells = np.repeat(cells, times)
+                shards = shard_of(cells, block)
+                order = np.argsort(shards, kind="stable")
+                found, starts = np.unique(shards[order], return_index=True)
+                for s, some in zip(found.tolist(), np.split(cells[order], starts[1:]), strict=True):
+                    rows.append((s, part, own, query, some))
+                    if len(rows) == ROUTED:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+        yield pd.DataFrame(rows, columns=names)
 
     def rerank(entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -233,12 +245,16 @@ def search(
             starts, ends = np.searchsorted(cells, met), np.searchsorted(cells, met, side="right")
             some = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)])
             near, gaps = _nearest(ids[some], data[some], own, np.asarray(query), nearest)
-            found.append(pd.DataFrame({"query_id": own, "vec_id": near, "score": gaps}))
-        return pd.concat(found) if found else none
-
-    routed = asked.mapInPandas(route, "shard long, query_id long, q array<double>, cells array<long>")
-    entries = index.withColumn("shard", shard("cell", "vec_id"))
-    met = entries.groupBy("shard").cogroup(routed.groupBy("shard")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+            found.append((np.full(len(near), own), near, gaps))
+        return pd.DataFrame(dict(zip(none.columns, map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    # Entries are repeated for each part of the queries, so a task sees a bounded number of both.
+    parts = max(1, -(-asked.count() // ASKED))
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)))
+    routed = dealt.mapInPandas(route, "shard long, part long, query_id long, q array<double>, cells array<long>")
+    entries = index.withColumn("shard", shard("cell", "vec_id")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    pairs = entries.groupBy("shard", "part").cogroup(routed.groupBy("shard", "part"))
+    met = pairs.applyInPandas(rerank, "query_id long, vec_id long, score double")
     return _best(met, nearest).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 

@@ -64,3 +64,24 @@ def test_awkward_rows(spark):
     assert lists(ann.search(few, few.filter("vec_id = 0"))) == slow(few.collect(), lambda k: k == 0)
     assert ann.report(vectors.limit(0)).count() == 0
     assert ann.report(vectors.filter("vec_id IN (100, 200)")).count() == 0
+
+
+def test_a_task_sees_a_bounded_number_of_queries(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    sizes = []
+
+    def spied(ops, f, schema, old=PandasCogroupedOps.applyInPandas):
+        for side in (ops._gd1._df, ops._gd2._df):
+            sizes.append(max(r["count"] for r in side.groupBy([c for c in ("shard", "part") if c in side.columns]).count().collect()))
+        return old(ops, f, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", spied)
+    monkeypatch.setattr(ann, "SHARD", 300)
+    vectors = table(spark, 1200)
+    whole = ann.search(vectors, vectors, k=6).collect()
+    monkeypatch.setattr(ann, "ASKED", 100, raising=False)
+    monkeypatch.setattr(ann, "ROUTED", 7, raising=False)
+    again = ann.search(vectors, vectors, k=6).collect()
+    assert sorted(again) == sorted(whole) and len(whole) == 12_000
+    assert sizes[2] == sizes[0] <= 600 and sizes[1] > 600 and sizes[3] <= 150
