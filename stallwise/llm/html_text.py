@@ -25,8 +25,10 @@ STEP = 0.3
 PULL = 1e-4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their text is never shown as such.
-HIDDEN = frozenset("head title script style noscript template svg math textarea select option button iframe object canvas audio video".split())
+#: Their text is never shown as such. Formulas and the text for missing media stand in paragraphs and are left to the model.
+HIDDEN = frozenset("head title script style noscript template svg textarea select option button iframe".split())
+#: Start tags that may stand in a head; any other one, and any text, ends it.
+IN_HEAD = frozenset("title meta link base style script noscript template".split())
 #: Tags whose content is not markup.
 RAW = frozenset("script style textarea title iframe noscript".split())
 BLOCKS = frozenset(
@@ -80,6 +82,8 @@ def blocks(page: str) -> list[Block]:
     while at < len(page):
         hit = TAG.search(page, at)
         text = page[at : hit.start() if hit else len(page)]
+        if stack and stack[-1][0] == "head" and text.strip():
+            pop()
         if text and not hidden:
             pieces.append((html.unescape(text), links > 0))
         if not hit:
@@ -98,13 +102,15 @@ def blocks(page: str) -> list[Block]:
             elif tag in BLOCKS:
                 flush()
             continue
+        if tag not in IN_HEAD and stack and stack[-1][0] == "head":
+            pop()
         if tag in VOID:
             if tag in BLOCKS:
                 flush()
             elif tag in ("br", "img") and not hidden:
                 pieces.append((" ", False))
             continue
-        if tag == "body" and hidden:  # a head that is never closed
+        if tag == "body" and hidden:  # a part of the head that is never closed
             while stack and hidden:
                 pop()
         if tag in BLOCKS:

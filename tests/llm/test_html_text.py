@@ -65,3 +65,16 @@ def test_awkward_rows(spark):
     assert [(r["page_id"], r["n_chars"]) for r in found[:2]] == [(1, 0), (1, 0)] and len(found) == 5
     assert found[2]["text"].count("\n") == 4999 and found[2]["n_chars"] == len(found[2]["text"])
     assert html_text.report(rows.limit(0), 50).count() == 0
+
+
+def test_omitted_tags_and_formulas(model):
+    """Heads that nothing closes, and what stands inside paragraphs, are read."""
+    story = "<article><h1>The title</h1><p>First words of the story, with more of them.</p><p>Second part.</p></article>"
+    want = "The title\nFirst words of the story, with more of them.\nSecond part."
+    head = "<html><head><title>T</title><meta charset=utf-8><style>p{}</style><template><p>no</p></template><script>1</script>"
+    assert model.text(head + story) == model.text(head + "</head><body>" + story) == want
+    assert text_of(html_text.blocks(head + "plain <b>text</b>")) == ["plain text"]
+    assert text_of(html_text.blocks("<head>\n<link href=x>\n<img src=y>a<p>b")) == ["a", "b"]
+    assert text_of(html_text.blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds")) == ["so x=1 holds"]
+    for tag in ("object", "audio", "video", "canvas"):
+        assert text_of(html_text.blocks(f"<p>a <{tag}>see <a href=f>the file</a></{tag}> b")) == ["a see the file b"]
