@@ -76,6 +76,17 @@ def with_labels(docs: DataFrame, sample: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(sample), docs["doc_id"] == sample["_label_id"], how).drop("_label_id")
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``doc_id, text, _label``: one text for each id of a bounded label sample, whatever the number of its rows.
+
+    Of several texts of an id the one with the least hash is taken; rows are
+    reduced to it before they are shuffled.
+    """
+    rows = with_labels(docs.select("doc_id", "text"), sample, "inner")
+    least = F.min(F.struct(F.xxhash64("text").alias("_hash"), "text")).alias("_least")
+    return rows.groupBy("doc_id", "_label").agg(least).select("doc_id", "_least.text", "_label")
+
+
 def column_name(df: DataFrame, wish: str) -> str:
     """``wish``, or with underscores before it, so that no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stallwise.llm.common import WordHashes, gram_buckets, label_sample, with_labels
+from stallwise.llm.common import WordHashes, gram_buckets, label_sample, labelled_texts
 
 #: Labelled texts that the learner sees at most.
 MOST_TEXTS = 16_000
@@ -82,8 +82,8 @@ def learn(texts: list[str | None], marks: list[int], how: Ftrl = Ftrl()) -> tupl
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS, how: Ftrl = Ftrl()) -> pd.DataFrame:
     """The model as rows ``bucket, weight``; bucket -1 is the bias.
 
-    At most ``most`` labelled ids are taken, by hash, so the one training task
-    and the result are bounded whatever the input. Without labelled texts the
+    At most ``most`` labelled ids are taken, by hash, with one text each, so the
+    one training task and the result are bounded whatever the input. Without labelled texts the
     bias alone is returned, as 0.
     """
 
@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS, how: Ftrl
         at, weight, bias = learn(rows["text"].tolist(), rows["_label"].tolist(), how)
         return pd.DataFrame({"bucket": np.append(at, -1), "weight": np.append(weight, bias)})
 
-    sample = with_labels(docs.select("doc_id", "text"), label_sample(labels, "toxic", most), "inner")
+    sample = labelled_texts(docs, label_sample(labels, "toxic", most))
     sample = sample.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit("order")).alias("_order"), "text", "_label")
     model = sample.groupBy(F.lit(1).alias("_all")).applyInPandas(fit, "bucket long, weight double").toPandas()
     return model if len(model) else pd.DataFrame({"bucket": [-1], "weight": [0.0]})

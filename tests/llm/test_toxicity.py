@@ -61,3 +61,12 @@ def test_awkward_rows(spark):
     assert toxicity.report(rows.limit(0), labels).count() == 0
     assert {r["score"] for r in toxicity.report(rows, labels.limit(0)).collect()} == {0.5}
     assert toxicity.reject_toxic(spark.createDataFrame([], DOCS), labels).count() == 0
+
+
+def test_repeated_rows_of_an_id_are_learned_from_once(spark):
+    labels = spark.createDataFrame([(i, None, i % 2) for i in range(8)], LABELS)
+    texts = [f"{('calm', 'vile')[i % 2]} words number {i}" for i in range(8)]
+    once = docs(spark, *texts)
+    again = once.union(spark.createDataFrame([(1, texts[1], "en", "a", 5)] * 50, once.schema))
+    pairs = lambda rows: sorted(map(tuple, toxicity.train(rows, labels).to_numpy().tolist()))
+    assert pairs(again) == pairs(once) and len(pairs(once)) > 1
