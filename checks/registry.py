@@ -263,7 +263,7 @@ def _summary(spark: SparkSession, sf: str) -> DataFrame:
 def _advice(spark: SparkSession, sf: str) -> DataFrame:
     products = X.products(spark, sf)
     return C.recommendations(
-        spark, M.top_categories(products), O.high_margin(products), M.price_distribution(products)
+        spark, M.top_categories(products), O.high_margin(products), M.price_distribution(products), title_chars=50
     )
 
 
@@ -316,7 +316,7 @@ QUERIES: dict[str, Query] = {
     "competitors": _over(X.products, M.competitors, category_id="economy"),
     "competitor_totals": _over(X.products, M.competitor_totals, category_id="economy"),
     "competitor_share": _over(X.products, M.competitor_share),
-    "health_check": _over(X.products, M.health_check),
+    "health_check": _over(X.products, lambda products: M.health_check(products, sample=10)),
     "maintenance_counts": _maintenance,
     # joins
     "hot_category_work": _hot_work,

@@ -312,12 +312,16 @@ def competitor_share(products: DataFrame) -> DataFrame:
     return out.orderBy(*ordered(out, [F.asc_nulls_first("category_name"), F.desc("market_share_percent")]))
 
 
-def health_check(products: DataFrame, sample: int = 10) -> DataFrame:
-    """One row: is there any data, and does the newest-rows listing return some."""
+def health_check(products: DataFrame, sample: int | None = None) -> DataFrame:
+    """One row: is there any data, and does the newest-rows listing return some.
+
+    The listing has the newest ``sample`` rows, or all.
+    """
+    listed = F.col("total_products") if sample is None else F.least(F.col("total_products"), F.lit(sample).cast("long"))
     row = products.agg(row_count().alias("total_products"))
     return row.select(
         "total_products",
-        F.least(F.col("total_products"), F.lit(sample).cast("long")).alias("recent_products"),
+        listed.alias("recent_products"),
         (F.col("total_products") > 0).alias("has_products"),
-        (F.least(F.col("total_products"), F.lit(sample).cast("long")) > 0).alias("has_recent"),
+        (listed > 0).alias("has_recent"),
     ).withColumn("healthy", F.col("has_products") & F.col("has_recent"))

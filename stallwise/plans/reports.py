@@ -87,11 +87,13 @@ def executive_summary(stats: DataFrame) -> DataFrame:
 
 
 def recommendations(
-    spark: SparkSession, top_categories: DataFrame, opportunities: DataFrame, prices: DataFrame
+    spark: SparkSession, top_categories: DataFrame, opportunities: DataFrame, prices: DataFrame,
+    title_chars: int | None = None,
 ) -> DataFrame:
     """Advice in order: top category, top opportunity, median price, fixed lines.
 
     The first two are left out when there is no category or no opportunity.
+    ``title_chars`` cuts the title of the opportunity.
     """
     # The wording of the advice.
     category = top_rows(top_categories, [F.desc("product_count")], 1).select(
@@ -101,11 +103,12 @@ def recommendations(
             "category_name", "product_count", F.coalesce("avg_price", F.lit(0.0)),
         ).alias("recommendation"),
     )
+    title = F.col("title") if title_chars is None else F.concat(F.substring("title", 1, title_chars), F.lit("..."))
     offer = best_offers(opportunities, 1).select(
         F.lit(2).alias("position"),
         F.format_string(
-            "Consider dropshipping %s... - high margin potential (score: %s) with %.1f★ rating",
-            F.substring("title", 1, 50),
+            "Consider dropshipping %s - high margin potential (score: %s) with %.1f★ rating",
+            title,
             F.col("margin_potential_score").cast("string"),
             F.col("average_rating").cast("double"),
         ).alias("recommendation"),

@@ -196,3 +196,12 @@ def test_full_with_a_work_list(spark, tmp_path):
     assert all(after[i].scrape_status == "scraped" and after[i].last_scraped_at == NOW for i in [*map(str, range(252)), "other"])
     assert (after["252"].scrape_status, after["252"].error_count) == ("failed", 2) and after["rest"].scrape_status == "pending"
     assert len(after) == len(listed)
+
+
+def test_titles_and_samples_are_whole_by_default(spark):
+    row = [("c", "t" * 80, 10, 4.5, 0.9, 7)]
+    offers = spark.createDataFrame(row, "category_name string, title string, price int, average_rating double, margin_potential_score double, total_sales int")
+    categories = spark.createDataFrame([("c", 1, 2.0)], "category_name string, product_count long, avg_price double")
+    advice = lambda **cut: {r.position: r.recommendation for r in C.recommendations(spark, categories, offers, spark.createDataFrame([(5.0,)], "median double"), **cut).collect()}[2]
+    assert f" {'t' * 80} - high" in advice() and f" {'t' * 50}... - high" in advice(title_chars=50)
+    assert (J.health_check(spark.range(25)).first().recent_products, J.health_check(spark.range(25), 10).first().recent_products) == (25, 10)
