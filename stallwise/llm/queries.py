@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from stallwise.llm import ann, chat, html_text, mixing, packing, quality, simhash, toxicity, url_rules, warc
+from stallwise.llm import alignment, ann, chat, html_text, mixing, packing, quality, simhash, toxicity, url_rules, warc
 from stallwise.llm.common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_bin_completion": lambda spark, sf: packing.pack_documents(table(spark, sf, "documents")),
     "op9_quality": lambda spark, sf: quality.report(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op10_warc": lambda spark, sf: warc.report(table(spark, sf, "pages")),
+    "op11_merge_path": lambda spark, sf: alignment.report(table(spark, sf, "documents")),
     "pipeline": corpus_pipeline.run,
 }
 
