@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from stallwise.llm import alignment, ann, chat, html_text, mixing, packing, quality, simhash, toxicity, url_rules, variants, warc
+from stallwise.llm import alignment, ann, chat, html_text, mixing, packing, privacy, quality, simhash, toxicity, url_rules, variants, warc
 from stallwise.llm.common import table
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_warc": lambda spark, sf: warc.report(table(spark, sf, "pages")),
     "op11_merge_path": lambda spark, sf: alignment.report(table(spark, sf, "documents")),
     "op12_variants": lambda spark, sf: variants.report(table(spark, sf, "documents")),
+    "op13_privacy": lambda spark, sf: privacy.report(table(spark, sf, "documents")),
     "pipeline": corpus_pipeline.run,
 }
 
