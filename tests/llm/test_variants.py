@@ -94,13 +94,14 @@ def test_chains_end_at_the_last_form(spark):
 
 def test_awkward_rows(spark):
     """Null texts have no words, null ids hash as empty text, repeated rows count again, ties go to the first word."""
-    long = "q" * 20_000
+    long = "q" * 2_000
     extra = [(None, "Abcdefgh abcdefgh ÀBCDEFGH Àbcdefgh", None, None, None)] * 2 + [(9, f"{long} {long}x {long} {long}x", "en", "a", 1)]
     texts = ["tieword1 tiewordA tiewordA tiewordB tiewordB tiewordAB", "×××××××× ÷×÷×÷×÷×", None, "", "short wor ds"]
     given = docs(spark, *texts, extra=extra)
     assert got(V.report(given)) == plain([(r.doc_id, r.text) for r in given.collect()])
     both = awkward(spark)
-    assert got(V.report(both)) == plain([(r.doc_id, r.text) for r in both.collect()])
+    counts = vocabulary([(r.doc_id, r.text) for r in both.collect()])
+    assert {r.word: r.n for r in V.report(both).collect()} == counts and len(counts) > 1000
 
 
 def test_empty_tables_and_clashing_columns(spark):
