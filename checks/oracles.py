@@ -440,9 +440,8 @@ FROM p3 a JOIN master_products b ON a.product_id = b.product_id""", "products",
         "products", "master_products"),
     "match_category": f"""SELECT p_partkey AS page_id, {CATALOGUE_CASE['id']} AS category_id,
   {CATALOGUE_CASE['name']} AS category_name FROM (SELECT p_partkey, {LISTING_URL} AS url FROM part)""",
-    "apply_updates": q("""SELECT p.product_id, obs_id, seller_id, price,
-  CASE WHEN c.p_partkey IS NOT NULL THEN 'moved' ELSE category_id END AS category_id,
-  CASE WHEN c.p_partkey IS NOT NULL THEN CAST(p_size AS DOUBLE) ELSE trend_score END AS trend_score
+    "apply_updates": q("""SELECT p.* REPLACE (CASE WHEN c.p_partkey IS NOT NULL THEN 'moved' ELSE category_id END AS category_id,
+  CASE WHEN c.p_partkey IS NOT NULL THEN CAST(p_size AS DOUBLE) ELSE trend_score END AS trend_score)
 FROM products p LEFT JOIN (SELECT * FROM part WHERE p_size > 25) c ON p.product_id = CAST(c.p_partkey AS VARCHAR)"""),
     "season_distribution": q(f"""WITH {BY_SEASON} SELECT season, count(*) AS product_count, {mean('price')} AS avg_price,
   {big('sum(total_sales)')} AS total_sales FROM tagged GROUP BY 1"""),
@@ -490,7 +489,7 @@ SELECT product_id, seller_id, price, scraped_at, coalesce(winner, 'other') AS ca
 SELECT m.product_id, product_url, category_id, category_name, discovered_at,
   CASE WHEN w.product_id IS NOT NULL AND CAST(m.product_id AS BIGINT) % 3 <> 0 THEN {AS_OF} ELSE last_scraped_at END AS last_scraped_at,
   CASE WHEN w.product_id IS NULL THEN scrape_status WHEN CAST(m.product_id AS BIGINT) % 3 = 0 THEN 'failed' ELSE 'scraped' END AS scrape_status,
-  scrape_priority,
+  CAST(11 - scrape_priority AS INT) AS scrape_priority,
   CAST(error_count + CASE WHEN w.product_id IS NOT NULL AND CAST(m.product_id AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS INT) AS error_count,
   is_active
 FROM master_products m LEFT JOIN work w ON m.product_id = w.product_id""", "master_products"),
@@ -612,3 +611,34 @@ UNION ALL SELECT 6, 'Consider free shipping offers to increase conversion rates'
 UNION ALL SELECT 7, 'Monitor competitor pricing weekly to maintain competitive advantage'
 UNION ALL SELECT 8, 'Use AI sentiment analysis to identify product improvement opportunities'"""),
 }
+
+ENRICHED = f"""texts AS (SELECT *, lower(title) AS txt FROM products),
+counted AS (SELECT *, {counts_of('txt')} FROM texts), won AS ({winner_of()}),
+enriched AS (SELECT * REPLACE (coalesce(winner, 'other') AS category_id, coalesce(winner, 'Other') AS category_name,
+  least(best / 10.0e0, 1.0e0) AS trend_score) FROM won)"""
+
+ORACLES |= {
+    "stored_merged": ORACLES["stored_enrichment"],
+    "stored_keyed_update": q("""SELECT * REPLACE (
+  CASE WHEN CAST(product_id AS BIGINT) % 9 = 0 THEN 'promo' ELSE category_id END AS category_id,
+  CAST(CASE WHEN CAST(product_id AS BIGINT) % 9 = 0 THEN scrape_priority + 1 ELSE scrape_priority END AS INT) AS scrape_priority)
+FROM master_products""", "master_products"),
+    "stored_reviews": q("""SELECT review_id, product_id, rating, review_text, coalesce(sentiment_score, 0.0e0) AS sentiment_score,
+  CASE WHEN sentiment_score IS NULL THEN 'neutral' ELSE sentiment_label END AS sentiment_label, scraped_at,
+  CAST(0 AS BIGINT) AS helpful_votes FROM reviews""", "reviews"),
+    "stored_maintenance": f"""SELECT measure, CAST(value AS BIGINT) AS value FROM (UNPIVOT (SELECT *,
+  (SELECT count(*) FROM lineitem) AS total_products, CAST(1 AS BIGINT) AS healthy,
+  (SELECT count(*) FROM ({ORACLES['apply_retention']})) AS price_points_kept
+  FROM ({ORACLES['maintenance_counts']})) ON COLUMNS(*) INTO NAME measure VALUE value)""",
+    "stored_full_run": ORACLES["product_fields"],
+    "stored_trends": q(f"""WITH {ENRICHED} SELECT 'trend_' || product_id || '_20000101' AS trend_id, product_id,
+  coalesce(category_id, 'unknown') AS category_id, 'viral' AS trend_type, trend_score,
+  'up' AS trend_direction, least(trend_score * 2, 1.0) AS confidence_score, {AS_OF} AS detected_at,
+  7 AS duration_days, trend_score AS peak_score, {AS_OF} AS created_at
+FROM enriched WHERE {recent(7)} AND average_rating >= 4.0 AND total_reviews >= 5
+ORDER BY {WEIGHT} DESC, total_reviews DESC, trend_score DESC,
+  {ties('product_id, title, price, average_rating, total_reviews, total_sales, category_id, category_name, seller_name, scraped_at, trend_score')}
+LIMIT 50"""),
+    "insights": f"""SELECT * FROM ({ORACLES['high_margin']}) ORDER BY margin_potential_score DESC,
+  CAST(average_rating AS DOUBLE) * total_sales DESC, {ties('product_id, title, price, average_rating, total_reviews, total_sales')} LIMIT 10""",
+}

@@ -147,8 +147,7 @@ def _fetches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _updates(spark: SparkSession, sf: str) -> DataFrame:
-    base = X.products(spark, sf).select("product_id", "obs_id", "seller_id", "price", "category_id", "trend_score")
-    return L.apply_updates(base, I.product_changes(spark, sf), "product_id")
+    return L.apply_updates(X.products(spark, sf), I.product_changes(spark, sf), "product_id")
 
 
 def _language(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,6 +342,13 @@ QUERIES: dict[str, Query] = {
     "stored_retention": stored.retention,
     "stored_report": stored.report,
     "stored_updates": stored.updates,
+    "stored_merged": stored.merged,
+    "stored_keyed_update": stored.keyed_update,
+    "stored_reviews": stored.reviews,
+    "stored_maintenance": stored.maintenance,
+    "stored_full_run": stored.full_run,
+    "stored_trends": stored.weekly_trends,
+    "insights": stored.best_offers,
     "product_trends": _product_trends,
     # pages
     "listing_links": _listing,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks import inputs as I
 from stallwise.operators import market as M
 from stallwise.plans import jobs as J
 from stallwise.plans import reports as C
@@ -14,6 +15,7 @@ from stallwise.sources import schemas as S
 from stallwise.sources import tables as T
 
 WORK = 300
+HOT = 30
 
 
 def enrichment(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,11 +32,106 @@ def enrichment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retention(spark: SparkSession, sf: str) -> DataFrame:
-    """Price points appended to a stored table, of which the old ones expire."""
+    """Price points expire from a stored table while others are appended to it.
+
+    Half of the rows are stored; the files with expired rows are listed; the
+    other half is appended before those files are replaced. A last run expires
+    what came late.
+    """
+    path, table = scratch_dir(spark, "stored"), S.PRICE_HISTORY
+    days = T.RETENTION_DAYS[table.name]
+    first = F.xxhash64("product_id", "price", "scraped_at") % 2 == 0
+    rows = X.price_history(spark, sf)
+    T.write_price_points(rows.where(first), path, X.AS_OF)
+    files = T.expired_files(spark, table, path, days, X.AS_OF)
+    kept = T.apply_retention(T.read_files(spark, table.schema, path, files), table.month_of, days, X.AS_OF)
+    T.write_price_points(rows.where(~first), path, X.AS_OF)
+    T.replace_files(kept, table, path, files)
+    T.expire_months(spark, table, path, days, X.AS_OF)
+    return T.read_table(spark, table, path)
+
+
+def merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Enriched products whose source and result are merged into few files between two daily runs."""
+    paths = J.Paths(scratch_dir(spark, "stored"))
+    source, target = paths.table(S.PRODUCTS), paths.enriched_products
+    rows = X.products(spark, sf).drop("obs_id")
+    for part in ("total_sales % 3 = 0", "total_sales % 3 = 1", "total_sales % 3 = 2"):
+        T.write_products(rows.where(part), source, X.AS_OF)
+        J.run_daily(spark, paths)
+        T.merge_small_files(spark, S.PRODUCTS, source, most=1, ledgers=[paths.ledger(target)])
+        T.merge_small_files(spark, S.PRODUCTS, target, most=1)
+    J.run_daily(spark, paths)
+    return T.read_table(spark, S.PRODUCTS, target).select(
+        "product_id", "seller_id", "price", "scraped_at", "category_id", "category_name",
+        F.array_join("seasonal_tags", ",").alias("seasonal_tags"), "trend_score",
+    )
+
+
+def keyed_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Work-list changes written into the files that hold their products, all columns read again."""
     path = scratch_dir(spark, "stored")
-    T.write_price_points(X.price_history(spark, sf), path, X.AS_OF)
-    T.expire_months(spark, S.PRICE_HISTORY, path, T.RETENTION_DAYS[S.PRICE_HISTORY.name], X.AS_OF)
-    return T.read_table(spark, S.PRICE_HISTORY, path)
+    table = S.MASTER_PRODUCTS
+    T.append(X.master_products(spark, sf), table, path, X.AS_OF)
+    changes = X.master_products(spark, sf).where("CAST(product_id AS BIGINT) % 9 = 0").select(
+        "product_id", F.lit("promo").alias("category_id"), (F.col("scrape_priority") + 1).alias("scrape_priority")
+    )
+    T.update_stored(spark, table, path, changes, "product_id")
+    return T.read_table(spark, table, path)
+
+
+def reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews appended to a stored table and scored by the daily job."""
+    paths = J.Paths(scratch_dir(spark, "stored"))
+    T.write_reviews(X.reviews(spark, sf), paths.table(S.REVIEWS), X.AS_OF)
+    J.score_stored(spark, paths)
+    return T.read_table(spark, S.REVIEWS, paths.scored_reviews).select(
+        "review_id", "product_id", "rating", "review_text", "sentiment_score", "sentiment_label", "scraped_at", "helpful_votes"
+    )
+
+
+def maintenance(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts of a maintenance run over stored tables."""
+    paths = J.Paths(scratch_dir(spark, "stored"))
+    T.write_products(X.products(spark, sf).drop("obs_id"), paths.table(S.PRODUCTS), X.AS_OF)
+    T.write_price_points(X.price_history(spark, sf), paths.table(S.PRICE_HISTORY), X.AS_OF)
+    T.write_snapshot(X.master_products(spark, sf), S.MASTER_PRODUCTS, paths.table(S.MASTER_PRODUCTS), 0)
+    out = J.run_maintenance(spark, paths, X.AS_OF, hot_count=HOT)
+    kept = T.read_table(spark, S.PRICE_HISTORY, paths.table(S.PRICE_HISTORY)).agg(F.count("*").alias("price_points_kept"))
+    health = out["health"].select("total_products", F.col("healthy").cast("int").alias("healthy"))
+    parts = [_long(df) for df in (out["counts"], health, kept)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def _long(row: DataFrame) -> DataFrame:
+    """The columns of one row as rows ``measure, value``."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("long").alias("value")) for c in row.columns))
+    return row.select(F.explode(pairs).alias("_p")).select("_p.*")
+
+
+def full_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Every product page taken over by a full run, and read again."""
+    paths = J.Paths(scratch_dir(spark, "stored"))
+    J.run_full(spark, paths, I.product_pages(spark, sf), X.AS_OF)
+    return T.read_table(spark, S.PRODUCTS, paths.table(S.PRODUCTS)).select(
+        "product_id", "title", "price", "currency", "seller_id", "seller_name", "category_id", "category_name",
+        "product_url", F.array_join("image_urls", ",").alias("image_urls"), "total_reviews", "average_rating",
+        "is_available", "scraped_at",
+    )
+
+
+def weekly_trends(spark: SparkSession, sf: str) -> DataFrame:
+    """The trend rows that a weekly run writes, read again."""
+    paths = J.Paths(scratch_dir(spark, "stored"))
+    T.write_products(X.products(spark, sf).drop("obs_id"), paths.table(S.PRODUCTS), X.AS_OF)
+    J.run_weekly(spark, paths, X.AS_OF)
+    return T.read_table(spark, S.TRENDS, paths.table(S.TRENDS))
+
+
+def best_offers(spark: SparkSession, sf: str) -> DataFrame:
+    """The opportunities of the short report."""
+    report = C.business_report(X.seasonal_products(spark, sf), X.AS_OF)
+    return C.insights(report, offers=10)["top_opportunities"]
 
 
 def report(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +142,11 @@ def report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def updates(spark: SparkSession, sf: str) -> DataFrame:
-    """The work list after fetched pages of its most urgent work; pages of ids divisible by 3 failed."""
+    """The work list after fetched pages of issued work; pages of ids divisible by 3 failed.
+
+    All priorities are turned round between the issue and the arrival, and every
+    page arrives twice.
+    """
     paths = J.Paths(scratch_dir(spark, "stored"))
     master = X.master_products(spark, sf)
     T.write_snapshot(master, S.MASTER_PRODUCTS, paths.table(S.MASTER_PRODUCTS), 0)
@@ -54,5 +155,8 @@ def updates(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('<h1 class="product-title-text">T</h1>').alias("html"),
         F.when(F.col("product_id").cast("long") % 3 == 0, 503).otherwise(200).alias("status_code"),
     )
-    J.run_updates(spark, paths, pages, X.AS_OF, limit=WORK)
+    J.issue_work(spark, paths, X.AS_OF, limit=WORK)
+    turned = master.withColumn("scrape_priority", 11 - F.col("scrape_priority"))
+    T.write_snapshot(turned, S.MASTER_PRODUCTS, paths.table(S.MASTER_PRODUCTS), 1)
+    J.run_updates(spark, paths, pages.union(pages), X.AS_OF)
     return T.read_snapshot(spark, S.MASTER_PRODUCTS, paths.table(S.MASTER_PRODUCTS))

@@ -9,10 +9,11 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallwise.functions.time import moment
 from stallwise.operators.browse import trending_products
 from stallwise.operators.enrich import Scorer, enrich_products, score_missing
 from stallwise.operators.market import health_check
-from stallwise.operators.pages import discovered_products, fetched, product_fields
+from stallwise.operators.pages import discovered_products, fetched, newest_pages, product_fields
 from stallwise.operators.trends import trend_rows
 from stallwise.operators.worklist import (
     FAILED,
@@ -29,15 +30,15 @@ from stallwise.operators.worklist import (
 from stallwise.plans.reports import Report, business_report, insights, shared_tables
 from stallwise.sources import schemas as S
 from stallwise.sources.catalogue import SITE
+from stallwise.sources.files import list_folder, new_run
 from stallwise.sources.tables import (
     RETENTION_DAYS,
-    changed_months,
+    append,
+    append_new,
     expire_months,
     latest_version,
-    mark_done,
     read_snapshot,
     read_table,
-    replace_months,
     write_products,
     write_report,
     write_snapshot,
@@ -61,6 +62,14 @@ class Paths:
     def scored_reviews(self) -> str:
         return f"{self.root}/reviews_scored"
 
+    def ledger(self, derived: str) -> str:
+        """Names the files that a derived table was made from."""
+        return f"{derived}_made_from"
+
+    @property
+    def issued(self) -> str:
+        return f"{self.root}/issued_work"
+
     @property
     def reports(self) -> str:
         return f"{self.root}/reports"
@@ -71,41 +80,27 @@ def _next_version(spark: SparkSession, root: str) -> int:
     return 0 if last is None else last + 1
 
 
-def _bring_up_to_date(
-    spark: SparkSession, table: S.Table, source: str, target: str, made: Callable[[DataFrame], DataFrame]
-) -> set[int]:
-    """Make the months of ``target`` again whose source has changed since, and no others.
+def enrich_stored(spark: SparkSession, paths: Paths) -> set[int]:
+    """Enrich the files that were appended to the products since the last time; gives their months."""
+    source, target = paths.table(S.PRODUCTS), paths.enriched_products
+    return append_new(spark, S.PRODUCTS, source, target, paths.ledger(target), lambda rows: enrich_products(rows, tags="tags"))
 
-    The states are taken before the rows are read, so rows that are appended
-    meanwhile are found again by the next run. Late rows count like any other.
-    """
-    states = changed_months(spark, table, source, target)
-    if states:
-        rows = read_table(spark, table, source, months=set(states))
-        replace_months(made(rows), table, target)
-        mark_done(spark, target, states)
-    return set(states)
 
-
-def enrich_stored(spark: SparkSession, paths: Paths) -> set[int]:
-    """Bring the enriched products up to date; gives the months that were made again."""
-    return _bring_up_to_date(
-        spark, S.PRODUCTS, paths.table(S.PRODUCTS), paths.enriched_products, lambda rows: enrich_products(rows, tags="tags")
-    )
+def score_stored(spark: SparkSession, paths: Paths, load_scorer: Callable[[], Scorer] | None = None) -> set[int]:
+    """Score the unscored reviews of the files that were appended since the last time; gives their months."""
+    source, target = paths.table(S.REVIEWS), paths.scored_reviews
+    return append_new(spark, S.REVIEWS, source, target, paths.ledger(target), lambda rows: score_missing(rows, load_scorer))
 
 
 def run_daily(
     spark: SparkSession, paths: Paths, load_scorer: Callable[[], Scorer] | None = None
 ) -> tuple[set[int], set[int]]:
-    """Enrich the products, then score the unscored reviews, in the months with new rows.
+    """Enrich the products, then score the unscored reviews, in the files that are new.
 
-    Gives the months of products and of reviews.
+    Late rows count like any other: they are in new files too. Gives the months
+    of products and of reviews.
     """
-    products = enrich_stored(spark, paths)
-    reviews = _bring_up_to_date(
-        spark, S.REVIEWS, paths.table(S.REVIEWS), paths.scored_reviews, lambda rows: score_missing(rows, load_scorer)
-    )
-    return products, reviews
+    return enrich_stored(spark, paths), score_stored(spark, paths, load_scorer)
 
 
 def current_products(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -124,8 +119,8 @@ def run_weekly(spark: SparkSession, paths: Paths, as_of: datetime) -> tuple[str,
     return written, write_trends(trend_rows(trending, as_of), paths.table(S.TRENDS), as_of)
 
 
-def run_maintenance(spark: SparkSession, paths: Paths, as_of: datetime) -> dict[str, DataFrame]:
-    """Health check, retention, inactive and hopeless work, new priorities."""
+def run_maintenance(spark: SparkSession, paths: Paths, as_of: datetime, hot_count: int = 100) -> dict[str, DataFrame]:
+    """Health check, retention, inactive and hopeless work, new priorities; categories of more than ``hot_count`` rows are hot."""
     products = read_table(
         spark, S.PRODUCTS, paths.table(S.PRODUCTS), since=as_of - timedelta(days=7)
     )
@@ -134,7 +129,7 @@ def run_maintenance(spark: SparkSession, paths: Paths, as_of: datetime) -> dict[
         expire_months(spark, table, paths.table(table), RETENTION_DAYS[table.name], as_of)
     root = paths.table(S.MASTER_PRODUCTS)
     before = read_snapshot(spark, S.MASTER_PRODUCTS, root)
-    hot = hot_categories(products, as_of).persist()
+    hot = hot_categories(products, as_of, min_count=hot_count).persist()
     after = calculate_priorities(skip_failed(mark_inactive(before, as_of)), products, as_of, hot=hot)
     path = write_snapshot(after, S.MASTER_PRODUCTS, root, _next_version(spark, root))
     hot.unpersist()
@@ -171,6 +166,35 @@ def _write_results(
     return counted
 
 
+def issue_work(
+    spark: SparkSession,
+    paths: Paths,
+    as_of: datetime,
+    limit: int = 200,
+    priority_min: int = 1,
+    again_after: timedelta = timedelta(days=1),
+) -> DataFrame:
+    """Select work for a fetcher and store it as an issued batch; gives the batch.
+
+    Work that was issued less than ``again_after`` ago and has no result yet is
+    not issued again.
+    """
+    master = read_snapshot(spark, S.MASTER_PRODUCTS, paths.table(S.MASTER_PRODUCTS))
+    waiting = issued_work(spark, paths, as_of - again_after, as_of).select("product_id").distinct()
+    work = select_work(master.join(waiting, "product_id", "left_anti"), limit, priority_min)
+    batch = new_run()
+    work = work.select(F.lit(batch).alias("batch"), "product_id", "product_url", "scrape_priority", moment(as_of).alias("issued_at"))
+    append(work, S.ISSUED_WORK, paths.issued, as_of)
+    return issued_work(spark, paths, as_of, as_of).where(F.col("batch") == batch)
+
+
+def issued_work(spark: SparkSession, paths: Paths, since: datetime, until: datetime) -> DataFrame:
+    """Work that was issued in a span of time."""
+    if not list_folder(spark, paths.issued):
+        return spark.createDataFrame([], S.ISSUED_WORK.schema)
+    return read_table(spark, S.ISSUED_WORK, paths.issued, since=since, until=until)
+
+
 def run_updates(
     spark: SparkSession,
     paths: Paths,
@@ -178,17 +202,22 @@ def run_updates(
     as_of: datetime,
     limit: int = 200,
     priority_min: int = 1,
+    days: int = 30,
 ) -> tuple[int, int]:
     """Take over fetched product pages: rows of the products that arrived, results of all that were tried.
 
-    The work is selected as a fetcher would select it and matched with the
-    pages by URL; of several pages of a URL any usable one counts. Work without
-    a page stays pending. Gives the rows written and the products tried.
+    Pages are matched by URL with the work that was issued in the last ``days``,
+    whatever has become of its priority or status since, and whichever batch it
+    was in. Where nothing has been issued, ``limit`` and ``priority_min`` choose
+    a batch now. Of several usable pages of a URL the newest one counts. Work
+    without a page stays pending. Gives the rows written and the products tried.
     """
+    if not list_folder(spark, paths.issued):
+        issue_work(spark, paths, as_of, limit, priority_min)
     master = read_snapshot(spark, S.MASTER_PRODUCTS, paths.table(S.MASTER_PRODUCTS))
-    work = select_work(master, limit, priority_min).select("product_id", "product_url")
+    work = issued_work(spark, paths, as_of - timedelta(days=days), as_of).select("product_id", "product_url").distinct()
     tried = pages.join(work, pages["url"] == work["product_url"], "left_semi").persist()
-    rows = product_fields(fetched(tried), as_of).dropDuplicates(["product_url"])
+    rows = product_fields(newest_pages(fetched(tried)), as_of)
     arrived = rows.join(work.select(F.col("product_id").alias("_id"), F.col("product_url").alias("_url")), F.col("product_url") == F.col("_url"))
     arrived = arrived.withColumn("product_id", F.col("_id")).drop("_id", "_url").persist()
     written = write_products(arrived, paths.table(S.PRODUCTS), as_of)

@@ -136,13 +136,14 @@ def recommendations(
         ),
         "position int, recommendation string",
     )
+    # End of the fixed values.
     return category.unionByName(offer).unionByName(price).unionByName(fixed).orderBy("position")
 
 
 def business_report(
-    products: DataFrame, as_of: datetime | None = None, shared: Shared | None = None
+    products: DataFrame, as_of: datetime | None = None, shared: Shared | None = None, offers: int = 20
 ) -> Report:
-    """All sections of the weekly report; ``products`` carries ``seasonal_tags``."""
+    """All sections of the weekly report; ``products`` carries ``seasonal_tags``. It lists the ``offers`` best offers."""
     spark = products.sparkSession
     shared = shared or shared_tables(products, as_of)
     overview = market_overview(products, as_of, shared)
@@ -156,7 +157,7 @@ def business_report(
         **overview,
         "seasonal_trends": trends_of(shared.seasons),
         "seasonal_months": months_of(shared.seasons),
-        "high_margin_products": best_offers(shared.offers, 20),
+        "high_margin_products": best_offers(shared.offers, offers),
         "price_trends": price_trends(products, as_of),
         "price_trend_overall": price_trend_overall(products, as_of),
         "recommendations": recommendations(
@@ -165,11 +166,11 @@ def business_report(
     }
 
 
-def insights(report: Report) -> Report:
-    """The short form of a report."""
+def insights(report: Report, offers: int = 10, trending: int = 10, advice: int = 5) -> Report:
+    """The short form of a report: its first offers, trending products and lines of advice, as many as asked for."""
     return {
         "market_overview": report["executive_summary"],
-        "top_opportunities": best_offers(report["high_margin_products"], 10),
-        "trending_products": report["trending_products"].orderBy("trend_rank").limit(10),
-        "recommendations": report["recommendations"].orderBy("position").limit(5),
+        "top_opportunities": best_offers(report["high_margin_products"], offers),
+        "trending_products": report["trending_products"].orderBy("trend_rank").limit(trending),
+        "recommendations": report["recommendations"].orderBy("position").limit(advice),
     }

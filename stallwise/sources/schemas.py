@@ -61,6 +61,9 @@ _FETCHED_PAGES = """
 url string, status_code int, content string, headers map<string,string>, response_time double,
 proxy_used string, error string
 """
+_ISSUED_WORK = """
+batch string, product_id string, product_url string, scrape_priority int, issued_at timestamp_ntz
+"""
 
 NOW = object()
 """Marks a default that is the writer's clock."""
@@ -134,6 +137,9 @@ MASTER_PRODUCTS = Table(
     sort_by=("category_id", "product_id", "discovered_at"), bloom=("category_id",),
 )
 FETCHED_PAGES = Table("fetched_pages", _FETCHED_PAGES)
+ISSUED_WORK = Table(
+    "issued_work", _ISSUED_WORK, month_of="issued_at", month_column="issue_month", sort_by=("product_id",),
+)
 
 TABLES = {
     t.name: t

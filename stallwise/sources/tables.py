@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Collection
+from collections.abc import Callable, Collection, Sequence
 from datetime import datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stallwise.functions.measures import row_count
 from stallwise.functions.time import ago, moment, month_of
+from stallwise.operators.worklist import apply_updates
+from stallwise.sources.files import (
+    NOTED,
+    REWRITE,
+    TAKEN,
+    Ledger,
+    age_seconds,
+    data_files,
+    delete_folder,
+    list_folder,
+    month_folder,
+    new_run,
+    read_files,
+    read_text,
+    rename_folder,
+    staged_files,
+    take_rewrite,
+    write_text,
+)
 from stallwise.sources.schemas import NOW, PRICE_HISTORY, PRODUCTS, REVIEWS, SCRAPING_LOGS, TRENDS, Table
 
 TIME_TEXT = "yyyy-MM-dd HH:mm:ss"
@@ -116,12 +135,6 @@ def append(df: DataFrame, table: Table, path: str, as_of: datetime | None = None
     return int(counted.getLong(0)) if counted.size() else 0
 
 
-def replace_months(df: DataFrame, table: Table, path: str) -> None:
-    """Replace the months that occur in ``df``; all other months stay."""
-    writer = _layout(conform(df, table), table).mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
-
-
 def stored_months(spark: SparkSession, table: Table, path: str) -> set[int]:
     prefix = f"{table.month_column}="
     names = (n[len(prefix):] for n in list_folder(spark, path) if n.startswith(prefix))
@@ -153,146 +166,193 @@ def apply_retention(df: DataFrame, column: str, days: int, as_of: datetime | Non
 RETENTION_DAYS = {SCRAPING_LOGS.name: 30, PRICE_HISTORY.name: 90}
 
 
+def finish_rewrites(spark: SparkSession, table: Table, path: str) -> None:
+    """Finish what a lost maintenance job had made final, and remove what it had not.
+
+    A rewrite that names a ledger is final as soon as the ledger holds its run.
+    """
+    for name in list_folder(spark, path):
+        if not name.startswith(REWRITE):
+            continue
+        rewrite = name.removeprefix(REWRITE)
+        folder = f"{table.month_column}={rewrite}"
+        held = list_folder(spark, f"{path}/{name}")
+        # Files of a month whose folder is gone have nothing left to replace.
+        whole = "_SUCCESS" in held and any(n.startswith("part-") for n in held) and not list_folder(spark, f"{path}/{folder}")
+        noted = NOTED in held and Ledger(spark, read_text(spark, f"{path}/{name}/{NOTED}")).holds(rewrite)
+        if TAKEN in held or whole or noted:
+            take_rewrite(spark, path, rewrite, folder=folder)
+        else:
+            delete_folder(spark, f"{path}/{name}")
+
+
+def stage(rows: DataFrame, table: Table, path: str, rewrite: str) -> None:
+    """Write rows of the table into a staging folder of it, in the table's layout."""
+    writer = _layout(conform(rows, table), table).mode("overwrite")
+    writer.option("partitionOverwriteMode", "static").parquet(f"{path}/{REWRITE}{rewrite}")
+
+
+def replace_files(rows: DataFrame, table: Table, path: str, files: Sequence[str]) -> None:
+    """Put ``rows`` in the place of exactly the named files; any other file stays."""
+    spark, rewrite = rows.sparkSession, new_run()
+    stage(rows, table, path, rewrite)
+    take_rewrite(spark, path, rewrite, files)
+
+
+def expired_files(spark: SparkSession, table: Table, path: str, days: int, as_of: datetime) -> list[str]:
+    """Files of the cut-off month that hold expired rows; statistics spare most others from being read."""
+    cut = as_of - timedelta(days=days)
+    folder = f"{table.month_column}={cut.year * 100 + cut.month}"
+    files = [f"{folder}/{name}" for name in list_folder(spark, f"{path}/{folder}") if name.startswith("part-")]
+    rows = read_files(spark, table.schema, path, files)
+    if not files:
+        return []
+    old = rows.where(F.col(table.month_of) < moment(cut)).select(F.col("_metadata.file_name").alias("name")).distinct()
+    return [f"{folder}/{row.name}" for row in old.collect()]
+
+
 def expire_months(spark: SparkSession, table: Table, path: str, days: int, as_of: datetime) -> None:
-    """Retention on a stored table: drop old month folders, rewrite one.
+    """Retention on a stored table: drop old month folders, rewrite the files on the cut-off.
 
-    Months before the cut-off month are deleted without reading them; only the
-    month the cut-off falls into is filtered and replaced.
+    Months before the cut-off month are deleted without reading them. Of the
+    month the cut-off falls into, the files with expired rows are replaced by
+    their other rows; files that are appended meanwhile stay.
     """
     cut = as_of - timedelta(days=days)
-    boundary = cut.year * 100 + cut.month
-    prefix = f"{table.month_column}="
-    # A run that was lost while taking a finished rewrite: the rewrite comes first.
-    for name in list_folder(spark, path):
-        folder = f"{path}/{prefix}{name.removeprefix('_rewrite_')}"
-        if name.startswith("_rewrite_"):
-            staged = list_folder(spark, f"{path}/{name}")
-            if TAKEN in staged or ("_SUCCESS" in staged and not list_folder(spark, folder)):
-                _take_rewrite(spark, f"{path}/{name}", folder)
-    months = stored_months(spark, table, path)
-    for month in sorted(m for m in months if m < boundary):
-        delete_folder(spark, f"{path}/{prefix}{month}")
-    if boundary in months:
-        folder = f"{path}/{prefix}{boundary}"
-        staged = f"{path}/_rewrite_{boundary}"
-        kept = apply_retention(spark.read.schema(table.schema).parquet(folder), table.month_of, days, as_of)
-        kept.sortWithinPartitions(*table.sort_by).write.mode("overwrite").parquet(staged)
-        _take_rewrite(spark, staged, folder)
-
-
-TAKEN = "_TAKES_"
-"""Marks a rewrite that replaces files: a file of this name lists them."""
-
-
-def _take_rewrite(spark: SparkSession, staged: str, folder: str) -> None:
-    """Put the files of a rewrite in the place of those it was made from.
-
-    The replaced names are kept in the rewrite until all is done, so a lost run
-    is finished by the next one, and files appended meanwhile stay.
+    finish_rewrites(spark, table, path)
+    for month in sorted(m for m in stored_months(spark, table, path) if m < cut.year * 100 + cut.month):
+        delete_folder(spark, f"{path}/{table.month_column}={month}")
+    files = expired_files(spark, table, path, days, as_of)
+    if files:
+        rows = read_files(spark, table.schema, path, files)
+        replace_files(apply_retention(rows, table.month_of, days, as_of), table, path, files)
+
+
+def update_stored(
+    spark: SparkSession, table: Table, path: str, changes: DataFrame, key: str, columns: Sequence[str] | None = None
+) -> list[str]:
+    """Keyed update of a stored table that rewrites the files with changed rows only; gives their names.
+
+    The files are found by a scan of the key column. A table that others are
+    made from file by file is append-only and not updated this way.
     """
-    if TAKEN not in list_folder(spark, staged):
-        write_text(spark, f"{staged}/{TAKEN}", "\n".join(n for n in list_folder(spark, folder) if n.startswith("part-")))
-    target, fs = _filesystem(spark, folder)
-    fs.mkdirs(target)
-    for name in list_folder(spark, staged):
-        if name.startswith("part-"):
-            rename_folder(spark, f"{staged}/{name}", f"{folder}/{name}")
-    for name in read_text(spark, f"{staged}/{TAKEN}").split("\n"):
-        if name:
-            delete_folder(spark, f"{folder}/{name}")
-    delete_folder(spark, staged)
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A new small file; an error if it exists."""
-    target, fs = _filesystem(spark, path)
-    out = fs.create(target, False)
-    out.write(bytearray(text, "utf-8"))
-    out.close()
-
-
-def read_text(spark: SparkSession, path: str) -> str:
-    target, fs = _filesystem(spark, path)
-    source = fs.open(target)
-    text = bytes(source.readAllBytes()).decode()
-    source.close()
-    return text
-
-
-DONE = "_done"
-"""Folder of a derived table that names the state of the source each month was made from."""
-
-
-def month_states(spark: SparkSession, table: Table, path: str) -> dict[int, str]:
-    """A digest of each stored month's file names: another one as soon as rows are appended."""
-    found = {}
-    for month in stored_months(spark, table, path):
-        names = sorted(n for n in list_folder(spark, f"{path}/{table.month_column}={month}") if n.startswith("part-"))
-        found[month] = hashlib.md5("\n".join(names).encode()).hexdigest()
-    return found
-
-
-def changed_months(spark: SparkSession, table: Table, source: str, target: str) -> dict[int, str]:
-    """Months of the source, with their state, that ``target`` was not made from."""
-    done = set(list_folder(spark, f"{target}/{DONE}"))
-    made = stored_months(spark, table, target)
-    return {m: s for m, s in month_states(spark, table, source).items() if f"{m}-{s}" not in done or m not in made}
-
-
-def mark_done(spark: SparkSession, target: str, states: dict[int, str]) -> None:
-    """Note the states that months of ``target`` have been made from."""
-    before = list_folder(spark, f"{target}/{DONE}")
-    for month, state in states.items():
-        for name in before:
-            if name.startswith(f"{month}-"):
-                delete_folder(spark, f"{target}/{DONE}/{name}")
-        write_text(spark, f"{target}/{DONE}/{month}-{state}", "")
-
-
-def _filesystem(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def list_folder(spark: SparkSession, path: str) -> list[str]:
-    """Names of the entries of a folder; empty when it does not exist."""
-    target, fs = _filesystem(spark, path)
-    if not fs.exists(target):
-        return []
-    return [entry.getPath().getName() for entry in fs.listStatus(target)]
+    finish_rewrites(spark, table, path)
+    keys = changes.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct()
+    base = read_table(spark, table, path).select(key, F.substring_index("_metadata.file_path", "/", -2).alias("file"))
+    touched = base.join(keys, F.col(key) == F.col("_key"), "left_semi").select("file").distinct()
+    files = sorted(row.file for row in touched.collect())
+    if files:
+        rows = read_files(spark, table.schema, path, files)
+        replace_files(apply_updates(rows, changes, key, columns), table, path, files)
+    return files
+
 
+SMALL_BYTES = 32 << 20
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    target, fs = _filesystem(spark, path)
-    fs.delete(target, True)
 
+def merge_small_files(
+    spark: SparkSession, table: Table, path: str, most: int = 8, small: int = SMALL_BYTES, ledgers: Sequence[str] = ()
+) -> int:
+    """Merge the small files of each month that has more than ``most`` of them; gives how many files were merged.
 
-def rename_folder(spark: SparkSession, source: str, target: str) -> None:
-    origin, fs = _filesystem(spark, source)
-    if not fs.rename(origin, spark._jvm.org.apache.hadoop.fs.Path(target)):
-        raise OSError(f"{source} could not be renamed to {target}")
+    The merged files are laid out like any others. ``ledgers`` are those of the
+    tables made from this one: only files that all of them hold are merged, and
+    the merged ones are added to each, so no row is processed again.
+    """
+    finish_rewrites(spark, table, path)
+    files = data_files(spark, path).where(F.col("length") < small)
+    noted = [Ledger(spark, root) for root in ledgers]
+    for ledger in noted:
+        files = files.join(ledger.files(), "file", "left_semi")
+    files = files.withColumn("month", F.substring_index("file", "/", 1))
+    many = files.groupBy("month").agg(row_count().alias("n")).where(F.col("n") > most).select("month")
+    names = sorted(row.file for row in files.join(many, "month", "left_semi").select("file").collect())
+    if names:
+        rewrite = new_run()
+        stage(read_files(spark, table.schema, path, names), table, path, rewrite)
+        merged = spark.createDataFrame([(name,) for name in staged_files(spark, path, rewrite)], "file string")
+        for ledger in noted:
+            ledger.add(new_run(), merged)
+        take_rewrite(spark, path, rewrite, names)
+    return len(names)
+
+
+def append_new(
+    spark: SparkSession, table: Table, source: str, target: str, ledger_root: str, made: Callable[[DataFrame], DataFrame]
+) -> set[int]:
+    """Bring a derived table up to date: read the files of the source that it was not made from, append what is made of them.
+
+    A row of the source gives rows of its own month. The ledger names the files
+    read; its run is the commit: a run lost before leaves nothing, one lost after
+    is finished by the next. Files of a month that the derived table lacks are
+    read again. Gives the months that got rows.
+    """
+    ledger = Ledger(spark, ledger_root)
+    finish_rewrites(spark, table, target)
+    have = [name for name in list_folder(spark, target) if "=" in name]
+    done = ledger.files().where(F.substring_index("file", "/", 1).isin(have))
+    files = data_files(spark, source).join(done, "file", "left_anti").select("file")
+    names = sorted(row.file for row in files.collect())
+    if names:
+        run = new_run()
+        stage(made(read_files(spark, table.schema, source, names)), table, target, run)
+        write_text(spark, f"{target}/{REWRITE}{run}/{NOTED}", ledger_root)
+        ledger.add(run, spark.createDataFrame([(name,) for name in names], "file string"))
+        take_rewrite(spark, target, run)
+    months = (month_folder(name).split("=", 1)[1] for name in names)
+    return {int(month) for month in months if month.isdigit()}
 
 
 VERSIONS_KEPT = 3
 
 
+CLAIM = "_claim_"
+"""Prefix of the file that reserves a version for one writer."""
+CLAIM_HOURS = 24.0
+
+
+def _claim(spark: SparkSession, root: str, version: int, hours: float) -> None:
+    """Reserve a version: of several writers one gets it, the others an error.
+
+    The file is created only if it does not exist, which the file system decides.
+    A claim older than ``hours`` without a complete version is a lost writer's;
+    it is renamed first, which again one of several succeeds in.
+    """
+    claim = f"{root}/{CLAIM}{version:012d}"
+    age = age_seconds(spark, claim)
+    if age is not None and age > hours * 3600:
+        stale = f"{claim}_{new_run()}"
+        rename_folder(spark, claim, stale)
+        delete_folder(spark, stale)
+    try:
+        write_text(spark, claim, "")
+    except Py4JJavaError as error:
+        raise FileExistsError(f"version {version} of {root} is being written by another job") from error
+
+
 def write_snapshot(
-    df: DataFrame, table: Table, root: str, version: int, as_of: datetime | None = None, keep: int = VERSIONS_KEPT
+    df: DataFrame, table: Table, root: str, version: int, as_of: datetime | None = None, keep: int = VERSIONS_KEPT,
+    claim_hours: float = CLAIM_HOURS,
 ) -> str:
     """Write a new version next to the old ones; readers switch when it is complete.
 
-    A version left half-written by a lost run is replaced as a whole; one that
-    another job has completed is an error, never overwritten. Versions before
-    the newest ``keep`` are removed.
+    A version belongs to the writer that claims it first; the claim of a lost one
+    can be taken over after ``claim_hours``, and what it left half-written is
+    replaced as a whole. A version that another job has completed is an error,
+    never overwritten. Versions before the newest ``keep`` are removed.
     """
     path = f"{root}/version={version:012d}"
-    if "_SUCCESS" in list_folder(spark := df.sparkSession, path):
+    spark = df.sparkSession
+    if "_SUCCESS" in list_folder(spark, path):
         raise FileExistsError(f"{path} has been written by another job")
+    _claim(spark, root, version, claim_hours)
     writer = _layout(conform(df, table, as_of), table).mode("overwrite")
     writer.option("partitionOverwriteMode", "static").parquet(path)
     for name in list_folder(spark, root):
         if name.startswith("version=") and int(name.split("=", 1)[1]) <= version - keep:
             delete_folder(spark, f"{root}/{name}")
+        if name.startswith(CLAIM) and name.removeprefix(CLAIM).isdigit() and int(name.removeprefix(CLAIM)) <= version - keep:
+            delete_folder(spark, f"{root}/{name}")
     return path
 
 

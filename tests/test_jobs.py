@@ -205,3 +205,69 @@ def test_titles_and_samples_are_whole_by_default(spark):
     advice = lambda **cut: {r.position: r.recommendation for r in C.recommendations(spark, categories, offers, spark.createDataFrame([(5.0,)], "median double"), **cut).collect()}[2]
     assert f" {'t' * 80} - high" in advice() and f" {'t' * 50}... - high" in advice(title_chars=50)
     assert (J.health_check(spark.range(25)).first().recent_products, J.health_check(spark.range(25), 10).first().recent_products) == (25, 10)
+
+
+def test_daily_reads_and_writes_new_files_only(spark, tmp_path):
+    """A second run after one small append: its file is all that is read, what was written before keeps name and time."""
+    import os
+
+    p = J.Paths(str(tmp_path))
+    kind = "product_id string, title string, tags array<string>, scraped_at timestamp_ntz"
+    add = lambda ids, day: T.write_products(spark.createDataFrame([(str(i), "gold ring", [], datetime(1999, 12, day)) for i in ids], kind), p.table(S.PRODUCTS), NOW)
+    stamps = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(p.enriched_products + "/*=*/part-*")}
+    add(range(100), 5)
+    J.run_daily(spark, p)
+    first, source = stamps(), set(glob.glob(p.table(S.PRODUCTS) + "/*=*/part-*"))
+    add(range(100, 103), 6)
+    read = []
+    keep = T.read_files
+
+    def counted(spark, schema, path, files):
+        read.extend(files)
+        return keep(spark, schema, path, files)
+
+    T.read_files = counted
+    try:
+        assert J.run_daily(spark, p) == ({199912}, set())
+    finally:
+        T.read_files = keep
+    appended = set(glob.glob(p.table(S.PRODUCTS) + "/*=*/part-*")) - source
+    assert {f.rsplit("/", 1)[1] for f in read} == {f.rsplit("/", 1)[1] for f in appended}
+    second = stamps()
+    assert {f: t for f, t in second.items() if f in first} == first
+    new = [f for f in second if f not in first]
+    assert spark.read.parquet(*new).count() == 3
+    assert T.read_table(spark, S.PRODUCTS, p.enriched_products).count() == 103
+
+
+def test_issued_work_is_what_counts(spark, tmp_path):
+    """Priorities and states change between issue and arrival: every issued page is taken over, others are not."""
+    p = J.Paths(str(tmp_path))
+    root = p.table(S.MASTER_PRODUCTS)
+    master = X.master_products(spark, SMALL).where("is_active = 1")
+    T.write_snapshot(master, S.MASTER_PRODUCTS, root, 0)
+    first = J.issue_work(spark, p, NOW, limit=5).collect()
+    assert [r.product_id for r in first] and {r.product_id for r in first} == {r.product_id for r in select_work(master, 5).collect()}
+    second = J.issue_work(spark, p, NOW, limit=5).collect()
+    assert not {r.product_id for r in first} & {r.product_id for r in second}
+    lowered = master.withColumn("scrape_priority", F.lit(1)).withColumn("scrape_status", F.lit("skipped"))
+    T.write_snapshot(lowered, S.MASTER_PRODUCTS, root, 1)
+    page = lambda title: f'<h1 class="product-title-text">{title}</h1>'
+    kind = "url string, html string, status_code int, fetched_at timestamp_ntz"
+    early, late = datetime(1999, 12, 31), datetime(1999, 12, 31, 1)
+    pages = [(r.product_url, page("new"), 200, late) for r in first] + [(r.product_url, page("old"), 200, early) for r in first]
+    pages += [(second[0].product_url, None, 503, late), (f"{SITE}/item/none.html", page("x"), 200, late)]
+    assert J.run_updates(spark, p, spark.createDataFrame(pages, kind), NOW) == (5, 6)
+    rows = T.read_table(spark, S.PRODUCTS, p.table(S.PRODUCTS)).collect()
+    assert sorted(r.product_id for r in rows) == sorted(r.product_id for r in first) and {r.title for r in rows} == {"new"}
+    after = {r.product_id: r.scrape_status for r in T.read_snapshot(spark, S.MASTER_PRODUCTS, root).collect()}
+    assert {after[r.product_id] for r in first} == {"scraped"} and after[second[0].product_id] == "failed"
+    assert after[second[1].product_id] == "skipped"
+
+
+def test_limits_of_reports_are_arguments(spark, paths):
+    products = T.read_table(spark, S.PRODUCTS, paths.table(S.PRODUCTS))
+    report = C.business_report(products, NOW, offers=3)
+    assert report["high_margin_products"].count() == 3
+    short = C.insights(report, offers=2, trending=1, advice=7)
+    assert (short["top_opportunities"].count(), short["recommendations"].count()) == (2, 7)

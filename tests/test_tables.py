@@ -172,3 +172,153 @@ def test_seed(spark, tmp_path):
     row = back.where("category_id = 'home'").first()
     assert (row.seasonal_relevance, row.level, row.path, row.avg_price) == (
         {"spring": 0.7, "fall": 0.6}, 1, "Home & Garden", Decimal("0.00"))
+
+
+def test_rows_appended_during_retention_stay(spark, rows, tmp_path, monkeypatch):
+    """The month is appended to after it was listed and before it is replaced."""
+    path = str(tmp_path / "logs")
+    T.append(log_rows(rows, *(datetime(1999, 12, d) for d in range(1, 21))), S.SCRAPING_LOGS, path, NOW)
+    keep = T.apply_retention
+
+    def meanwhile(*args):
+        T.append(log_rows(rows, *(datetime(1999, 12, 25, h) for h in range(5))), S.SCRAPING_LOGS, path, NOW)
+        return keep(*args)
+
+    monkeypatch.setattr(T, "apply_retention", meanwhile)
+    T.expire_months(spark, S.SCRAPING_LOGS, path, 30, NOW)
+    days = [r.scraped_at.day for r in T.read_table(spark, S.SCRAPING_LOGS, path).collect()]
+    assert sorted(days) == [*range(2, 21), *[25] * 5]
+
+
+def test_retention_rewrites_files_with_expired_rows_only(spark, rows, tmp_path):
+    path = str(tmp_path / "logs")
+    T.append(log_rows(rows, datetime(1999, 12, 1), datetime(1999, 12, 9)), S.SCRAPING_LOGS, path, NOW)
+    old = set(glob.glob(path + "/scrape_month=199912/part-*"))
+    T.append(log_rows(rows, datetime(1999, 12, 20)), S.SCRAPING_LOGS, path, NOW)
+    new = set(glob.glob(path + "/scrape_month=199912/part-*")) - old
+    T.expire_months(spark, S.SCRAPING_LOGS, path, 30, NOW)
+    left = set(glob.glob(path + "/scrape_month=199912/part-*"))
+    assert new <= left and not old & left
+    assert T.read_table(spark, S.SCRAPING_LOGS, path).count() == 2
+
+
+def test_retention_removes_a_rewrite_that_was_not_final(spark, rows, tmp_path):
+    path = str(tmp_path / "logs")
+    T.append(log_rows(rows, datetime(1999, 12, 20)), S.SCRAPING_LOGS, path, NOW)
+    T.stage(log_rows(rows, datetime(1999, 12, 21)), S.SCRAPING_LOGS, path, "lost")
+    T.expire_months(spark, S.SCRAPING_LOGS, path, 30, NOW)
+    assert T.read_table(spark, S.SCRAPING_LOGS, path).count() == 1
+    assert not [n for n in T.list_folder(spark, path) if n.startswith(T.REWRITE)]
+
+
+def test_one_of_two_writers_of_a_version_fails(spark, tmp_path):
+    root = str(tmp_path / "master")
+    empty = spark.createDataFrame([], S.MASTER_PRODUCTS.schema)
+    T._claim(spark, root, 0, 24)  # another writer has begun
+    with pytest.raises(FileExistsError):
+        T.write_snapshot(empty, S.MASTER_PRODUCTS, root, 0, NOW)
+    assert T.latest_version(spark, root) is None
+    T.write_snapshot(empty, S.MASTER_PRODUCTS, root, 0, NOW, claim_hours=-1)  # and was lost long ago
+    assert T.latest_version(spark, root) == 0
+    with pytest.raises(FileExistsError):
+        T.write_snapshot(empty, S.MASTER_PRODUCTS, root, 0, NOW, claim_hours=-1)
+
+
+def test_two_threads_write_one_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "master")
+    found = [spark.createDataFrame([(str(i), NOW)], "product_id string, discovered_at timestamp_ntz") for i in range(4)]
+
+    def write(df):
+        try:
+            return T.write_snapshot(df, S.MASTER_PRODUCTS, root, 0, NOW)
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        done = [i for i, path in enumerate(pool.map(write, found)) if path]
+    assert len(done) == 1
+    assert [r.product_id for r in T.read_snapshot(spark, S.MASTER_PRODUCTS, root).collect()] == [str(done[0])]
+
+
+def stamps(path):
+    import os
+
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(path + "/*=*/part-*")}
+
+
+def test_keyed_update_leaves_other_files_alone(spark, rows, tmp_path):
+    path = str(tmp_path / "products")
+    for month in (10, 11, 12):
+        T.write_products(rows(PRODUCT, *(product(f"{month}-{i}", f"1999-{month}-15 00:00:00") for i in range(4))), path, NOW)
+    before = stamps(path)
+    changes = rows("product_id string, title string, category_id string", ("11-2", "new", "moved"), ("none", "x", "y"), (None, "x", "y"))
+    files = T.update_stored(spark, S.PRODUCTS, path, changes, "product_id")
+    assert [f.split("/")[0] for f in files] == ["scrape_month=199911"]
+    after = stamps(path)
+    assert {f: t for f, t in before.items() if "199911" not in f} == {f: t for f, t in after.items() if "199911" not in f}
+    got = {r.product_id: r for r in T.read_table(spark, S.PRODUCTS, path).collect()}
+    assert len(got) == 12 and (got["11-2"].title, got["11-2"].category_id) == ("new", "moved")
+    assert got["11-1"].title == "t11-1" and got["11-2"].price == Decimal("1.50")
+    assert T.update_stored(spark, S.PRODUCTS, path, changes.where("product_id = 'none'"), "product_id") == [] and stamps(path) == after
+
+
+def test_small_files_are_merged_and_not_processed_again(spark, rows, tmp_path):
+    source, target, ledger = (str(tmp_path / n) for n in ("products", "derived", "ledger"))
+    made = []
+
+    def copy(df):
+        made.append(df.count())
+        return df
+
+    for i in range(30):
+        T.write_products(rows(PRODUCT, product(i, f"1999-{11 + i % 2}-{1 + i % 28:02d} 00:00:00", f"c{i % 5}")), source, NOW)
+        if i % 5 == 4:
+            T.append_new(spark, S.PRODUCTS, source, target, ledger, copy)
+            T.merge_small_files(spark, S.PRODUCTS, source, most=4, ledgers=[ledger])
+            T.merge_small_files(spark, S.PRODUCTS, target, most=4)
+            for path in (source, target):
+                assert max(len(glob.glob(f"{path}/scrape_month={m}/part-*")) for m in (199911, 199912)) <= 6
+    T.append_new(spark, S.PRODUCTS, source, target, ledger, copy)
+    assert made == [5] * 6
+    everything = [str(i) for i in range(30)]
+    assert sorted(r.product_id for r in T.read_table(spark, S.PRODUCTS, source).collect()) == sorted(everything)
+    assert sorted(r.product_id for r in T.read_table(spark, S.PRODUCTS, target).collect()) == sorted(everything)
+    for file in glob.glob(source + "/*/part-*"):
+        keys = [(r.category_id, r.scraped_at) for r in spark.read.parquet(file).collect()]
+        assert keys == sorted(keys)
+
+
+def test_files_that_were_not_processed_are_not_merged(spark, rows, tmp_path):
+    source, ledger = str(tmp_path / "products"), str(tmp_path / "ledger")
+    for i in range(3):
+        T.write_products(rows(PRODUCT, product(i, "1999-12-15 00:00:00")), source, NOW)
+    before = stamps(source)
+    assert T.merge_small_files(spark, S.PRODUCTS, source, most=1, ledgers=[ledger]) == 0 and stamps(source) == before
+    assert T.merge_small_files(spark, S.PRODUCTS, source, most=1, small=1) == 0
+    assert T.merge_small_files(spark, S.PRODUCTS, source, most=1) == 3 and len(stamps(source)) == 1
+    assert T.merge_small_files(spark, S.PRODUCTS, str(tmp_path / "none")) == 0
+
+
+def test_a_lost_daily_run(spark, rows, tmp_path, monkeypatch):
+    """Lost before its ledger entry a run leaves nothing; lost after it, the next one finishes it."""
+    source, target, ledger = (str(tmp_path / n) for n in ("products", "derived", "ledger"))
+    update = lambda: T.append_new(spark, S.PRODUCTS, source, target, ledger, lambda df: df)
+    ids = lambda: sorted(r.product_id for r in T.read_table(spark, S.PRODUCTS, target).collect())
+    T.write_products(rows(PRODUCT, product(1, "1999-12-15 00:00:00")), source, NOW)
+    update()
+    T.write_products(rows(PRODUCT, product(2, "1999-12-16 00:00:00")), source, NOW)
+    for name in ("Ledger.add", "take_rewrite"):
+        with monkeypatch.context() as lost:
+            def fail(*args, **kwargs):
+                raise RuntimeError("lost")
+
+            owner = T.Ledger if "." in name else T
+            lost.setattr(owner, name.split(".")[-1], fail)
+            with pytest.raises(RuntimeError):
+                update()
+        assert ids() == ["1"]
+    T.merge_small_files(spark, S.PRODUCTS, target)  # any maintenance job finishes it
+    assert ids() == ["1", "2"]
+    assert update() == set() and ids() == ["1", "2"]
