@@ -617,6 +617,14 @@ counted AS (SELECT *, {counts_of('txt')} FROM texts), won AS ({winner_of()}),
 enriched AS (SELECT * REPLACE (coalesce(winner, 'other') AS category_id, coalesce(winner, 'Other') AS category_name,
   least(best / 10.0e0, 1.0e0) AS trend_score) FROM won)"""
 
+# Files arrive one by one. The mark that makes a row late is that of the file two before: the one before sets the next mark.
+ARRIVED = """arrived AS (SELECT *, CAST(scraped_at AS DATE) AS day, least(greatest(year(scraped_at) - 1995, 0)
+  + CASE WHEN CAST(product_id AS BIGINT) % 10 = 0 THEN 1 WHEN CAST(product_id AS BIGINT) % 7 = 0 THEN 2 ELSE 0 END, 6) AS file FROM products),
+tops AS (SELECT file, max(day) AS top FROM arrived GROUP BY 1),
+marks AS (SELECT t.file, max(b.top) - INTERVAL 60 DAY AS mark FROM tops t LEFT JOIN tops b ON b.file <= t.file - 2 GROUP BY 1),
+judged AS (SELECT a.*, coalesce(day <= mark, FALSE) AS late, day > (SELECT max(top) FROM tops) - INTERVAL 60 DAY AS open
+  FROM arrived a JOIN marks USING (file))"""
+
 ORACLES |= {
     "stored_merged": ORACLES["stored_enrichment"],
     "stored_keyed_update": q("""SELECT * REPLACE (
@@ -641,4 +649,16 @@ ORDER BY {WEIGHT} DESC, total_reviews DESC, trend_score DESC,
 LIMIT 50"""),
     "insights": f"""SELECT * FROM ({ORACLES['high_margin']}) ORDER BY margin_potential_score DESC,
   CAST(average_rating AS DOUBLE) * total_sales DESC, {ties('product_id, title, price, average_rating, total_reviews, total_sales')} LIMIT 10""",
+    "daily_windows": q(f"""WITH {ARRIVED} SELECT product_id, day AS date, {mean('price')} AS avg_price, min(price) AS min_price,
+  max(price) AS max_price, count(*) AS price_points FROM judged WHERE NOT late AND NOT open GROUP BY 1, 2"""),
+    "late_rows": q(f"""WITH {ARRIVED} SELECT count(*) FILTER (WHERE late) AS late_rows,
+  count(DISTINCT (product_id, day)) FILTER (WHERE NOT late AND open) AS open_keys FROM judged"""),
+    "sentiment_windows": q(f"""SELECT * FROM ({SENTIMENT_VIEW})
+WHERE date <= (SELECT CAST(max(scraped_at) AS DATE) FROM reviews) - INTERVAL 3 DAY""", "reviews"),
+    "sales_changes": q(SALES_VIEW),
+    "unique_pending": q("""SELECT product_id, product_url, category_id, category_name, scrape_priority, error_count,
+  count(DISTINCT year(l_shipdate) >= 1998) AS occurrences,
+  TIMESTAMP '1995-01-01 00:00:00' + INTERVAL 1 DAY * CASE WHEN bool_or(year(l_shipdate) >= 1998) THEN 1000 ELSE 0 END AS last_discovered_at
+FROM lineitem JOIN master_products ON CAST(l_partkey AS VARCHAR) = product_id
+WHERE scrape_status = 'pending' AND is_active = 1 GROUP BY 1, 2, 3, 4, 5, 6""", "master_products"),
 }

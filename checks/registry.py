@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import inputs as I
-from checks import stored
+from checks import stored, streams
 from stallwise.operators import browse as B
 from stallwise.operators import enrich as E
 from stallwise.operators import market as M
@@ -378,6 +378,11 @@ QUERIES: dict[str, Query] = {
     "sentiment_summary_stream": _sentiment_stream,
     "pending_work": _over(I.discovery_log, V.pending_work),
     "pending_work_stream": _pending_stream,
+    "daily_windows": streams.daily_windows,
+    "late_rows": streams.late_rows,
+    "sentiment_windows": streams.sentiment_windows,
+    "sales_changes": streams.sales_changes,
+    "unique_pending": streams.unique_pending,
     # reports
     "executive_summary": _summary,
     "recommendations": _advice,

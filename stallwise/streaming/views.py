@@ -1,13 +1,18 @@
 """Summaries kept up to date from streams.
 
-Two forms are offered. ``maintain`` stores the partial sums of every
-micro-batch and ``read_view`` adds them up: there is no state to hold, no
-watermark, and a late row counts like any other. ``daily_windows`` is the
-stateful form for consumers that want each day once, when it is complete.
+``maintain`` stores the partial sums of every micro-batch and ``read_view`` adds
+them up: there is no state to hold, no watermark, and a late row counts like any
+other. Three stateful forms serve other consumers. ``close_days`` emits each day
+once, when the watermark says that it is complete. ``maintain_changes`` keeps the
+running summary of every key and stores those that a micro-batch has changed.
+``unique_discoveries`` lets repeated events through once. Their state is held by
+the state store of the session, RocksDB by this library's settings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -112,3 +117,79 @@ def daily_windows(rows: DataFrame, summary: Summary, column: str = "scraped_at",
     keys = [F.expr(e).alias(n) for n, e in summary.keys.items() if n != "date"]
     parts = timed.groupBy(*keys, "_day").agg(*(F.expr(e).alias(n) for n, (e, _) in summary.parts.items()))
     return summary.finished(parts.withColumn("date", F.col("_day").cast("date")))
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _with_state_store(spark: SparkSession) -> None:
+    """State on local disks instead of the heap; streams that have begun keep the store that they have."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def close_days(
+    rows: DataFrame, summary: Summary, path: str, checkpoint: str, column: str = "scraped_at", delay: str = "2 days"
+) -> StreamingQuery:
+    """Start appending the summary of every day that is complete to ``path``; ends when all that is there was read."""
+    _with_state_store(rows.sparkSession)
+    writer = daily_windows(rows, summary, column, delay).writeStream.outputMode("append").format("parquet")
+    return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def open_days(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Keys and sums of the days that are not complete yet, read from the state of ``close_days``."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.*", "value.*")
+
+
+def late_rows(spark: SparkSession, query: StreamingQuery, summary: Summary, path: str, checkpoint: str, count: str) -> int:
+    """How many rows of an ended ``close_days`` came after their day was closed.
+
+    They are what was read, but is neither in a closed day nor in an open one.
+    ``count`` names the part of the summary that counts rows. Spark remembers
+    what the last ``spark.sql.streaming.numRecentProgressUpdates`` batches read.
+    """
+    read = sum(progress.numInputRows for progress in query.recentProgress)
+    closed = spark.read.parquet(path).agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    # The state has the buffers of the aggregates in their order, under names that repeat; those of counts are named so.
+    held = spark.read.format("statestore").load(checkpoint).select("value.*")
+    counts = [at for at, name in enumerate(held.columns) if name.startswith("count")]
+    parts = [part for part, (rows, _) in summary.parts.items() if rows.startswith("count(")]
+    held = held.toDF(*(f"_{at}" for at in range(len(held.columns))))
+    open_ = held.agg(F.coalesce(F.sum(f"_{counts[parts.index(count)]}"), F.lit(0))).first()[0]
+    return read - closed - open_
+
+
+def maintain_changes(rows: DataFrame, summary: Summary, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a running summary in state and store, for each micro-batch, the keys that it has changed."""
+    _with_state_store(rows.sparkSession)
+    if summary.where:
+        rows = rows.where(summary.where)
+    keys = [F.expr(e).alias(name) for name, e in summary.keys.items()]
+    running = summary.finished(rows.groupBy(*keys).agg(*(F.expr(e).alias(n) for n, (e, _) in summary.parts.items())))
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = running.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def read_changes(spark: SparkSession, summary: Summary, path: str) -> DataFrame:
+    """The latest stored row of every key."""
+    batches = _complete(spark, path, "batch")
+    rows = spark.read.option("basePath", path).parquet(*(f"{path}/batch={i}" for i in batches))
+    latest = F.max_by(F.struct(*summary.finish), "batch").alias("_row")
+    return rows.groupBy(*summary.keys).agg(latest).select(*summary.keys, "_row.*")
+
+
+def unique_discoveries(
+    rows: DataFrame, keys: Sequence[str] = ("product_id",), column: str = "discovered_at", delay: str = "1 day"
+) -> DataFrame:
+    """A stream of discoveries without those that repeat one of the same keys within ``delay``.
+
+    Only keys that may still be repeated are held.
+    """
+    _with_state_store(rows.sparkSession)
+    timed = rows.withColumn("_at", F.col(column).cast("timestamp")).withWatermark("_at", delay)
+    return timed.dropDuplicatesWithinWatermark([*keys]).drop("_at")

@@ -107,3 +107,56 @@ def test_view_stays_short(spark, tmp_path):
     S.maintain(source_stream(spark, source), V.DAILY_PRICES, view, str(tmp_path / "progress"), compact_every=2).awaitTermination()
     assert table(S.read_view(spark, V.DAILY_PRICES, view)) == table(V.daily_price_changes(everything))
     assert sorted(n for n in S.list_folder(spark, view) if "=" in n) == ["batch=6", "batch=7", "batch=8", "upto=5", "upto=7"]
+
+
+def ordered_files(spark, tmp_path, *days):
+    """A file for each list of days in January 2000, in the order given."""
+    source = str(tmp_path / "in")
+    for number, of_file in enumerate(days):
+        rows = [("p", Decimal(number + 1), datetime(2000, 1, day, 5)) for day in of_file]
+        spark.createDataFrame(rows, PRICES).coalesce(1).write.mode("append").parquet(source)
+    return source
+
+
+def test_closed_days_and_late_rows(spark, tmp_path):
+    """A row is late once its day was closed: the mark is two days before the newest one of the files read by then."""
+    source = ordered_files(spark, tmp_path, [1, 2, 2], [3, 4], [2, 6], [1, 8], [9, 3, 12])
+    path, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    query = S.close_days(source_stream(spark, source), V.DAILY_PRICES, path, progress)
+    query.awaitTermination()
+    got = {r.date.day: r.price_points for r in spark.read.parquet(path).collect()}
+    assert got == {1: 1, 2: 3, 3: 1, 4: 1, 6: 1, 8: 1, 9: 1}
+    assert S.late_rows(spark, query, V.DAILY_PRICES, path, progress, "price_points") == 2
+    assert S.open_days(spark, progress).count() == 1  # the 12th
+
+    # A second run goes on where the first one ended: the state and the mark are kept.
+    ordered_files(spark, tmp_path, [9, 12, 20], [31])
+    S.close_days(source_stream(spark, source), V.DAILY_PRICES, path, progress).awaitTermination()
+    got = {r.date.day: r.price_points for r in spark.read.parquet(path).collect()}
+    assert got == {1: 1, 2: 3, 3: 1, 4: 1, 6: 1, 8: 1, 9: 1, 12: 2, 20: 1}
+
+
+def test_changes_hold_the_last_state_of_every_key(spark, tmp_path):
+    source, everything = batches(spark, tmp_path, 5)
+    path, progress = str(tmp_path / "changes"), str(tmp_path / "progress")
+    S.maintain_changes(source_stream(spark, source), V.DAILY_PRICES, path, progress).awaitTermination()
+    assert table(S.read_changes(spark, V.DAILY_PRICES, path)) == table(V.daily_price_changes(everything))
+    sizes = [spark.read.parquet(f"{path}/batch={i}").count() for i in range(5)]
+    assert all(0 < n <= 50 for n in sizes)  # no batch stores more keys than it has changed
+    late = [("p0", Decimal("7.00"), datetime(1990, 1, 1))]
+    spark.createDataFrame(late, PRICES).coalesce(1).write.mode("append").parquet(source)
+    S.maintain_changes(source_stream(spark, source), V.DAILY_PRICES, path, progress).awaitTermination()
+    expected = table(V.daily_price_changes(everything.union(spark.createDataFrame(late, PRICES))))
+    assert table(S.read_changes(spark, V.DAILY_PRICES, path)) == expected
+
+
+def test_repeated_discoveries_count_once_within_the_delay(spark, tmp_path):
+    kind = "product_id string, discovered_at timestamp_ntz"
+    source = str(tmp_path / "in")
+    at = lambda day, hour=0: datetime(2000, 1, day, hour)
+    for rows in ([("a", at(1)), ("a", at(1, 3)), ("b", at(1))], [("a", at(1, 9)), ("c", at(1, 5))], [("x", at(5))], [("x", at(5, 1)), ("b", at(5))], [("a", at(5, 2))]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+    got = run_windows(spark, S.unique_discoveries(stream), "append", "unique")
+    # The second b arrives while its state is still held; the last a does not.
+    assert sorted((r.product_id, r.discovered_at.day) for r in got.collect()) == [("a", 1), ("a", 5), ("b", 1), ("c", 1), ("x", 5)]
