@@ -661,4 +661,7 @@ WHERE date <= (SELECT CAST(max(scraped_at) AS DATE) FROM reviews) - INTERVAL 3 D
   TIMESTAMP '1995-01-01 00:00:00' + INTERVAL 1 DAY * CASE WHEN bool_or(year(l_shipdate) >= 1998) THEN 1000 ELSE 0 END AS last_discovered_at
 FROM lineitem JOIN master_products ON CAST(l_partkey AS VARCHAR) = product_id
 WHERE scrape_status = 'pending' AND is_active = 1 GROUP BY 1, 2, 3, 4, 5, 6""", "master_products"),
+    "browse_next": ORACLES["browse_products"].replace("LIMIT 100 OFFSET 50", "LIMIT 100 OFFSET 100"),
+    "stored_sketches": q("""SELECT category_name, count(*) AS price_points, CAST(1 AS INT) AS q25_within, CAST(1 AS INT) AS q50_within,
+  CAST(1 AS INT) AS q95_within, CAST(1 AS INT) AS sellers_within FROM products GROUP BY 1"""),
 }

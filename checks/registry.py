@@ -200,6 +200,14 @@ def _page_ids(spark: SparkSession, sf: str) -> DataFrame:
     return P.product_id_from_url(X.spread(spark, sf, "pages"), "url", PAGE_URL).select("page_id", "product_id")
 
 
+def _next_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The second hundred of a listing, found from the last row of the first."""
+    rows, options = X.products(spark, sf), {"category_id": "economy", "min_price": 10, "max_price": 60, "limit": 100}
+    page = B.browse_products(rows, **options).collect()
+    seen = sum(row == page[-1] for row in page)
+    return B.browse_products(rows, **options, after=page[-1], seen=seen) if page else B.browse_products(rows, **options)
+
+
 def _link_ids(spark: SparkSession, sf: str) -> DataFrame:
     rows = X.products(spark, sf).select(
         "obs_id", "product_id", "price",
@@ -278,6 +286,7 @@ QUERIES: dict[str, Query] = {
     "browse_products": lambda s, d: B.browse_products(
         X.products(s, d), category_id="economy", min_price=10, max_price=60, limit=100, offset=50
     ),
+    "browse_next": _next_page,
     "select_work": _over(X.master_products, L.select_work),
     "high_priority_work": _over(X.master_products, L.high_priority_work),
     "product_link": _over(X.master_products, B.product_link, product_id="17"),
@@ -348,6 +357,7 @@ QUERIES: dict[str, Query] = {
     "stored_maintenance": stored.maintenance,
     "stored_full_run": stored.full_run,
     "stored_trends": stored.weekly_trends,
+    "stored_sketches": stored.sketches,
     "insights": stored.best_offers,
     "product_trends": _product_trends,
     # pages

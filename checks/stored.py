@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from stallwise.operators import market as M
+from stallwise.operators import sketches as K
 from stallwise.plans import jobs as J
 from stallwise.plans import reports as C
 from stallwise.session import scratch_dir
@@ -160,3 +161,23 @@ def updates(spark: SparkSession, sf: str) -> DataFrame:
     T.write_snapshot(turned, S.MASTER_PRODUCTS, paths.table(S.MASTER_PRODUCTS), 1)
     J.run_updates(spark, paths, pages.union(pages), X.AS_OF)
     return T.read_snapshot(spark, S.MASTER_PRODUCTS, paths.table(S.MASTER_PRODUCTS))
+
+
+CUTS = (0.25, 0.5, 0.95)
+
+
+def sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices and sellers of a category from stored daily sketches, and whether they are within their bounds of the exact ones."""
+    path = scratch_dir(spark, "sketches")
+    rows = X.products(spark, sf)
+    K.daily_sketches(rows).write.parquet(path)
+    found = K.estimates(K.merged_sketches(spark.read.parquet(path)), CUTS).withColumnRenamed("category_name", "_name")
+    held = rows.select("category_name", "price", "seller_id").join(found, F.col("category_name") == F.col("_name"))
+    below = [F.count_if(F.col("price") < F.col("quantiles")[i]) / F.count("*") for i in range(len(CUTS))]
+    upto = [F.count_if(F.col("price") <= F.col("quantiles")[i]) / F.count("*") for i in range(len(CUTS))]
+    within = [(low <= cut + K.RANK_ERROR) & (high >= cut - K.RANK_ERROR) for cut, low, high in zip(CUTS, below, upto, strict=True)]
+    sellers = F.count_distinct("seller_id")
+    return held.groupBy("category_name", "rows", "kinds").agg(
+        *(w.cast("int").alias(f"q{round(100 * cut)}_within") for cut, w in zip(CUTS, within, strict=True)),
+        (F.abs(F.col("kinds") - sellers) <= K.COUNT_ERROR * sellers).cast("int").alias("sellers_within"),
+    ).drop("kinds").withColumnRenamed("rows", "price_points")

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from datetime import datetime
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stallwise.functions.ordering import top_rows
+from stallwise.functions.ordering import at_or_after, top_rows
 from stallwise.functions.scores import sales_weighted_rating
 from stallwise.operators.recent import recent
 
@@ -24,8 +24,15 @@ def browse_products(
     limit: int = 100,
     offset: int = 0,
     columns: Sequence[str] | None = None,
+    after: Row | None = None,
+    seen: int = 1,
 ) -> DataFrame:
-    """Newest observations that pass the given filters."""
+    """Newest observations that pass the given filters.
+
+    ``after`` is the last row of the page before, ``seen`` how many rows equal to
+    it that page ended with: the page continues there, whatever its depth, without
+    sorting what came before. With ``columns`` the row must have all of them.
+    """
     rows = products
     if category_id is not None:
         rows = rows.where(F.col("category_id") == category_id)
@@ -35,6 +42,8 @@ def browse_products(
         rows = rows.where(F.col("price") >= exact(min_price))
     if max_price is not None:
         rows = rows.where(F.col("price") <= exact(max_price))
+    if after is not None:
+        rows, offset = at_or_after(rows, "scraped_at", after, columns), offset + seen
     return top_rows(rows, [F.col("scraped_at").desc()], limit, columns, offset)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stallwise.functions.measures import mean, ratio, row_count
 from stallwise.functions.ordering import ordered, top_rows
 from stallwise.functions.quantiles import exact_quantiles
+from stallwise.session import scratch_dir
 
 MARKET_KEYS = ("category_id", "category_name", "seller_id", "seller_name")
 
@@ -289,20 +290,24 @@ def competitor_totals(products: DataFrame, category_id: str, limit: int = 20) ->
 def competitor_share(products: DataFrame) -> DataFrame:
     """Share of every seller in the sales of each category.
 
-    The category totals are an aggregate of their own over two narrow columns,
-    combined before the shuffle and joined back; adaptive execution broadcasts
-    them when they turn out small. Sums over the sellers' rows instead do not
-    save the second read, as Spark prunes the two branches differently, and took
-    longer; a window over the sellers would bring all sellers of a category to
-    one task.
+    The sellers' sums are written to the shared folder and read twice, for the
+    rows and for the totals of their categories, so the observations are read
+    once: two branches over one aggregate are pruned differently by Spark, which
+    would read them for each. The totals are combined before the shuffle and
+    joined back; a window over the sellers would bring all sellers of a category
+    to one task.
     """
-    per = products.groupBy("category_name", "seller_name").agg(
+    spark = products.sparkSession
+    sums = products.groupBy("category_name", "seller_name").agg(
         row_count().alias("product_count"),
         mean("price").alias("avg_price"),
         mean("average_rating").alias("avg_rating"),
         F.sum("total_sales").alias("total_sales"),
     )
-    totals = products.groupBy(F.col("category_name").alias("_category")).agg(F.sum("total_sales").alias("_sales"))
+    path = scratch_dir(spark, "sellers")
+    sums.write.parquet(path)
+    per = spark.read.schema(sums.schema).parquet(path)
+    totals = per.groupBy(F.col("category_name").alias("_category")).agg(F.sum("total_sales").alias("_sales"))
     out = per.join(totals, F.col("category_name").eqNullSafe(F.col("_category"))).select(
         *per.columns,
         F.try_divide(

@@ -61,3 +61,9 @@ def test_row_transforms_do_not_shuffle(spark, name):
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     # Only the loader's dealing out of a single-split test file may remain.
     assert all("REPARTITION_BY_NUM" in line or "ENSURE_REQUIREMENTS" not in line for line in exchanges)
+
+
+def test_shares_read_the_observations_once(spark):
+    """What is left of the plan reads the sellers' sums only."""
+    plan = plan_of(QUERIES["competitor_share"](spark, SMALL))
+    assert "lineitem" not in plan and "sellers-" in plan
