@@ -24,10 +24,12 @@ CAPACITY = 1024
 #: Appended to every document.
 END = 2
 VOCABULARY = "byte_bpe_50k"
-#: Fillings tried at a node, nodes of the search, and items added to the largest one in the enumeration.
+#: Fillings tried at a node, of so many fullest sums; nodes of the search, and more of them for each distinct length; nodes from one best-fit incumbent to the next.
 BRANCHES = 3
-NODES = 300
-LONGEST_FILLING = 4
+SUMS = 4
+NODES = 400
+NODES_A_LENGTH = 5
+BEST_FIT_EVERY = 64
 
 Filling = tuple[int, ...]
 Packed = list[tuple[int, Filling]]
@@ -138,84 +140,124 @@ def dominates(one: Filling, other: Filling) -> bool:
     return len(one) >= len(other) and all(a >= b for a, b in zip(one, other, strict=False))
 
 
-def fillings(room: int, counts: dict[int, int], sizes: np.ndarray) -> list[Filling]:
-    """Undominated fillings of ``room``, least waste first; ``sizes`` are those left, ascending."""
-    if not room or not len(sizes) or sizes[0] > room:
+def _sums(room: int, counts: dict[int, int], sizes: list[int]) -> list[int]:
+    """For each number of the smallest sizes the sums up to ``room`` that their items can have, as the bits of a number."""
+    mask = (1 << room + 1) - 1
+    reach = [1]
+    for size in sizes:
+        now, left, step = reach[-1], min(counts[size], room // size), 1
+        while left:  # any number of copies up to the count, by doubling
+            step = min(step, left)
+            now |= now << step * size & mask
+            left -= step
+            step *= 2
+        reach.append(now)
+    return reach
+
+
+def _exactly(total: int, counts: dict[int, int], sizes: list[int], reach: list[int]) -> Filling:
+    """The filling of exactly ``total`` that takes as many as it can of the last sizes, in the order of ``reach``."""
+    filling: list[int] = []
+    for at in range(len(sizes) - 1, -1, -1):
+        if not total:
+            break
+        size = sizes[at]
+        copies = min(counts[size], total // size)
+        while not reach[at] >> total - copies * size & 1:
+            copies -= 1
+        filling += [size] * copies
+        total -= copies * size
+    return tuple(sorted(filling, reverse=True))
+
+
+def fillings(room: int, counts: dict[int, int], small_first: bool = False) -> list[Filling]:
+    """Undominated fillings of ``room`` by any number of the items left, least waste first.
+
+    They have one of the ``SUMS`` fullest sums, made of the largest items or of
+    the smallest ones; ``small_first`` says which come first. An item that fills
+    the room alone dominates all else; where small items come first it is one
+    filling among others, as the first dive packs better so.
+    """
+    if counts.get(room) and not small_first:
+        return [(room,)]
+    sizes = sorted(s for s, n in counts.items() if n and s <= room)
+    if not sizes:
         return [()]
-    if counts.get(room):
-        return [(room,)]  # an item that fills the room dominates all else
-    found: list[Filling] = []
-    budget = 400
-
-    def extend(filling: Filling, free: int, most: int) -> bool:
-        """Whether a filling without waste was found."""
-        nonlocal budget
-        top = int(np.searchsorted(sizes, min(free, most), side="right"))
-        if not top or len(filling) == LONGEST_FILLING:
-            if filling:
-                found.append(filling)
-            return False
-        if len(filling) < LONGEST_FILLING and free <= most and counts.get(free, 0) > filling.count(free):
-            found.append((*filling, free))
-            return True
-        for at in range(top - 1, -1, -1):
-            size = int(sizes[at])
-            budget -= 1
-            if budget < 0:
-                break
-            if counts[size] > filling.count(size) and extend((*filling, size), free - size, size):
-                return True
-            if filling and at < top - 3:
-                break
-        return False
-
-    extend((), room, room)
-    found.sort(key=lambda f: (room - sum(f), len(f)))
-    kept: list[Filling] = []
-    for filling in found:
-        if len(kept) == BRANCHES:
+    orders = [sizes[::-1], sizes] if small_first else [sizes, sizes[::-1]]
+    tables = [_sums(room, counts, order) for order in orders]
+    sums, kept = tables[0][-1], []
+    for _ in range(SUMS):
+        total = sums.bit_length() - 1
+        if not total or len(kept) >= BRANCHES:
             break
-        if not any(dominates(k, filling) for k in kept):
-            kept.append(filling)
-    return kept or [()]
+        sums ^= 1 << total
+        for order, reach in zip(orders, tables, strict=True):
+            filling = _exactly(total, counts, order, reach)
+            if not any(dominates(k, filling) for k in kept):
+                kept.append(filling)
+    return kept
 
 
-def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Packed:
+def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = None) -> Packed:
     """``(times, filling)`` of the fewest sequences found.
 
     Depth first: the largest item left takes each undominated filling, best
-    first, as often as the counts allow. A branch ends when its waste exceeds
-    what a better solution may waste; best-fit packings of what is left at a
-    node are the incumbents. Ends at the lower bound or after ``nodes`` nodes.
+    first, as often as the counts allow, so a dive to a whole solution takes one
+    or two nodes for each length, whatever the counts. A branch ends when its
+    waste exceeds what a better solution may waste. Incumbents are best-fit
+    packings, at the root and of what is left at every ``BEST_FIT_EVERY``-th
+    node, and the whole solutions found. Half of the ``nodes`` go to a search
+    that takes fillings of large items first, half to one that takes small ones
+    (by default ``NODES``, and ``NODES_A_LENGTH`` for each length, together). Ends
+    early at the lower bound.
     """
     counts = {int(s): int(n) for s, n in counts.items() if n}
     volume, least = sum(s * n for s, n in counts.items()), least_bins(counts, capacity)
     bins = lambda packed: sum(times for times, _ in packed)
-    best, budget = best_fit(counts, capacity), nodes
-    # One entry for each open node: what is packed, what is left, and the waste so far.
-    stack: list[tuple[Packed, dict[int, int], int]] = [([], counts, 0)]
-    while stack and bins(best) > least and budget:
-        done, left, waste = stack.pop()
-        if waste > (bins(best) - 1) * capacity - volume:
+    best = best_fit(counts, capacity)
+    budget = NODES + NODES_A_LENGTH * len(counts) if nodes is None else nodes
+    for small_first in (False, True):
+        best = _search(best, counts, capacity, budget // 2, small_first, volume, least, bins)
+    return best
+
+
+def _search(best, counts, capacity, nodes, small_first, volume, least, bins) -> Packed:
+    fewest, visited = bins(best), 0
+    # One entry for each open node: what is packed (a chain from the last step back), its number, what is left, the waste so far.
+    stack: list[tuple[tuple | None, int, dict[int, int], int]] = [(None, 0, counts, 0)]
+    while stack and fewest > least and visited < nodes:
+        chain, done, left, waste = stack.pop()
+        if waste > (fewest - 1) * capacity - volume:
             continue
-        budget -= 1
-        finished = done + best_fit(left, capacity)
-        if bins(finished) < bins(best):
-            best = finished
+        visited += 1
+        rest = best_fit(left, capacity) if left and visited % BEST_FIT_EVERY == 0 else []
+        if (rest or not left) and done + bins(rest) < fewest:
+            best, fewest = [*_steps(chain), *rest], done + bins(rest)
         if not left:
             continue
         largest = max(left)
         others = left | {largest: left[largest] - 1}
-        sizes = np.array(sorted(s for s, n in others.items() if n))
-        for filling in reversed(fillings(capacity - largest, others, sizes)):
+        for filling in reversed(fillings(capacity - largest, others, small_first)):
             need = Counter((largest, *filling))
             times = min(left[s] // n for s, n in need.items())
-            rest = {s: n - times * need.get(s, 0) for s, n in left.items()}
+            after = dict(left)
+            for size, n in need.items():
+                after[size] -= times * n
+                if not after[size]:
+                    del after[size]
             lost = waste + times * (capacity - largest - sum(filling))
-            stack.append(([*done, (times, (largest, *filling))], {s: n for s, n in rest.items() if n}, lost))
+            stack.append(((chain, (times, (largest, *filling))), done + times, after, lost))
     return best
 
 
+def _steps(chain: tuple | None) -> Packed:
+    steps = []
+    while chain:
+        chain, step = chain
+        steps.append(step)
+    return steps[::-1]
+
+
 def places(packed: Packed) -> pd.DataFrame:
     """For each length the ranks that go to a filling: ``length, rank, each, sequence, offset``."""
     rows, taken, sequence = [], Counter(), 0

@@ -53,6 +53,55 @@ def test_search_beats_best_fit():
     assert better > 5
 
 
+def fewest(items, capacity):
+    """The least number of sequences, by trying every place for every item."""
+    best = len(items)
+
+    def place(at, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if at == len(items):
+            best = len(rooms)
+            return
+        for i in {r: i for i, r in enumerate(rooms) if r >= items[at]}.values():
+            place(at + 1, [*rooms[:i], rooms[i] - items[at], *rooms[i + 1 :]])
+        place(at + 1, [*rooms, capacity - items[at]])
+
+    place(0, [])
+    return best
+
+
+def test_small_instances_reach_the_optimum():
+    for seed in range(150):
+        dice = random.Random(seed)
+        items = sorted((dice.randint(3, 22) for _ in range(dice.randint(1, 11))), reverse=True)
+        assert sum(t for t, _ in packing.pack(Counter(items), 30)) == fewest(items, 30)
+
+
+def test_fillings_are_the_fullest_and_of_any_number_of_items():
+    for seed in range(200):
+        dice = random.Random(seed)
+        counts = Counter(dice.randint(1, 12) for _ in range(dice.randint(1, 9)))
+        room = dice.randint(0, 40)
+        sums = {0}
+        for item in counts.elements():
+            sums |= {x + item for x in sums if x + item <= room}
+        for small_first in (False, True):
+            found = packing.fillings(room, counts, small_first)
+            assert sum(found[0]) == max(sums)
+            assert all(not Counter(f) - counts and sum(f) <= room for f in found)
+
+
+def test_short_documents_are_packed_to_the_bound():
+    """Uniform lengths of 6,000 documents: many short ones in a sequence, where best fit alone wastes."""
+    for low, high, most in ((50, 150, 0), (20, 200, 0), (100, 400, 6), (150, 700, 12)):
+        dice = random.Random(0)
+        counts = Counter(dice.randint(low, high) for _ in range(6000))
+        bins = sum(t for t, _ in packing.pack(counts))
+        assert bins <= packing.least_bins(counts, 1024) + most < sum(t for t, _ in packing.best_fit(counts, 1024))
+
+
 def test_cuts():
     assert packing.cuts(1, 4) == [(0, 1)] and packing.cuts(4, 4) == [(0, 4)]
     assert packing.cuts(9, 4) == [(0, 1), (1, 4), (5, 4)]
