@@ -10,8 +10,8 @@ from stallwise.session import scratch_dir
 
 #: White space that parts words: what ``bytes.split()`` splits at.
 WHITE = " \t\n\x0b\x0c\r"
-#: Words a worker remembers the hash of; further ones are hashed again.
-REMEMBERED = 400_000
+#: Words a worker remembers the hash of, and their most bytes; others are hashed again.
+REMEMBERED, SHORT = 400_000, 64
 
 
 def saved(df: DataFrame, purpose: str) -> DataFrame:
@@ -26,11 +26,11 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words; short words are remembered up to a number, so memory is bounded in bytes."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word, 0)
-        if len(self) < REMEMBERED:
+        if len(word) <= SHORT and len(self) < REMEMBERED:
             self[word] = value
         return value
 
@@ -105,16 +105,22 @@ def numbered(df: DataFrame, group: list[str], sizes: DataFrame, order: list[str]
     ``sizes`` has the columns of ``group``, without nulls, and each group's
     number of rows ``n``. Rows go by their hash into ranges of about ``RANKED``
     rows, so that no task sees a whole large group; a range starts where the
-    ranges before it end.
+    ranges before it end. Equal rows are counted first and go into ranges by
+    ``RANKED`` of them, so one row may be repeated any number of times.
     """
     ranges = sizes.select(*group, F.ceil(F.col("n") / RANKED).alias("_ranges"))
-    key = F.xxhash64(*(F.col(c).cast("string") for c in order))
-    dealt = df.join(ranges, group).withColumn("_hash", key)
+    equal = df.join(ranges, group).groupBy(*df.columns, "_ranges").agg(F.count("*").alias("_n"))
+    dealt = equal.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(RANKED))))
+    dealt = dealt.withColumn("_n", F.least(F.col("_n") - F.col("_copy"), F.lit(RANKED)))
+    dealt = dealt.withColumn("_hash", F.xxhash64(*(F.col(c).cast("string") for c in order), "_copy"))
     dealt = dealt.withColumn("_range", F.pmod("_hash", "_ranges")).drop("_ranges")
-    starts = dealt.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*group, "_range").orderBy("_hash", *order)
-    rows = dealt.repartition(*group, "_range").withColumn("_row", F.row_number().over(within))
-    rows = rows.join(starts, [*group, "_range"]).withColumn(name, F.col("_before") + F.col("_row") - 1)
-    return rows.drop("_before", "_row", "_range", "_hash")
+    starts = dealt.groupBy(*group, "_range").agg(F.sum("_n").alias("_sum"))
+    ahead = Window.unboundedPreceding, -1
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(*ahead)
+    starts = starts.select(*group, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*group, "_range").orderBy("_hash", *order, "_copy").rowsBetween(*ahead)
+    rows = dealt.repartition(*group, "_range").withColumn("_first", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    rows = rows.join(starts, [*group, "_range"])
+    copies = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_nth")
+    rows = rows.select(*df.columns, "_before", "_first", copies)
+    return rows.select(*df.columns, (F.col("_before") + F.col("_first") + F.col("_nth")).alias(name))

@@ -24,6 +24,8 @@ MOST_TIMES = 2
 SEED = 11
 #: Words of a budget that the dynamic program fits, or twice the longest document if that is more.
 FITTED = 1 << 16
+#: Copies of one row that a task makes.
+REPEATED = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -154,9 +156,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, columns unchanged.
 
-    Equal rows share what they are taken: one of them is repeated for all.
+    Equal rows share what they are taken: one of them is repeated for all, in
+    parts of ``REPEATED`` that are dealt out, as it may be a large share of all.
     """
-    row, copies = column_name(docs, "_row"), column_name(docs, "_copies")
+    row, copies, part = (column_name(docs, name) for name in ("_row", "_copies", "_part"))
     taken = mix(docs, **options).groupBy(F.col("row").alias(row), F.col("doc_id").alias("_id"))
     taken = saved(taken.agg(F.sum("copies").alias(copies), F.count("*").alias("_rows")).filter(F.col(copies) > 0), "taken")
     marked = docs.withColumn(row, F.xxhash64(*docs.columns))
@@ -164,7 +167,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     def repeated(of: str, once: bool) -> DataFrame:
         some = taken.filter(of)
         found = marked.join(some, (marked[row] == some[row]) & marked["doc_id"].eqNullSafe(some["_id"])).drop(some[row], "_id", "_rows")
-        found = found.dropDuplicates(["doc_id", row]) if once else found
+        if once:
+            parts = F.explode(F.sequence(F.lit(0), F.col(copies) - 1, F.lit(REPEATED)))
+            found = found.dropDuplicates(["doc_id", row]).withColumn(part, parts)
+            found = found.withColumn(copies, F.least(F.col(copies) - F.col(part), F.lit(REPEATED))).repartition(row, part)
         return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
     found = repeated("_rows = 1", False)

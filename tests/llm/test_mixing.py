@@ -81,3 +81,31 @@ def test_awkward_rows(spark):
     got = {r["doc_id"]: r["n"] for r in mixed.groupBy("doc_id").agg(F.sum(count).alias("n")).filter("n > 0").collect()}
     assert got == pytest.approx({r["doc_id"]: r["n"] for r in taken}, abs=12)
     assert mixing.report(rows.limit(0)).count() == 0 and mixing.mixed(rows.limit(0)).count() == 0
+
+
+def test_one_row_may_be_a_third_of_all(spark):
+    """Ranges hold few rows even if most rows are equal; numbers have no gap and reruns give equal rows the same ones."""
+    from stallwise.llm.common import RANKED, numbered
+
+    rows = spark.createDataFrame([("g", 7, "same")] * 3000 + [("g", i, "other") for i in range(1500)] + [("h", None, None)] * 700, "k string, id long, t string")
+    sizes = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    found = numbered(rows, ["k"], sizes, ["id", "t"]).persist()
+    for key, n in (("g", 4500), ("h", 700)):
+        assert sorted(r["rank"] for r in found.filter(found.k == key).collect()) == list(range(n))
+    again = numbered(rows.repartition(7), ["k"], sizes, ["id", "t"])
+    ranks = lambda df: sorted(map(tuple, df.select("k", "id", "t", "rank").collect()), key=str)
+    assert ranks(found) == ranks(again)
+    same = sorted(r["rank"] for r in found.filter("t = 'same'").collect())
+    assert max(b - a for a, b in zip(same, same[1:])) > 1 and RANKED < 3000  # spread over the ranges
+    found.unpersist()
+
+
+def test_copies_of_a_repeated_row_are_dealt_out(spark):
+    from stallwise.llm import mixing
+
+    texts = ["one two three"] * 2500 + [f"w{i} x" for i in range(50)]
+    given = spark.createDataFrame([(1 if i < 2500 else i, t, "en", "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mixed(given)
+    size = sum(len(t.split()) for t in texts)
+    assert abs(sum(len(r["text"].split()) for r in out.select("text").collect()) - 1.5 * size) <= 3
+    assert out.columns == given.columns
