@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,23 +42,67 @@ ENDS = {
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)),
     "option": (("option",), ("select",)),
 }
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|$)""", re.S)
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: An attribute: a quote opens a value right after the equals sign only, anywhere else it is a plain character.
+ATTRIBUTE = r"""(?P<name>=?[^\s/>=]+|=)(?:\s*=\s*(?:"(?P<double>[^"]*)(?:"|$)|'(?P<single>[^']*)(?:'|$)|(?P<bare>[^\s>"'][^\s>]*)|(?=>)|$))?"""
+ATTRIBUTES = re.compile(ATTRIBUTE)
+TAG = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|$))|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|" + re.sub(r"\?P<\w+>", "?:", ATTRIBUTE) + ")*+)(?:>|$)",
+    re.S,
+)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+HEADINGS = tuple(f"h{n}" for n in range(1, 7))
+
+#: Elements that part a page into areas.
+AREAS = frozenset(f"in:{t}" for t in "body section article main nav header footer aside div form td dialog".split())
+
+
+class Path:
+    """The open elements at a block, as a chain of nodes that blocks share.
+
+    A node has what its element adds: ``fresh`` features that no element around
+    it has, and ``names``, the new names of its innermost area. ``area`` is that
+    area's tag, ``named`` whether it has names, ``begins`` whether it begins
+    here; ``closed`` says that names of elements inside do not belong to it;
+    ``size`` counts the features of all open elements.
+    """
+
+    __slots__ = ("outer", "fresh", "area", "names", "named", "begins", "closed", "size")
 
-Block = tuple[str, tuple[str, ...], int]
+    def __init__(self, outer: Path | None, own: tuple[str, ...], fresh: tuple[str, ...], seen: set[str]) -> None:
+        self.outer, self.fresh = outer, fresh
+        self.area, self.named, self.closed = (outer.area, outer.named, outer.closed) if outer else (None, False, False)
+        self.size = (outer.size if outer else 0) + len(own)
+        self.begins, names = False, []
+        for feature in own:
+            if feature in AREAS:
+                self.area, self.named, self.closed, self.begins, names = feature, False, False, True, []
+            elif feature.startswith("in:"):
+                self.closed = True
+            elif self.area and not self.closed:
+                self.named = True
+                if feature not in (names if self.begins else seen):
+                    names.append(feature)
+        self.names = tuple(names)
+
+
+Block = tuple[str, Path | None, int]
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a whole page: text, ancestor features, and characters inside links.
+    """Leaf blocks of a whole page: text, open elements, and characters inside links.
 
     White space is one space, references are decoded, ``br`` is white space.
     Unclosed elements end with the element around them; an end tag without its
-    start is left out; a page that breaks off is read to its end.
+    start is left out; a page that breaks off is read to its end. The work is
+    linear in the page, however deep its elements are nested.
     """
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
-    path: list[str] = []  # features of all open elements
+    paths: list[Path] = []
+    areas: list[set[str]] = [set()]  # names of each open area
+    places: dict[str, list[int]] = {}  # where in the stack a tag is open
+    levels: list[int] = []  # where in the stack a block-level element is open
+    counts: Counter[str] = Counter()  # features of open elements
     pieces: list[tuple[str, bool]] = []
     hidden = links = 0
 
@@ -65,19 +110,51 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(p for p, _ in pieces).split())
             if text:
-                found.append((text, tuple(path), sum(len(p) for p, linked in pieces if linked)))
+                found.append((text, paths[-1] if paths else None, sum(len(p) for p, linked in pieces if linked)))
             pieces.clear()
 
-    def pop() -> None:
+    def push(tag: str, own: tuple[str, ...]) -> None:
         nonlocal hidden, links
-        tag, own = stack.pop()
+        fresh = tuple(dict.fromkeys(f for f in own if not counts[f]))
+        path = Path(paths[-1] if paths else None, own, fresh, areas[-1])
+        counts.update(own)
+        if path.begins:
+            areas.append(set())
+        areas[-1].update(path.names)
+        places.setdefault(tag, []).append(len(stack))
         if tag in BLOCKS:
+            levels.append(len(stack))
+        stack.append((tag, own))
+        paths.append(path)
+        hidden += tag in HIDDEN
+        links += tag == "a"
+
+    def pop() -> None:
+        nonlocal hidden, links
+        if stack[-1][0] in BLOCKS:
             flush()
-        if own:
-            del path[-len(own):]
+            levels.pop()
+        tag, own = stack.pop()
+        path = paths.pop()
+        if path.begins:
+            areas.pop()
+        else:
+            areas[-1].difference_update(path.names)
+        for feature in own:
+            counts[feature] -= 1
+            if not counts[feature]:
+                del counts[feature]
+        places[tag].pop()
         hidden -= tag in HIDDEN
         links -= tag == "a"
 
+    def innermost(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def pop_to(depth: int) -> None:
+        while len(stack) > depth:
+            pop()
+
     at = 0
     while at < len(page):
         hit = TAG.search(page, at)
@@ -93,12 +170,11 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = hit[2].lower()
         if hit[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is None and len(tag) == 2 and tag[0] == "h":  # any heading's end tag ends a heading
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if re.fullmatch("h[1-6]", stack[i][0])), None)
-            if depth is not None:
-                while len(stack) > depth:
-                    pop()
+            depth = innermost((tag,))
+            if depth < 0 and tag in HEADINGS:  # any heading's end tag ends a heading
+                depth = innermost(HEADINGS)
+            if depth >= 0:
+                pop_to(depth)
             elif tag in BLOCKS:
                 flush()
             continue
@@ -115,21 +191,16 @@ def blocks(page: str) -> list[Block]:
                 pop()
         if tag in BLOCKS:
             flush()
-            while stack and "p" in [t for t, _ in stack] and _closes_paragraph(stack):
-                pop()
+            while levels and stack[levels[-1]][0] == "p":  # only inline elements are open inside it
+                pop_to(levels[-1])
         if tag in ENDS:
             ended, stop = ENDS[tag]
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ended + stop), None)
-            if depth is not None and stack[depth][0] in ended:
-                while len(stack) > depth:
-                    pop()
+            depth = innermost(ended)
+            if depth > innermost(stop):
+                pop_to(depth)
         if hit[3].endswith("/") and tag not in BLOCKS:
             continue
-        own = _names(tag, hit[3])
-        stack.append((tag, own))
-        path.extend(own)
-        hidden += tag in HIDDEN
-        links += tag == "a"
+        push(tag, _names(tag, hit[3]))
         if tag in RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
             at = end.start() if end else len(page)
@@ -137,42 +208,32 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def _closes_paragraph(stack: list[tuple[str, tuple[str, ...]]]) -> bool:
-    """Whether an open ``p`` has only inline elements inside."""
-    for tag, _ in reversed(stack):
-        if tag == "p":
-            return True
-        if tag in BLOCKS:
-            return False
-    return False
-
-
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
     """Features of an element: its tag if it is a block, and the parts of its class, id and role."""
     own = [f"in:{tag}"] if tag in BLOCKS or tag in ("a", "b", "span") else []
     if attributes:
-        for hit in NAMES.finditer(attributes):
-            value = hit[1] or hit[2] or hit[3] or ""
-            own += [f"named:{w.lower()}" for w in PART.findall(value)]
-            own += [f"name:{w.lower()}" for w in value.split()]
+        for hit in ATTRIBUTES.finditer(attributes):
+            if hit["name"].lower() in ("class", "id", "role"):
+                value = hit["double"] or hit["single"] or hit["bare"] or ""
+                own += [f"named:{w.lower()}" for w in PART.findall(value)]
+                own += [f"name:{w.lower()}" for w in value.split()]
     return tuple(own)
 
 
-#: Elements that part a page into areas.
-AREAS = frozenset(f"in:{t}" for t in "body section article main nav header footer aside div form td dialog".split())
-
-
-def path_features(path: tuple[str, ...]) -> list[str]:
+def path_features(path: Path | None) -> list[str]:
     """Features of all open elements, each once, and the innermost area with its names."""
-    at = next((i for i in range(len(path) - 1, -1, -1) if path[i] in AREAS), None)
-    if at is None:
-        return list(dict.fromkeys(path))
-    names = []
-    for feature in path[at + 1 :]:
-        if feature.startswith("in:"):
-            break
-        names.append(f"own {feature}")
-    return list(dict.fromkeys((*path, f"own {path[at]}{' named' * bool(names)}", *names)))
+    fresh, names, node, inside = [], [], path, True
+    while node:
+        fresh.append(node.fresh)
+        if inside and node.area:
+            names.append(node.names)
+            inside = not node.begins
+        node = node.outer
+    own = [f for part in reversed(fresh) for f in part]
+    if path is None or path.area is None:
+        return own
+    own.append(f"own {path.area}{' named' * path.named}")
+    return own + [f"own {f}" for part in reversed(names) for f in part]
 
 
 def _step(value: float, *limits: float) -> int:
@@ -187,7 +248,7 @@ def text_features(block: Block) -> tuple[str, ...]:
         f"linked:{_step(linked / len(text), 0.01, 0.3, 0.6, 0.95)}",
         f"ends:{'stop' if text[-1] in '.!?:;\"' else 'open'}",
         f"sign:{'mark' if '©' in text or '·' in text else 'none'}",
-        f"deep:{_step(len(path), 3, 5, 8)}",
+        f"deep:{_step(path.size if path else 0, 3, 5, 8)}",
     )
 
 
@@ -206,14 +267,21 @@ class Model:
 
     def __init__(self, weights: dict[str, float], pairs: list[list[float]], starts: list[float]) -> None:
         self.weights, self.pairs, self.starts = weights, pairs, starts
-        self.known: dict[tuple[str, ...], float] = {}
 
-    def path_weight(self, path: tuple[str, ...]) -> float:
-        if path not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            self.known[path] = sum(self.weights.get(f, 0.0) for f in path_features(path))
-        return self.known[path]
+    def path_weight(self, path: Path | None, known: dict[Path | None, tuple[float, float]]) -> float:
+        """Weight of the features of a path; ``known`` has the sums of the nodes met before on this page."""
+        get, new, node = self.weights.get, [], path
+        while node not in known:
+            new.append(node)
+            node = node.outer
+        every, names = known[node]
+        for node in reversed(new):
+            every += sum(get(f, 0.0) for f in node.fresh)
+            names = (0.0 if node.begins else names) + sum(get(f"own {f}", 0.0) for f in node.names)
+            known[node] = every, names
+        if path is None or path.area is None:
+            return every
+        return every + names + get(f"own {path.area}{' named' * path.named}", 0.0)
 
     def labels(self, found: list[Block]) -> list[int]:
         """The likeliest labels of a page's blocks (Viterbi)."""
@@ -221,8 +289,9 @@ class Model:
             return []
         get, last, (same0, to1), (to0, same1) = self.weights.get, len(found) - 1, *self.pairs
         back, zero, one = [], 0.0, 0.0
+        known: dict[Path | None, tuple[float, float]] = {None: (0.0, 0.0)}
         for at, block in enumerate(found):
-            gain = get("always", 0.0) + self.path_weight(block[1]) + sum(get(f, 0.0) for f in text_features(block))
+            gain = get("always", 0.0) + self.path_weight(block[1], known) + sum(get(f, 0.0) for f in text_features(block))
             gain += get("place:first", 0.0) * (at == 0) + get("place:last", 0.0) * (at == last)
             if at == 0:
                 zero, one = self.starts[0], self.starts[1] + gain

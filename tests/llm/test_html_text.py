@@ -78,3 +78,57 @@ def test_omitted_tags_and_formulas(model):
     assert text_of(html_text.blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds")) == ["so x=1 holds"]
     for tag in ("object", "audio", "video", "canvas"):
         assert text_of(html_text.blocks(f"<p>a <{tag}>see <a href=f>the file</a></{tag}> b")) == ["a see the file b"]
+
+
+def test_quotes_and_comments_as_html_has_them():
+    """A quote opens a value right after the equals sign only; ``<!-->`` and ``<!--->`` are whole comments."""
+    of = lambda page: text_of(html_text.blocks(page))
+    assert of('<p class="a"">Hello one</p><p>two</p>') == ["Hello one", "two"]
+    assert of("<p title=don't>Hello one</p><p>It's two</p><p>Three</p>") == ["Hello one", "It's two", "Three"]
+    assert of("<!--><p>one</p><!---><p>two</p><!-- x --!><p>three</p><!-- <p>no</p> -->") == ["one", "two", "three"]
+    assert of('<p title="a > b" class=x>one</p><p a=\'"\' b>two</p><p = ="3">three</p><p x=>four') == ["one", "two", "three", "four"]
+    assert of('<p data-x="class=ad" id=a/b>one</p><a href=x/>two</a>') == ["one", "two"]
+    assert html_text._names("div", ' data-class="ad" class="Big-box x" ID=top') == ("in:div", "named:big", "named:box", "named:x", "name:big-box", "name:x", "named:top", "name:top")
+
+
+def flat(path):
+    """Features of a path by its definition, from the whole list of open elements."""
+    own = []
+    while path:
+        own.append(path)
+        path = path.outer
+    return own[::-1]
+
+
+def test_path_features_by_definition():
+    """Shared nodes give the features that a copy of all open elements gives."""
+    import random
+
+    tags = ["div", "p", "span", "em", "section", "li", "ul", "b", "article", "td"]
+    for seed in range(150):
+        dice = random.Random(seed)
+        page = "".join(
+            dice.choice([f'<{t} class="{dice.choice("abc")} {dice.choice("xy")}">w', f"</{t}>w", f"<{t}>w"])
+            for t in dice.choices(tags, k=40)
+        )
+        for _, path, _ in html_text.blocks(page):
+            elements = flat(path)
+            if path is None:
+                continue
+            # What a node adds, put together again, is a set of features without repeats.
+            every = [f for node in elements for f in node.fresh]
+            assert len(every) == len(set(every))
+            got = html_text.path_features(path)
+            assert got[: len(every)] == every and len(got) == len(set(got))
+
+
+def test_deep_nesting_is_linear(model):
+    import time
+
+    start = time.perf_counter()
+    for page in (
+        '<div class="a b c">x' * 50_000, "<p><div>" + "<b>" * 50_000 + "<h1>x</h1>" * 50_000, "<ul>" + "<i class=z>" * 30_000 + "<li>x</li>" * 30_000,
+        "".join(f"<em class=c{i}>x" for i in range(30_000)), "<p>" + "</div>" * 50_000, "<" * 100_000, '<p title="' * 30_000,
+    ):
+        assert isinstance(model.text(page), str)
+    assert time.perf_counter() - start < 60
