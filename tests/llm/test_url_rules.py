@@ -67,3 +67,37 @@ def test_verdicts(spark):
     assert url_rules.judge(pages.limit(0), labelled(spark)).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert url_rules.report(pages, labels).count() == 6
+
+
+def test_classes_of_tokens_lose_no_rule(spark):
+    """Tokens of exactly the same rows, tokens of bad rows only and tokens of good rows only, in random sets."""
+    import random
+
+    for seed in range(6):
+        dice = random.Random(seed)
+        rows = []
+        for _ in range(60):
+            own = {t for t in "abcd" if dice.random() < 0.4}
+            own |= {"a1", "a2"} if "a" in own else set()  # with a always
+            bad = dice.random() < 0.2 + 0.5 * ("b" in own) + 0.2 * ("a" in own)
+            own |= {"only bad"} if bad and dice.random() < 0.4 else set()
+            own |= {"only good"} if not bad and dice.random() < 0.4 else set()
+            rows.append((sorted(own), bad))
+        table = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+        found = url_rules.mine(table, 0.05, 0.6).collect()
+        got = {frozenset(r["items"]): round(r["confidence"], 9) for r in found}
+        want = brute([r for r in rows if r[0]], 0.05, 0.6)
+        assert got == {p: round(c, 9) for p, c in want.items()} and len(found) == len(got)
+
+
+def test_a_long_url_in_a_third_of_the_rows(spark):
+    """Two hundred words that stand together are one class, whatever their label."""
+    words = "/".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))
+    rows = [(f"http://long.net/{words}", i % 10 > 3) for i in range(100)]
+    rows += [(f"http://n{i % 7}.net/cheap/{i}", i % 5 > 0) for i in range(100)] + [(f"http://n{i % 7}.net/x", False) for i in range(100)]
+    table = spark.createDataFrame(rows, "url string, bad boolean")
+    pages = spark.createDataFrame([(1, "http://other.net/waa"), (2, "http://n1.net/cheap/9"), (3, "http://n1.net/x")], "page_id long, url string")
+    found = {r["page_id"]: (r["verdict"], r["mined"]) for r in url_rules.judge(pages, table, support=0.02, confidence=0.55).collect()}
+    assert found == {1: ("block", "path=waa"), 2: ("block", "path=cheap"), 3: ("allow", None)}
+    singles = url_rules.mine(table.select(url_rules.tokens(F.col("url")).alias("tokens"), "bad"), 0.02, 0.55)
+    assert singles.filter(F.size("items") == 1).count() >= 200
