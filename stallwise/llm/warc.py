@@ -25,8 +25,8 @@ END = "\r\n"
 RECORD_END = END + END
 DATE = "2000-01-01T00:00:00Z"
 LEAST_BYTES = 0
-#: Records in one file at most, so that a reader can hold a file.
-RECORDS_A_FILE = 30_000
+#: Payload of one file at most, so that a reader can hold a file, and the upper end of the smallest class of pages.
+FILE_BYTES, SMALL_BYTES = 256 << 20, 64 << 10
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 RECORD = (
@@ -111,10 +111,21 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return found.select(F.explode(F.array(answer, request, about)).alias("value"))
 
 
-def write_archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
-    """Compressed archive files of the pages in ``path``."""
-    writer = records(pages, least_bytes).write.option("lineSep", RECORD_END).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+def write_archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> None:
+    """Compressed archive files of the pages in ``path``, none of more than about ``file_bytes`` of payload.
+
+    A file is read as one value. Pages are written by classes of size, each four
+    times the one before, with as many pages in a file as its class allows; a
+    larger page has a file of its own. Equal payloads are of one class.
+    """
+    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
+    steps = F.ceil(F.log(4.0, size / SMALL_BYTES)).cast("int")
+    of = F.when(size > SMALL_BYTES, steps).otherwise(0)
+    found = [row["_class"] for row in pages.select(of.alias("_class")).distinct().collect()]
+    for number in sorted(found) or [0]:
+        some = pages.filter(of == number)
+        writer = records(some, least_bytes).write.mode("append").option("lineSep", RECORD_END).option("compression", "gzip")
+        writer.option("maxRecordsPerFile", 3 * max(1, file_bytes // (SMALL_BYTES << 2 * number))).text(path)
 
 
 def _fields(block: bytes) -> dict[str, str]:

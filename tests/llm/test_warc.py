@@ -81,3 +81,18 @@ def test_base32(spark):
 def test_parse_stops_at_a_broken_end():
     whole = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\nshort"
     assert list(warc.parse(io.BytesIO(whole)))[0][1] == b"short"
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Large pages go into files of few, small ones into files of many; a page beyond the bound has its own."""
+    sizes = [1 << 20] * 12 + [100] * 300 + [300_000] * 10 + [5 << 20]
+    pages = spark.range(len(sizes)).coalesce(1).withColumn("url", F.lit("http://a/")).withColumn(
+        "html", F.expr(f"repeat(substr(md5(cast(id AS string)), 1, 10), cast(element_at(array({', '.join(map(str, sizes))}), cast(id + 1 AS int)) / 10 AS int))"))
+    pages = pages.withColumnRenamed("id", "page_id")
+    path = str(tmp_path / "archive")
+    warc.write_archive(pages, path, file_bytes=4 << 20)
+    whole = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "archive").glob("part-*")]
+    assert max(whole) < (5 << 20) + 5000 and sum(n > (4 << 20) + 200_000 for n in whole) == 1
+    assert len(whole) >= 12 // 4 + 1 + 1
+    found = warc.captures(warc.read_archive(spark, path)).select("answer.payload_bytes").collect()
+    assert Counter(r[0] for r in found) == Counter(n // 10 * 10 for n in sizes)
