@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from stallwise.llm.common import saved
 
 NEAREST = 10
-#: Centroids of each half.
-CENTROIDS = 64
+#: Centroids of each half: half the square root of the number of vectors, between these.
+LEAST_CENTROIDS, MOST_CENTROIDS = 64, 256
 #: Vectors that the codebooks are fitted on at most, and rounds of fitting.
 FITTED = 20_000
 ROUNDS = 12
@@ -103,17 +103,20 @@ def merged(vectors: DataFrame, nearest: int) -> DataFrame:
 
 
 def _nearest(ids: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the nearest, ties to smaller ids; the query's own id is left out."""
-    gaps = np.sqrt(((vectors - query) ** 2).sum(axis=1))
-    gaps[ids == own] = np.inf
+    """Ids and distances of the nearest, ties to smaller ids; the query's own id is left out.
+
+    A distance beyond the range of doubles is infinite and comes last.
+    """
+    others = np.flatnonzero(ids != own)
+    with np.errstate(over="ignore"):
+        gaps = np.sqrt(((vectors[others] - query) ** 2).sum(axis=1))
     if len(gaps) > nearest:
         limit = np.partition(gaps, nearest - 1)[nearest - 1]
         some = np.flatnonzero(gaps <= limit)
     else:
         some = np.arange(len(gaps))
-    some = some[np.lexsort((ids[some], gaps[some]))][:nearest]
-    some = some[np.isfinite(gaps[some])]
-    return ids[some], gaps[some]
+    some = some[np.lexsort((ids[others[some]], gaps[some]))][:nearest]
+    return ids[others[some]], gaps[some]
 
 
 def _best(found: DataFrame, nearest: int) -> DataFrame:
@@ -159,23 +162,37 @@ def to_meet(vectors: DataFrame, queries: DataFrame, books: Codebooks, nearest: i
     return int(np.quantile(met, recall, method="higher")) if met else 0
 
 
+def centroids_for(vectors: int) -> int:
+    return min(MOST_CENTROIDS, max(LEAST_CENTROIDS, int(vectors**0.5) // 2))
+
+
+def of_one_length(vectors: DataFrame) -> int | None:
+    """The length that most of the vectors have, the largest of several."""
+    lengths = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"))
+    most = lengths.agg(F.max(F.struct("rows", "n")).alias("most")).first()["most"]
+    return most["n"] if most else None
+
+
 def search(
-    table: DataFrame, queries: DataFrame, nearest: int = NEAREST, k: int = CENTROIDS,
+    table: DataFrame, queries: DataFrame, nearest: int = NEAREST, k: int | None = None,
     sample: int = FITTED, recall: float = RECALL, vector: str = "embedding",
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest found for each query, by Euclidean distance.
 
     ``queries`` has the columns of ``table``. Unusable vectors neither ask nor
-    answer. Vectors have one length; a table without usable vectors gives no
-    rows. Repeated rows of one id and vector count once.
+    answer, nor do vectors of another length than most have; a table without
+    usable vectors gives no rows. Repeated rows of one id and vector count once.
     """
     spark = table.sparkSession
-    asked = saved(usable(queries, vector).distinct(), "queries")
-    every = saved(merged(usable(table, vector).distinct(), nearest), "vectors")
+    every = usable(table, vector)
+    length = of_one_length(every)
+    fits = F.size("v") == F.lit(length)
+    asked = saved(usable(queries, vector).filter(fits).distinct(), "queries")
+    every = saved(merged(every.filter(fits).distinct(), nearest), "vectors")
     shape = "query_id long, rank int, vec_id long, score double"
     if every.isEmpty() or asked.isEmpty():
         return spark.createDataFrame([], shape)
-    first, second = fitted(every, k, sample)
+    first, second = fitted(every, k or centroids_for(every.count()), sample)
     books = spark.sparkContext.broadcast((first, second, np.zeros((0, 0))))
 
     @F.pandas_udf("long")

@@ -85,3 +85,16 @@ def test_a_task_sees_a_bounded_number_of_queries(spark, monkeypatch):
     again = ann.search(vectors, vectors, k=6).collect()
     assert sorted(again) == sorted(whole) and len(whole) == 12_000
     assert sizes[2] == sizes[0] <= 600 and sizes[1] > 600 and sizes[3] <= 150
+
+
+def test_lengths_and_overflow(spark):
+    """Vectors of another length than most take no part; a distance beyond doubles is infinite and comes last."""
+    vectors = [[1.0, 2.0], [1.0, 3.0], [1e300, -1e300], [1.0], [1.0, 2.0, 3.0], [4.0, 4.0]]
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    found = ann.search(table, table.filter("vec_id IN (0, 3, 4)"), k=2, recall=1.0).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"])] == [(0, 1, 1), (0, 2, 5), (0, 3, 2)]
+    assert max(r["score"] for r in found) == float("inf")
+
+
+def test_centroids_grow_with_the_table():
+    assert [ann.centroids_for(n) for n in (0, 1000, 16_384, 40_000, 10**6, 10**9)] == [64, 64, 64, 100, 256, 256]
