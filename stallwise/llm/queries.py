@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from stallwise.llm import alignment, ann, chat, html_text, mixing, packing, privacy, quality, simhash, toxicity, url_rules, variants, warc
 from stallwise.llm.common import table
+from stallwise.llm.oracles import ORACLES
 
 QUERIES = {
     "op1_url_rules": lambda spark, sf: url_rules.report(table(spark, sf, "pages"), table(spark, sf, "labels")),
@@ -23,6 +24,5 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
