@@ -11,6 +11,7 @@ conversations are repaired in blocks of turns.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby, islice
 
 import numpy as np
@@ -26,6 +27,8 @@ ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assi
 RELABEL, UNKNOWN, MERGE, INSERT = 4, 1, 3, 5
 #: Turns in one block.
 BLOCK = 512
+#: Stretches of a conversation that one task combines into a longer one.
+FAN = 512
 #: Characters of a text that ranges of turns are told apart by.
 PREFIX = 1000
 OPEN, CLOSE, JOIN = "<|im_start|>{}\n", "<|im_end|>\n", "\n"
@@ -149,12 +152,24 @@ def _costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     return _frames(rows(), ["key", "block", "cost", "roles"])
 
 
+def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The costs over the stretches of each group."""
+    def rows() -> Iterator[tuple]:
+        for group in _groups(batches, ["key", "group", "cost"], 2):
+            costs = [np.array(c).reshape(len(STATES), -1) for *_, c in group]
+            yield *group[0][:2], reduce(combine, costs).ravel().tolist()
+
+    return _frames(rows(), ["key", "block", "cost"])
+
+
 def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The states between the stretches of each group, at the least cost from its entry to its leave (null: any end)."""
     def rows() -> Iterator[tuple]:
-        for group in _groups(batches, ["key", "block", "cost"], 1):
-            path = best_path([np.array(c).reshape(len(STATES), -1) for _, _, c in group], _only(0), ENDS)
-            for at, (key, block, _) in enumerate(group):
-                yield key, block, path[at], path[at + 1], at == 0, at == len(group) - 1
+        for group in _groups(batches, ["key", "group", "block", "cost", "from", "to", "begins", "ends"], 2):
+            *_, entry, leave, begins, ends = group[0]
+            path = best_path([np.array(row[3]).reshape(len(STATES), -1) for row in group], _only(int(entry)), ENDS if leave != leave or leave is None else _only(int(leave)))
+            for at, (key, _, block, *_) in enumerate(group):
+                yield key, block, path[at], path[at + 1], bool(begins) and at == 0, bool(ends) and at == len(group) - 1
 
     return _frames(rows(), ["key", "block", "entry", "leave", "first", "last"])
 
@@ -209,6 +224,34 @@ def in_blocks(turns: DataFrame) -> DataFrame:
     return placed.select("key", F.floor(F.col("place") / BLOCK).cast("long").alias("block"), "place", "conv_id", "turn", "role", "text")
 
 
+def block_states(blocks: DataFrame) -> DataFrame:
+    """``key, block, entry, leave, first, last`` of each stretch ``key, block, cost``: the states around it in the cheapest repair.
+
+    Stretches are combined ``FAN`` at a time until a conversation has no more
+    than that; states are then handed down again, each group on its own.
+    """
+    shape = "key string, block long, entry int, leave int, first boolean, last boolean"
+    levels = [blocks]
+    while (levels[-1].agg(F.max("block")).first()[0] or 0) >= FAN:
+        grouped = levels[-1].withColumn("group", F.floor(F.col("block") / FAN).cast("long"))
+        grouped = grouped.repartition("key", "group").sortWithinPartitions("key", "group", "block").select("key", "group", "cost")
+        levels.append(saved(grouped.mapInPandas(_combined, "key string, block long, cost array<double>"), "chat-costs"))
+    top = levels.pop().select(
+        "key", F.lit(0).cast("long").alias("group"), "block", "cost", F.lit(0).alias("from"), F.lit(None).cast("int").alias("to"),
+        F.lit(True).alias("begins"), F.lit(True).alias("ends"),
+    )
+    found = saved(top.repartition("key").sortWithinPartitions("key", "block").mapInPandas(_states, shape), "chat-states")
+    for level in reversed(levels):
+        around = found.select(
+            "key", F.col("block").alias("group"), F.col("entry").alias("from"), F.col("leave").alias("to"),
+            F.col("first").alias("begins"), F.col("last").alias("ends"),
+        )
+        inner = level.withColumn("group", F.floor(F.col("block") / FAN).cast("long")).join(around, ["key", "group"])
+        inner = inner.repartition("key", "group").sortWithinPartitions("key", "group", "block")
+        found = saved(inner.mapInPandas(_states, shape), "chat-states")
+    return found
+
+
 def repair_conversations(turns: DataFrame) -> DataFrame:
     """One row per turn: ``conv_id, turn, role, new_role, action, inserted, rendered``.
 
@@ -216,7 +259,7 @@ def repair_conversations(turns: DataFrame) -> DataFrame:
     Turns are in order of number (null last), role and text; turns of null
     ``conv_id`` form one conversation. A null or unknown role takes whichever
     role is cheapest; a null text is empty. Turns are read one at a time; the
-    blocks of a conversation, a small matrix each, are combined in one task.
+    blocks of a conversation, a small matrix each, are combined in levels.
     """
     id_kind, turn_kind = (turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
     rows = in_blocks(turns)
@@ -226,8 +269,7 @@ def repair_conversations(turns: DataFrame) -> DataFrame:
 
     costs = in_order(rows.select("key", "block", "place", "role")).select("key", "block", "role")
     blocks = saved(costs.mapInPandas(_costs, "key string, block long, cost array<double>, roles string"), "chat-costs")
-    dealt = blocks.select("key", "block", "cost").repartition("key").sortWithinPartitions("key", "block")
-    states = saved(dealt.mapInPandas(_states, "key string, block long, entry int, leave int, first boolean, last boolean"), "chat-states")
+    states = block_states(blocks.select("key", "block", "cost"))
     heads = states.join(blocks.select("key", "block", F.col("roles").alias("role")), ["key", "block"]).withColumn("place", F.lit(-1).cast("long"))
     met = in_order(rows.unionByName(heads, allowMissingColumns=True))
     schema = "conv_id string, turn string, role string, new_role string, action string, inserted string, rendered string"

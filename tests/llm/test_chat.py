@@ -132,3 +132,25 @@ def test_no_block_holds_more_than_its_turns(spark, monkeypatch):
         placed = chat.in_blocks(spark.createDataFrame(rows, TURNS)).filter(F.col("key") == conv).orderBy("place").collect()
         want = sorted((r for r in rows if ("" if r[0] is None else f"={r[0]}") == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3]))
         assert [(r["place"], r["role"], r["text"]) for r in placed] == [(at, r[2], r[3]) for at, r in enumerate(want)]
+
+
+def test_blocks_are_combined_in_levels(spark, monkeypatch):
+    """Groups of few blocks, three levels deep: a path as cheap as over all turns at once, legal from end to end."""
+    import random
+
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    monkeypatch.setattr(chat, "FAN", 2)
+    dice = random.Random(8)
+    roles = {c: [dice.choice(["user", "assistant", "system", "odd", None]) for _ in range(n)] for c, n in (("a", 40), ("b", 7), ("c", 1), (None, 26))}
+    rows = [(c, t, r, f"t{t}") for c, of in roles.items() for t, r in enumerate(of)]
+    table = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    found = {}
+    for r in sorted(chat.repair_conversations(table).collect(), key=lambda r: r["turn"]):
+        found.setdefault(r["conv_id"], []).append(r)
+    for conv, of in roles.items():
+        known = [chat.known_role(r) for r in of]
+        best = (chat.block_costs(known)[0] + chat.ENDS).min()
+        states = [chat.STATES.index(r["new_role"]) for r in found[conv]]
+        cost = sum(chat.COSTS[k][s][q] for k, s, q in zip(known, [0, *states], states)) + chat.ENDS[states[-1]]
+        assert cost == best and len(states) == len(of)
+        assert "".join(r["rendered"] for r in found[conv]).endswith(chat.CLOSE)
