@@ -664,4 +664,12 @@ WHERE scrape_status = 'pending' AND is_active = 1 GROUP BY 1, 2, 3, 4, 5, 6""",
     "browse_next": ORACLES["browse_products"].replace("LIMIT 100 OFFSET 50", "LIMIT 100 OFFSET 100"),
     "stored_sketches": q("""SELECT category_name, count(*) AS price_points, CAST(1 AS INT) AS q25_within, CAST(1 AS INT) AS q50_within,
   CAST(1 AS INT) AS q95_within, CAST(1 AS INT) AS sellers_within FROM products GROUP BY 1"""),
+    "market_overview": f"""SELECT section, name, round(value, 6) AS value FROM (
+  SELECT 'overview' AS section, name, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({ORACLES['product_stats']}))
+    ON COLUMNS(*) INTO NAME name VALUE value)
+  UNION ALL SELECT 'price_distribution', name, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({ORACLES['price_distribution']}))
+    ON COLUMNS(*) INTO NAME name VALUE value)
+  UNION ALL SELECT 'top_categories', category_name, CAST(product_count AS DOUBLE) FROM ({ORACLES['top_categories']})
+  UNION ALL SELECT 'top_sellers', seller_name, CAST(total_sales AS DOUBLE) FROM ({ORACLES['top_sellers']})
+  UNION ALL SELECT 'trending_products', product_id, CAST(trend_rank AS DOUBLE) FROM ({ORACLES['trending_products']}))""",
 }

@@ -359,6 +359,7 @@ QUERIES: dict[str, Query] = {
     "stored_trends": stored.weekly_trends,
     "stored_sketches": stored.sketches,
     "insights": stored.best_offers,
+    "market_overview": stored.overview,
     "product_trends": _product_trends,
     # pages
     "listing_links": _listing,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,9 +106,9 @@ def maintenance(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-def _long(row: DataFrame) -> DataFrame:
+def _long(row: DataFrame, kind: str = "long") -> DataFrame:
     """The columns of one row as rows ``measure, value``."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("long").alias("value")) for c in row.columns))
+    pairs = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast(kind).alias("value")) for c in row.columns))
     return row.select(F.explode(pairs).alias("_p")).select("_p.*")
 
 
@@ -129,6 +131,23 @@ def weekly_trends(spark: SparkSession, sf: str) -> DataFrame:
     return T.read_table(spark, S.TRENDS, paths.table(S.TRENDS))
 
 
+def overview(spark: SparkSession, sf: str) -> DataFrame:
+    """The sections of the market overview as rows ``section, name, value``."""
+    found = C.market_overview(X.seasonal_products(spark, sf), X.AS_OF)
+    parts = [
+        _long(found["overview"], "double").withColumn("section", F.lit("overview")),
+        _long(found["price_distribution"], "double").withColumn("section", F.lit("price_distribution")),
+    ]
+    for section, name, value in (
+        ("top_categories", "category_name", "product_count"), ("top_sellers", "seller_name", "total_sales"),
+        ("trending_products", "product_id", "trend_rank"),
+    ):
+        row = F.col(name).alias("measure"), F.col(value).cast("double").alias("value"), F.lit(section).alias("section")
+        parts.append(found[section].select(*row))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.select("section", F.col("measure").alias("name"), F.round("value", 6).alias("value"))
+
+
 def best_offers(spark: SparkSession, sf: str) -> DataFrame:
     """The opportunities of the short report."""
     report = C.business_report(X.seasonal_products(spark, sf), X.AS_OF)
