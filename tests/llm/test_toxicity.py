@@ -70,3 +70,40 @@ def test_repeated_rows_of_an_id_are_learned_from_once(spark):
     again = once.union(spark.createDataFrame([(1, texts[1], "en", "a", 5)] * 50, once.schema))
     pairs = lambda rows: sorted(map(tuple, toxicity.train(rows, labels).to_numpy().tolist()))
     assert pairs(again) == pairs(once) and len(pairs(once)) > 1
+
+
+def plain_ftrl(texts, marks, how):
+    """FTRL-proximal coordinate by coordinate, as it is published."""
+    from math import exp, sqrt
+
+    z, n, bias = {}, {}, 1 << toxicity.BITS
+
+    def weight(i):
+        limit = 0.0 if i == bias else how.l1
+        pull = z.get(i, 0.0)
+        if abs(pull) <= limit:
+            return 0.0
+        return ((1 if pull > 0 else -1) * limit - pull) / ((how.beta + sqrt(n.get(i, 0.0))) / how.alpha + how.l2)
+
+    for _ in range(how.passes):
+        for text, mark in zip(texts, marks):
+            at = [*toxicity.Features().of(text).tolist(), bias]
+            w = [weight(i) for i in at]
+            g = 1 / (1 + exp(-max(-35.0, min(35.0, sum(w))))) - mark
+            for i, old in zip(at, w):
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (sqrt(before + g * g) - sqrt(before)) / how.alpha * old
+                n[i] = before + g * g
+    return {i: weight(i) for i in z if i != bias and weight(i)}, weight(bias)
+
+
+def test_weights_equal_plain_ftrl():
+    dice, common = random.Random(6), words(60, 3)
+    texts = [" ".join(dice.choices(common, k=12) + (["blarg"] * (i % 3 == 0))) for i in range(120)] + [None, "", "x" * 500]
+    marks = [int(i % 3 == 0) for i in range(120)] + [0, 1, 0]
+    for how in (toxicity.Ftrl(), toxicity.Ftrl(alpha=0.3, beta=0.5, l1=0.2, l2=1.0, passes=2)):
+        at, weight, bias = toxicity.learn(texts, marks, how)
+        want, want_bias = plain_ftrl(texts, marks, how)
+        got = dict(zip(at.tolist(), weight.tolist()))
+        assert got.keys() == want.keys() and want
+        assert all(abs(got[i] - want[i]) < 1e-9 for i in want) and abs(bias - want_bias) < 1e-9
