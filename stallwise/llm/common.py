@@ -55,25 +55,24 @@ def gram_buckets(hashes: np.ndarray, offsets: tuple[int, ...], bits: int) -> np.
     return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def label_sample(labels: DataFrame, column: str, most: int) -> DataFrame:
-    """At most ``most`` labelled ids with one label each, chosen by hash; small enough to broadcast.
+def label_of_ids(labels: DataFrame, column: str) -> DataFrame:
+    """``_label_id, _label`` of every labelled id.
 
     Rows without id or label are left out; an id that is labelled more than
     once takes its largest label.
     """
-    return (
-        labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max(column).cast("int").alias("_label"))
-        .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-        .limit(most)
-        .withColumnRenamed("doc_id", "_label_id")
-    )
-
-
-def with_labels(docs: DataFrame, sample: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with a bounded label sample."""
-    return docs.join(F.broadcast(sample), docs["doc_id"] == sample["_label_id"], how).drop("_label_id")
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
+    return known.groupBy(F.col("doc_id").alias("_label_id")).agg(F.max(column).cast("int").alias("_label"))
+
+
+def label_sample(labels: DataFrame, column: str, most: int) -> DataFrame:
+    """At most ``most`` labelled ids with one label each, chosen by hash; small enough to broadcast."""
+    return label_of_ids(labels, column).orderBy(F.xxhash64(F.col("_label_id").cast("string")), "_label_id").limit(most)
+
+
+def with_labels(docs: DataFrame, sample: DataFrame, how: str, bounded: bool = True) -> DataFrame:
+    """``docs`` joined with labels, which are broadcast if they are a bounded sample."""
+    return docs.join(F.broadcast(sample) if bounded else sample, docs["doc_id"] == sample["_label_id"], how).drop("_label_id")
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Two multinomials over hashed words and word pairs are estimated, one from all
 documents and one from trusted ones. A document's score is the log-likelihood
-ratio of its n-grams divided by their number. One threshold, fitted on labelled
+ratio of its n-grams divided by their number. One threshold, fitted on all labelled
 documents, decides for every document alike; simple base rules come first.
 """
 
@@ -14,14 +14,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stallwise.llm.common import WHITE, WordHashes, column_name, gram_buckets, label_sample, labelled_texts, with_labels
+from stallwise.llm.common import WHITE, WordHashes, column_name, gram_buckets, label_of_ids, label_sample, with_labels
 
 BITS = 16
 GRAMS = ((0,), (0, 1))
-#: Labelled documents that the target and the threshold are fitted on at most.
-MOST_LABELLED = 16_000
+#: Cells of scores for each 1 that the threshold is found among: the driver sees counts of cells, whatever the number of labels.
+CELLS = 1 << 18
 #: Added to each bucket's count, in the raw corpus and, scaled alike, in the target.
 SMOOTHING = 20.0
+#: Labelled ids (some 32 bytes each) that are broadcast, so that no text is shuffled; more are joined as adaptive execution sees fit.
+BROADCAST_IDS = 2_000_000
 WINDOW = 8
 LEAST_WORDS = 20
 #: Share of trusted documents that the threshold may lose at most, and how many kept bad ones weigh as much as one lost.
@@ -69,12 +71,12 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([gram_buckets(hashes, g, BITS) for g in GRAMS])
 
 
-def counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """``bucket, raw, target``: n-gram counts over all documents and over the sample's documents of label 1.
+def counts(docs: DataFrame, known: DataFrame, bounded: bool = False) -> DataFrame:
+    """``bucket, raw, target``: n-gram counts over all documents and over those that ``known`` gives label 1.
 
     Each task adds its documents up, so at most 2^BITS rows a task are shuffled.
     """
-    marked = with_labels(docs.select("doc_id", F.col("text").cast("string").alias("text")), sample, "left")
+    marked = with_labels(docs.select("doc_id", F.col("text").cast("string").alias("text")), known, "left", bounded)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, raw, target = WordHashes(), np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
@@ -146,29 +148,44 @@ def base_failed(j: Column) -> Column:
 def threshold(scores: np.ndarray, labels: np.ndarray, lost: float = LOST) -> float:
     """The cut with the least weighted errors that rejects at most the share ``lost`` of label 1.
 
-    It lies midway between two scores. Without both labels nothing is rejected.
+    ``labels`` has a label for each score, or two numbers: how many documents of
+    label 1 and how many others have it. The cut lies midway between two scores.
+    Without both labels nothing is rejected.
     """
-    good, bad = np.sort(scores[labels == 1]), np.sort(scores[labels != 1])
-    if not len(good) or not len(bad):
+    held = labels if labels.ndim == 2 else np.stack([labels == 1, labels != 1], axis=1)
+    good, bad = held.sum(0, dtype=np.int64)
+    if not good or not bad:
         return float("-inf")
-    cuts = np.unique(scores)
+    cuts, at = np.unique(scores, return_inverse=True)
+    below = np.zeros((len(cuts) + 1, 2), np.int64)
+    np.add.at(below, at + 1, held.astype(np.int64))
+    below = below.cumsum(0)[:-1]
     cuts = np.concatenate(([-np.inf], (cuts[1:] + cuts[:-1]) / 2))
-    wrong = np.searchsorted(good, cuts)
-    cuts, wrong = cuts[wrong <= lost * len(good)], wrong[wrong <= lost * len(good)]
-    errors = REGRET * wrong + len(bad) - np.searchsorted(bad, cuts)
-    return float(cuts[np.argmin(errors)])
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[np.ndarray, float]:
-    """Log ratios and threshold. The corpus counts cover all documents; labels are a bounded sample with one text an id."""
-    sample = label_sample(labels, "quality", most)
-    ratios = log_ratios(counts(docs, sample).toPandas())
-    known = labelled_texts(docs, sample)
-    seen = known.select("_label", judged(docs.sparkSession, ratios).alias("j"))
+    fitting = below[:, 0] <= lost * good
+    errors = REGRET * below[fitting, 0] + bad - below[fitting, 1]
+    return float(cuts[fitting][np.argmin(errors)])
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int | None = None) -> tuple[np.ndarray, float]:
+    """Log ratios and threshold from all documents and all labels (or ``most`` of them, chosen by hash), one text an id.
+
+    A labelled document is judged where it stands; of several texts of an id
+    the one with the least hash counts. Its score is rounded to a cell, and the
+    driver gets how many documents of each label a cell has.
+    """
+    known = label_of_ids(labels, "quality") if most is None else label_sample(labels, "quality", most)
+    bounded = known.count() <= BROADCAST_IDS
+    ratios = log_ratios(counts(docs, known, bounded).toPandas())
+    rows = with_labels(docs.select("doc_id", "text"), known, "inner", bounded)
+    j = judged(docs.sparkSession, ratios)
+    seen = rows.select("doc_id", "_label", F.xxhash64("text").alias("hash"), j.alias("j"))
     # The base rules as a column, not a filter: a filter would go below the join and judge every document.
-    seen = seen.select("_label", "j.score", base_failed(F.col("j")).alias("failed")).toPandas()
-    seen = seen[~seen["failed"].astype(bool)]
-    return ratios, threshold(seen["score"].to_numpy(float), seen["_label"].to_numpy(int))
+    least = F.min(F.struct("hash", base_failed(F.col("j")).alias("failed"), "j.score")).alias("_least")
+    seen = seen.groupBy("doc_id", "_label").agg(least).filter("NOT _least.failed")
+    cell = F.floor(F.col("_least.score") * CELLS + 0.5) / CELLS
+    cells = seen.groupBy(cell.alias("cell")).agg(F.count_if(F.col("_label") == 1).alias("good"), F.count_if(F.col("_label") != 1).alias("bad"))
+    cells = cells.toPandas()
+    return ratios, threshold(cells["cell"].to_numpy(float), cells[["good", "bad"]].to_numpy(np.int64))
 
 
 def judge(docs: DataFrame, labels: DataFrame, name: str = "_quality", **options) -> DataFrame:

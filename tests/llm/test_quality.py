@@ -99,3 +99,42 @@ def test_long_words_are_not_remembered():
     words = [b"short", b"x" * SHORT, b"y" * (SHORT + 1), b"z" * 10_000]
     first = known.of(words * 2)
     assert set(known) == {b"short", b"x" * SHORT} and first[:4].tolist() == first[4:].tolist() == WordHashes().of(words).tolist()
+
+
+def test_all_labels_count(spark):
+    """More labelled documents than the 16,000 that were once sampled, by words that one of them has each."""
+    n = 17_000
+    table = docs(spark, *(f"w{i}" for i in range(n)))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(n)], LABELS)
+    found = quality.counts(table, quality.label_of_ids(labels, "quality")).toPandas()
+    assert found["target"].sum() == found["raw"].sum() == n
+    seen = []
+
+    def counted(spark_, ratios):
+        seen.append(ratios)
+        return quality.F.struct(*(F.lit(v).alias(c) for c, v in (("n_words", 30), ("n_repeat_words", 0))), (F.col("text").substr(2, 9).cast("double") % 100).alias("score"))
+
+    old, old_threshold, held = quality.judged, quality.threshold, []
+    quality.judged, quality.threshold = counted, lambda scores, labels: held.append((len(scores), int(labels.sum()))) or 0.0
+    try:
+        quality.fit(table, labels)
+    finally:
+        quality.judged, quality.threshold = old, old_threshold
+    assert held == [(100, n)]
+
+
+def test_threshold_of_counted_scores():
+    dice = np.random.default_rng(4)
+    scores, labels = dice.integers(0, 40, 3000) / 8, dice.integers(0, 2, 3000)
+    scores = scores + labels * 3
+    cells = np.unique(scores)
+    held = np.array([[(labels[scores == c] == k).sum() for k in (1, 0)] for c in cells])
+    assert quality.threshold(cells, held) == quality.threshold(scores, labels)
+
+
+def test_labels_too_many_to_broadcast_give_the_same(spark, monkeypatch):
+    table, labels = corpus(spark, 90)
+    ratios, cut = quality.fit(table, labels)
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 3)
+    again, same = quality.fit(table, labels)
+    assert (again == ratios).all() and same == cut and np.isfinite(cut)
