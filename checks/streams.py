@@ -1,4 +1,4 @@
-"""Registered queries over streams of several files: the given rows arrive in parts, a file a micro-batch, some of them late."""
+"""Registered queries over streams of several files: the given rows arrive in parts, one a micro-batch, some of them late."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stallwise.operators import summaries as V
 from stallwise.session import scratch_dir
 from stallwise.sources import fixtures as X
+from stallwise.sources.files import copy_file, list_folder, new_run
 from stallwise.streaming import views as W
 
 FILES = 7
@@ -15,14 +16,33 @@ DELAY = 60
 """Days."""
 
 
+ROWS_A_FILE = 1_000_000
+"""A larger part arrives as several files, which belong to one micro-batch."""
+
+
 def _arriving(rows: DataFrame, file: Column, files: int = FILES) -> DataFrame:
-    """``rows`` as a stream that brings them in files of the given numbers, one in each micro-batch."""
+    """``rows`` as a stream that brings them in parts of the given numbers, one in each micro-batch.
+
+    A micro-batch takes a fixed number of files, so every part has as many as
+    the largest one needs; what it lacks are files without rows.
+    """
     spark, path = rows.sparkSession, scratch_dir(rows.sparkSession, "arriving")
     dealt = rows.withColumn("_file", file).persist()
+    most = max((row["count"] for row in dealt.groupBy("_file").count().collect()), default=0)
+    each = most // ROWS_A_FILE + 1
+    empty = scratch_dir(spark, "empty")
+    spark.createDataFrame([], rows.schema).coalesce(1).write.parquet(empty)
+    [name] = _data(spark, empty)
     for number in range(files):
-        dealt.where(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(path)
+        dealt.where(F.col("_file") == number).drop("_file").coalesce(each).write.mode("append").parquet(path)
+        for _ in range((number + 1) * each - len(_data(spark, path))):
+            copy_file(spark, f"{empty}/{name}", f"{path}/part-{new_run()}.parquet")
     dealt.unpersist()
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)
+
+
+def _data(spark: SparkSession, path: str) -> list[str]:
+    return [name for name in list_folder(spark, path) if name.startswith("part-")]
 
 
 def _year(column: str) -> Column:

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from stallwise.operators import summaries as V
 from stallwise.streaming import views as S
@@ -160,3 +161,21 @@ def test_repeated_discoveries_count_once_within_the_delay(spark, tmp_path):
     got = run_windows(spark, S.unique_discoveries(stream), "append", "unique")
     # The second b arrives while its state is still held; the last a does not.
     assert sorted((r.product_id, r.discovered_at.day) for r in got.collect()) == [("a", 1), ("a", 5), ("b", 1), ("c", 1), ("x", 5)]
+
+
+def test_large_parts_arrive_in_several_files(spark, monkeypatch):
+    """The same micro-batches, but no task writes or reads a whole part."""
+    from checks import streams
+    from tests.conftest import SMALL
+
+    queries = (streams.late_rows, streams.sales_changes, streams.unique_pending)
+    expected = [sorted(map(str, query(spark, SMALL).collect())) for query in queries]
+    monkeypatch.setattr(streams, "ROWS_A_FILE", 400)
+    paths = []
+    monkeypatch.setattr(streams, "scratch_dir", lambda s, purpose, old=streams.scratch_dir: paths.append(old(s, purpose)) or paths[-1])
+    for query, rows in zip(queries, expected, strict=True):
+        paths.clear()
+        assert sorted(map(str, query(spark, SMALL).collect())) == rows
+        [arrived] = [path for path in paths if "/arriving-" in path]
+        sizes = [row.n for row in spark.read.parquet(arrived).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) > 8 and max(sizes) < sum(sizes) / 4
