@@ -42,6 +42,8 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k", "piece_bpe_32k"
 #: Bytes of text encoded together, and ends merged as one piece.
 CHUNK = 4 << 20
 WORK = 1 << 16
+#: Groups whose strings are objects at the same time.
+GROUPS_AT_ONCE = 1 << 15
 
 GROUPS = "chunk long, n_a long, n_b long, n_groups long, n_links long, groups string, own array<int>, times array<int>, "
 PAIRS = "pair_a array<int>, pair_b array<int>, pair_docs array<int>, starts array<int>, group_pairs array<int>"
@@ -117,7 +119,7 @@ def merge_piece(a: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray
     where[:, ib + jb - i0 - j0] = ib, jb, common
     closed = np.cumsum(where[2])
     keep = where[2] == 0
-    return where[0, keep], where[1, keep], closed[keep], int(common.sum())
+    return where[0, keep].astype(np.int32), where[1, keep].astype(np.int32), closed[keep], int(common.sum())
 
 
 def overlaps(a: np.ndarray, b: np.ndarray, work: int = WORK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,9 +127,9 @@ def overlaps(a: np.ndarray, b: np.ndarray, work: int = WORK) -> tuple[np.ndarray
     cuts = diagonals(a, b, work)
     found = [merge_piece(a, b, start, end) for start, end in zip(cuts[:-1], cuts[1:], strict=True)]
     if not found:
-        return (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.int32),) * 3
     before = np.cumsum([0, *(closed for *_, closed in found)])  # groups that the pieces before have closed
-    groups = [group + done for (_, _, group, _), done in zip(found, before, strict=False)]
+    groups = [(group + done).astype(np.int32) for (_, _, group, _), done in zip(found, before, strict=False)]
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.concatenate(groups)
 
 
@@ -159,17 +161,23 @@ def _lists(starts: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 class Chunk:
-    """The tokens of some texts, merged."""
+    """The tokens of some texts, merged.
+
+    Places and ids are 32-bit numbers, as a text has less than 2 GB. Lists of
+    Python numbers and strings are only made for one text or ``GROUPS_AT_ONCE``.
+    """
 
     def __init__(self, tokenizers: Tokenizers, texts: list[str | None], work: int = WORK) -> None:
-        encoded = [tokenizers.both(text) for text in texts]
+        encoded = [[np.array(ids, np.int32) for ids in tokenizers.both(text)] for text in texts]
         self.n_a = np.array([len(a) for a, _ in encoded], np.int64)
         self.n_b = np.array([len(b) for _, b in encoded], np.int64)
-        self.ids_a = np.concatenate([np.array(a, np.int64) for a, _ in encoded])
-        self.ids_b = np.concatenate([np.array(b, np.int64) for _, b in encoded])
+        self.ids_a = np.concatenate([a for a, _ in encoded])
+        self.ids_b = np.concatenate([b for _, b in encoded])
+        del encoded
         ends = np.cumsum(tokenizers.a_sizes[self.ids_a]), np.cumsum(tokenizers.b_sizes[self.ids_b])
         self.at_a, self.at_b, self.group = overlaps(*ends, work)
-        self.group_a, self.group_b = np.zeros(len(self.ids_a), np.int64), np.zeros(len(self.ids_b), np.int64)
+        del ends
+        self.group_a, self.group_b = np.zeros(len(self.ids_a), np.int32), np.zeros(len(self.ids_b), np.int32)
         self.group_a[self.at_a], self.group_b[self.at_b] = self.group, self.group
         count = int(self.group[-1]) + 1 if len(self.group) else 0
         self.links = _starts(np.bincount(self.group, minlength=count))
@@ -177,29 +185,45 @@ class Chunk:
         closed = np.where(last >= 0, self.group_a[last] + 1, 0) if count else np.zeros(len(texts), np.int64)
         self.groups = np.concatenate([[0], np.maximum.accumulate(closed)]).astype(np.int64)
 
-    def strings(self) -> list[bytes]:
-        """Each group as ``a1,a2|b1``."""
+    def strings(self) -> Iterator[list[bytes]]:
+        """Each group as ``a1,a2|b1``, ``GROUPS_AT_ONCE`` together."""
         count = len(self.links) - 1
         before_a, before_b = _starts(np.bincount(self.group_a, minlength=count)), _starts(np.bincount(self.group_b, minlength=count))
-        signs = np.empty(len(self.ids_a) + len(self.ids_b), np.int64)
-        place_a = np.arange(len(self.ids_a)) + before_b[self.group_a]
-        place_b = np.arange(len(self.ids_b)) + before_a[self.group_b + 1]
-        signs[place_a], signs[place_b] = 3 * self.ids_a, 3 * self.ids_b
-        signs[place_a[before_a[1:] - 1]] += 1
-        signs[place_b[before_b[1:] - 1]] += 2
-        return b"".join(map(SIGNS.__getitem__, signs.tolist())).split(b";")[:-1]
+        signs = np.empty(len(self.ids_a) + len(self.ids_b), np.int32)
+        place = np.arange(len(self.ids_a)) + before_b[self.group_a]
+        signs[place] = 3 * self.ids_a
+        signs[place[before_a[1:] - 1]] += 1
+        place = np.arange(len(self.ids_b)) + before_a[self.group_b + 1]
+        signs[place] = 3 * self.ids_b
+        signs[place[before_b[1:] - 1]] += 2
+        before = before_a + before_b
+        del before_a, before_b, place
+        for first in range(0, count, GROUPS_AT_ONCE):
+            some = signs[before[first] : before[min(first + GROUPS_AT_ONCE, count)]]
+            yield b"".join(map(SIGNS.__getitem__, some.tolist())).split(b";")[:-1]
+
+    def named(self) -> tuple[np.ndarray, int, list[str]]:
+        """The groups numbered by their strings, how many numbers there are, and each text's groups."""
+        number, of, sizes, joined = Numbers(), [], [], []
+        for strings in self.strings():
+            of.append(np.fromiter(map(number.__getitem__, strings), np.int64, len(strings)))
+            sizes.append(np.fromiter(map(len, strings), np.int64, len(strings)))
+            joined.append(b";".join(strings))
+        whole = b";".join(joined)
+        ends = _starts(np.concatenate([np.empty(0, np.int64), *sizes]) + 1)[self.groups]  # behind a text's last ``;``
+        texts = [whole[start : max(start, end - 1)].decode() for start, end in zip(ends[:-1], ends[1:], strict=True)]
+        return np.concatenate([np.empty(0, np.int64), *of]), len(number), texts
 
     def batch(self, chunk: int, ids: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
         """A row for each text, and one for the chunk's distinct pairs and groups."""
-        strings, n = self.strings(), len(ids)
-        number = Numbers()
-        of = np.fromiter(map(number.__getitem__, strings), np.int64, len(strings))
-        kinds = len(number)
+        n = len(ids)
+        of, kinds, whole = self.named()
+        whole = pa.array(whole, pa.string())
         # The links of a group's first appearance stand for all.
         first = np.unique(of, return_index=True)[1]
         taken = _ranges(self.links[first], self.links[first + 1])
         starts = _starts(np.diff(self.links)[first])
-        pairs, group_pairs = np.unique(self.ids_a[self.at_a[taken]] << 32 | self.ids_b[self.at_b[taken]], return_inverse=True)
+        pairs, group_pairs = np.unique(self.ids_a[self.at_a[taken]].astype(np.int64) << 32 | self.ids_b[self.at_b[taken]], return_inverse=True)
         text = np.repeat(np.arange(n), np.diff(self.groups))
         held, times = np.unique(text * max(kinds, 1) + of, return_counts=True)
         held_text, held_kind = held // max(kinds, 1), held % max(kinds, 1)
@@ -208,8 +232,7 @@ class Chunk:
         docs = np.bincount(np.unique(by_text) % max(len(pairs), 1), minlength=len(pairs))
         own = _starts(np.bincount(held_text, minlength=n))
         longs = [chunk + np.zeros(n, np.int64), self.n_a, self.n_b, np.diff(self.groups), np.diff(self.links[self.groups])]
-        whole = [b";".join(strings[g0:g1]).decode() for g0, g1 in zip(self.groups[:-1], self.groups[1:], strict=True)]
-        of_texts = [*map(pa.array, longs), pa.array(whole, pa.string()), _lists(own, held_kind), _lists(own, times)]
+        of_texts = [*map(pa.array, longs), whole, _lists(own, held_kind), _lists(own, times)]
         listed = [pairs >> 32, pairs & 0xFFFFFFFF, docs, starts, group_pairs]
         of_chunk = [pa.array([chunk]), *[pa.nulls(1, f.type) for f in schema][1:8], *[_lists(np.array([0, len(x)]), x) for x in listed], pa.nulls(1, ids.type)]
         columns = [*of_texts, *[pa.nulls(n, f.type) for f in schema][8:13], ids]

@@ -106,3 +106,23 @@ def test_real_output(spark, tokenizers):
     row = A.aligned(docs(spark, "hello")).first()
     a, b = tokenizers.both("hello")
     assert row.groups == f"{','.join(map(str, a))}|{','.join(map(str, b))}"
+
+
+def test_memory_of_a_chunk(tokenizers):
+    """A chunk takes a bounded number of bytes for each byte of its texts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(words(400, seed)) for seed in range(800)]
+    kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    fields = [field.split() for field in (A.GROUPS + A.PAIRS + ", doc_id long").split(", ")]
+    schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
+    A.Chunk(tokenizers, texts[:2]).batch(0, pa.array([0, 1]), schema)
+    tracemalloc.start()
+    rows = A.Chunk(tokenizers, texts).batch(0, pa.array(range(len(texts))), schema)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(map(len, texts))
+    print(f"{size} bytes of text, peak {peak}, {peak / size:.1f} a byte")
+    assert rows.num_rows == len(texts) + 1 and peak < 60 * size
