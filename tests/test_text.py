@@ -1,9 +1,15 @@
+import re
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from stallwise.functions.text import keyword_counts, present
 from stallwise.operators.enrich import (
     categorize, detect_language, enrich_products, key_phrases, score_missing, score_reviews, season_tags,
 )
+from stallwise.sources.schemas import PRODUCTS
+from stallwise.sources.tables import read_table, write_products
 
 
 def languages(rows, *texts):
@@ -123,3 +129,17 @@ def test_only_missing_scores_are_filled(rows):
     for loader, score, label in ((load, -0.5, "negative"), (None, 0.0, "neutral")):
         got = {r.review_id: tuple(r)[2:] for r in score_missing(df, loader).collect()}
         assert got == {"1": (0.5, "positive", ["x"], "de"), "2": (score, label, ["fast"], "en"), "3": (0.0, "neutral", [], "en")}
+
+
+def test_keyword_tests_can_be_compiled(spark, tmp_path, capsys):
+    """The JVM runs generated methods of over 8,000 bytes uncompiled."""
+    rows = spark.createDataFrame([("p", "Car toy")], "product_id string, title string")
+    write_products(rows, str(tmp_path / "products"), datetime(2000, 1, 1))
+    enrich_products(read_table(spark, PRODUCTS, str(tmp_path / "products")), tags="tags").explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+    found = spark.range(1).select(
+        keyword_counts(F.lit("a car toy"), ("car", "toy", "gym")).alias("some"), keyword_counts(F.lit("a"), ()).alias("none"),
+        keyword_counts(F.lit(None).cast("string"), ("car",)).alias("unknown"), present(F.lit("toy car"), ("car", "gym", "toy")).alias("words"),
+    )
+    assert found.first() == (2, 0, None, ["car", "toy"])
