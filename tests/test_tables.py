@@ -290,6 +290,29 @@ def test_small_files_are_merged_and_not_processed_again(spark, rows, tmp_path):
         assert keys == sorted(keys)
 
 
+def test_lines_that_are_scanned_evenly_are_not_dealt_out(spark, tmp_path, monkeypatch, capsys):
+    from stallwise.sources import fixtures as X
+
+    def dealt():
+        X.products(spark, str(tmp_path)).explain()
+        return "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+    for name in ("part", "supplier"):
+        X.raw(spark, "/root/testdata/sf0.001", name).write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = X.raw(spark, "/root/testdata/sf0.001", "lineitem")
+    parts = 4 * spark.sparkContext.defaultParallelism
+    lines.repartition(parts).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert dealt()
+    monkeypatch.setattr(X, "SPLIT_BYTES", 1 << 10)
+    monkeypatch.setattr(X, "TASK_BYTES", 1 << 10)
+    assert not dealt()
+    some = ["product_id", "obs_id", "price", "seller_name"]
+    assert sorted(X.products(spark, str(tmp_path)).select(*some).collect()) == sorted(X.products(spark, "/root/testdata/sf0.001").select(*some).collect())
+    lines.coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    spark.catalog.refreshByPath(f"{tmp_path}/lineitem.parquet")
+    assert dealt()
+
+
 def test_files_that_were_not_processed_are_not_merged(spark, rows, tmp_path):
     source, ledger = str(tmp_path / "products"), str(tmp_path / "ledger")
     for i in range(3):
