@@ -290,6 +290,29 @@ def test_small_files_are_merged_and_not_processed_again(spark, rows, tmp_path):
         assert keys == sorted(keys)
 
 
+def test_a_derived_table_is_written_where_its_source_is_read(spark, rows, tmp_path, monkeypatch):
+    """Files of one month each need no shuffle; many small ones of a month are brought together."""
+    source, target, ledger = (str(tmp_path / n) for n in ("products", "derived", "ledger"))
+    T.write_products(rows(PRODUCT, *(product(i, f"1999-{1 + i % 9:02d}-15 00:00:00", f"c{i % 5}") for i in range(90))), source, NOW)
+    hints, before = [], spark.conf.get(T.READ_BYTES)
+    frame = type(spark.range(1))
+    hint = frame.hint
+    monkeypatch.setattr(frame, "hint", lambda df, name, *args: hints.append(name) or hint(df, name, *args))
+    T.append_new(spark, S.PRODUCTS, source, target, ledger, lambda df: df)
+    assert hints == [] and len(stamps(target)) == 9 and spark.conf.get(T.READ_BYTES) == before
+    for i in range(90, 94):
+        T.write_products(rows(PRODUCT, product(i, "1999-03-16 00:00:00"), product(i + 10, "1999-04-16 00:00:00")), source, NOW)
+    T.write_products(rows(PRODUCT, product(200, "1999-05-16 00:00:00")), source, NOW)
+    hints.clear()
+    T.append_new(spark, S.PRODUCTS, source, target, ledger, lambda df: df)
+    assert hints == ["rebalance"] and len(stamps(target)) == 12
+    ids = [sorted(r.product_id for r in T.read_table(spark, S.PRODUCTS, path).collect()) for path in (source, target)]
+    assert len(ids[0]) == 99 and ids[0] == ids[1]
+    for file in stamps(target):
+        keys = [(r.category_id, r.seller_id, r.scraped_at) for r in spark.read.parquet(file).collect()]
+        assert keys == sorted(keys)
+
+
 def test_lines_that_are_scanned_evenly_are_not_dealt_out(spark, tmp_path, monkeypatch, capsys):
     from stallwise.sources import fixtures as X
 
