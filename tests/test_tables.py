@@ -1,5 +1,6 @@
 import glob
 import json
+import os
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -347,6 +348,52 @@ def test_files_that_were_not_processed_are_not_merged(spark, rows, tmp_path):
     assert T.merge_small_files(spark, S.PRODUCTS, str(tmp_path / "none")) == 0
 
 
+def test_merged_files_are_full_and_left_alone(spark, rows, tmp_path, monkeypatch):
+    """However little a shuffled partition holds, merged files are no longer small, but for one of a month."""
+    source, ledger, small = str(tmp_path / "products"), str(tmp_path / "ledger"), 40 << 10
+    ids = lambda: sorted(r.product_id for r in T.read_table(spark, S.PRODUCTS, source).select("product_id").collect())
+    size = lambda: {f: os.path.getsize(f) for f in stamps(source)}
+
+    def add(first, count):
+        found = spark.range(first, first + count, 1, 4).selectExpr(
+            "CAST(id AS STRING) AS product_id", "sha2(CAST(id AS STRING), 256) AS title", "'c' || id % 7 AS category_id",
+            "TIMESTAMP_NTZ '1999-03-15 00:00:00' + make_interval(0, id % 3) AS scraped_at",
+        )
+        T.write_products(found, source, NOW)
+
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(advisory, "4k")
+    try:
+        for i in range(4):
+            add(3000 * i, 3000)
+        assert all(length < 2 * small for length in size().values())
+        T.append_new(spark, S.PRODUCTS, source, str(tmp_path / "derived"), ledger, lambda df: df)
+        before, held = stamps(source), ids()
+        assert T.merge_small_files(spark, S.PRODUCTS, source, most=1, small=small, ledgers=[ledger]) > 12
+        after = stamps(source)
+        assert ids() == held and len(held) == 12000 and len(after) < len(before)
+        for month in (199903, 199904, 199905):
+            lengths = [length for file, length in size().items() if f"={month}/" in file]
+            assert len(lengths) > 2 and sum(length < small for length in lengths) <= 1
+        assert T.merge_small_files(spark, S.PRODUCTS, source, most=1, small=small) == 0 and stamps(source) == after
+        add(12000, 300)
+        add(12300, 300)
+        full = {file: after[file] for file, length in size().items() if length >= small}
+        assert T.merge_small_files(spark, S.PRODUCTS, source, most=1, small=small) >= 6
+        assert full.items() <= stamps(source).items() and len(ids()) == 12600
+    finally:
+        spark.conf.unset(advisory)
+    for file in stamps(source):
+        keys = [(r.category_id, r.seller_id, r.scraped_at) for r in spark.read.parquet(file).collect()]
+        assert len({k[2].month for k in keys}) == 1 and keys == sorted(keys, key=lambda k: (k[0], k[2]))
+
+
+def test_file_groups():
+    lengths = {"m=1/a": 5, "m=1/b": 6, "m=1/c": 4, "m=1/d": 1, "m=2/a": 3, "m=3/a": 1, "m=3/b": 1, "m=4/a": 10, "m=4/b": 1, "m=4/c": 1}
+    assert T.file_groups(lengths, 10) == [["m=1/a", "m=1/b"], ["m=1/c", "m=1/d"], ["m=3/a", "m=3/b"], ["m=4/b", "m=4/c"]]
+    assert T.file_groups({}, 10) == []
+
+
 def test_a_lost_daily_run(spark, rows, tmp_path, monkeypatch):
     """Lost before its ledger entry a run leaves nothing; lost after it, the next one finishes it."""
     source, target, ledger = (str(tmp_path / n) for n in ("products", "derived", "ledger"))
