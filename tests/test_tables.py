@@ -88,6 +88,26 @@ def test_sorted_inside_files(spark, rows, tmp_path):
         assert got == sorted(got)
 
 
+def test_columns_of_one_value_are_added_behind_the_sort(spark, rows, tmp_path, capsys):
+    """They count as given, and the shuffle does not carry them; the table is laid out as ever."""
+    given = [(f"p{i % 7}", f"c{i % 5}", f"s{i % 3}") for i in range(50)]
+    df = rows("product_id string, category_id string, seller_id string", *given)
+    same = {"scraped_at": F.lit(NOW).cast("timestamp_ntz"), "currency": F.lit("EUR"), "sku": F.lit(None)}
+    assert T.append(df.withColumn("sku", F.lit("x")), S.PRODUCTS, f"{tmp_path}/a", NOW, same) == 50
+    assert T.append(df.withColumns(same), S.PRODUCTS, f"{tmp_path}/b", NOW) == 50
+    one, two = (T.read_table(spark, S.PRODUCTS, f"{tmp_path}/{name}", keep_month=True).drop("specifications") for name in "ab")
+    assert one.exceptAll(two).count() == two.exceptAll(one).count() == 0 and one.count() == 50
+    for file in glob.glob(f"{tmp_path}/a/scrape_month=200001/part-*"):
+        read = [(r.category_id, r.seller_id) for r in spark.read.parquet(file).collect()]
+        assert read == sorted(read)
+    layout = T._layout(df, S.PRODUCTS, same=same | {name: F.lit(None).alias(name) for name in S.PRODUCTS.schema.names if name not in {*df.columns, *same}})
+    layout._df.explain("formatted")
+    shuffled = capsys.readouterr().out.split(") Exchange\nInput [")[1].split("]: ")[0]
+    assert int(shuffled) <= 4
+    with pytest.raises(ValueError, match="nonsense"):
+        T.append(df, S.PRODUCTS, f"{tmp_path}/a", NOW, {"nonsense": F.lit(1)})
+
+
 def log_rows(rows, *times):
     return rows("log_id string, task_id string, scraped_at timestamp_ntz", *((str(i), "t", t) for i, t in enumerate(times)))
 
